@@ -77,3 +77,19 @@ def lay_out_in_order(df: DataFrame, key: str, payload: list[str], descending: bo
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     by_key = F.col(key).desc() if descending else F.col(key).asc()
     return own.unionByName(copies).repartition(n, "part").sortWithinPartitions("part", "ghost", by_key, F.xxhash64(*payload))
+
+
+#: Most rows of a per-host or per-source table that is broadcast; a larger one is joined by shuffle, salted.
+MOST_BROADCAST, SALTS = 100_000, 32
+
+
+def join_by_group(rows: DataFrame, table: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row for each key, already cut), where one key may hold most rows.
+
+    The table's size is counted: a small one is broadcast; of a larger one each row is copied to SALTS
+    salts, so that a hot key is joined by as many tasks.
+    """
+    if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), key)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
