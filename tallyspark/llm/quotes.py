@@ -2,8 +2,8 @@
 
 Lines that begin with ``>`` marks are quoted, as deep as there are marks. Neighbouring quoted lines of one depth form a
 passage. Passages are normalised (case, white space) and hashed, and joined to the latest earlier message of
-the conversation that has them: as its whole own text, as one of its paragraphs, or as one of its lines. The link
-of the shallowest, then longest passage makes a message the reply to another. Replies are ordered by
+the conversation that has them: as its whole own text, as one of its paragraphs, or as one of its lines; a passage's
+single lines are tried too. The link of the shallowest, then whole, then longest passage makes a message the reply to another. Replies are ordered by
 conversation, root of their chain of replies, and turn; a message never stands before the one it answers.
 
 Defined results: a null text counts as empty; messages without a linked quote are roots; passages of
@@ -76,19 +76,22 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """
     hashed = lambda c: F.xxhash64(normalised(c))
     q = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", F.posexplode("passages").alias("at", "p"))
-    quoted = q.select("conv_id", "turn", "at", F.col("p.depth").alias("depth"), normalised(F.col("p.body")).alias("body")).where(F.col("body") != "")
-    quoted = cut(quoted.select("conv_id", "turn", "at", "depth", F.length("body").alias("size"), F.xxhash64("body").alias("hash")))
+    lines = F.split("p.body", "\n")
+    whole_and_lines = F.when(F.size(lines) > 1, F.concat(F.array("p.body"), lines)).otherwise(F.array("p.body"))
+    quoted = q.select("conv_id", "turn", "at", F.col("p.depth").alias("depth"), F.posexplode(whole_and_lines).alias("line", "piece"))
+    quoted = quoted.select("conv_id", "turn", "at", "depth", "line", normalised(F.col("piece")).alias("body")).where(F.col("body") != "")
+    quoted = cut(quoted.select("conv_id", "turn", "at", "depth", "line", F.length("body").alias("size"), F.xxhash64("body").alias("hash")))
     keys = quoted.select("conv_id", "hash").distinct()
     pieces = F.concat(F.array("own"), F.split("own", "\\n\\s*\\n"), F.split("own", "\\n"))
     original = messages.join(keys.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(pieces).alias("piece"))
     original = original.select("conv_id", "turn", hashed(F.col("piece")).alias("hash")).join(keys, ["conv_id", "hash"], "left_semi").distinct()
-    both = quoted.select("conv_id", "hash", "turn", "at", "depth", "size", F.lit(None).cast("bigint").alias("source")).unionByName(
-        original.select("conv_id", "hash", "turn", F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("int").alias("size"), F.col("turn").cast("bigint").alias("source"))
+    both = quoted.select("conv_id", "hash", "turn", "at", "depth", "line", "size", F.lit(None).cast("bigint").alias("source")).unionByName(
+        original.select("conv_id", "hash", "turn", F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("size"), F.col("turn").cast("bigint").alias("source"))
     )
     earlier = W.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
     found = both.withColumn("reply_to", F.max("source").over(earlier)).where(F.col("at").isNotNull() & F.col("reply_to").isNotNull())
-    best = F.struct(F.col("depth"), -F.col("size"), F.col("at"))
-    return found.groupBy("conv_id", "turn").agg(F.min_by("reply_to", best).alias("reply_to"), F.count(F.lit(1)).alias("n_linked"))
+    best = F.struct(F.col("depth"), F.col("line") > 0, -F.col("size"), F.col("at"), F.col("line"))
+    return found.groupBy("conv_id", "turn").agg(F.min_by("reply_to", best).alias("reply_to"), F.count_distinct("at").alias("n_linked"))
 
 
 def reply_roots(links: DataFrame) -> DataFrame:
