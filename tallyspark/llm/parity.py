@@ -5,16 +5,17 @@ similarity of 0.8 or more differ in at most (a + b) / 9 shingles. A parity sketc
 flipped by every shingle that falls there, so the Hamming distance of two sketches is at most the number of shingles
 in which their sets differ.
 
-Candidates (pigeonhole): for each size band, slots are cut into more segments than shingles can differ, so two
-similar sets agree in at least one segment, and are joined on it. A segment has 2**64 slots; its bits are
-held as the XOR of its shingles' 64-bit hashes. Bands double in size; sets near a border also meet in the
-band that lies across it. Segments with no shingle, or with very frequent ones alone, bind nothing together
-and are left out wherever a set has enough others for the pigeonhole to hold without them.
+Candidates (pigeonhole): in each size band the slots are cut into segments of 2**64 slots each, whose bits are held as
+the XOR of their shingles' 64-bit hashes. Sets that differ in d shingles differ in at most d segments, so in any order of
+segment contents that all sets share, the first d + 1 contents of one meet the first d + 1 of the other. The order puts
+rare contents first, so that passages which many documents share bind nothing together while a set has
+others to offer; the join is on these contents. Sets near the border of two bands also meet in a band across it.
 
-Verification: pairs whose dense sketches (SKETCH_BITS) lie further apart than they may are dropped, the rest are counted
+Verification: pairs whose dense sketches (a bit or more for each shingle) lie further apart than they may are dropped, the rest are counted
 exactly. Components need no link twice: in each segment's bucket all sets are tried against one
-leader, components are joined up, and only sets that are still apart are tried again; after ROUNDS leaders all pairs
-of a bucket that are still apart are tried. So no link between different components can be missed.
+leader, components are joined up, and only sets that are still apart are tried again with other leaders. Once the pairs
+still apart are no more than FEW for each row of the buckets, or after ROUNDS leaders, all of them are tried. So no link
+between different components can be missed.
 
 Defined results: a null or wordless text has an empty set, linked with nothing, and is its own component; fewer
 than five words are one shingle; equal sets are linked; rows with equal ids keep their rows; a row with a null id
@@ -35,11 +36,13 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import cut
 
 WORDS = 5
-SKETCH_BITS = 1024
-ROUNDS = 4
+LEAST_BITS = 512
+ROUNDS, FEW = 2, 8
 #: One document in HOT_SAMPLE is looked at for frequent shingles; those found HOT_LEAST times are frequent, the
-#: first MOST_HOT of them. The list decides which segments are left out first, never whether a link is found.
-HOT_SAMPLE, HOT_LEAST, MOST_HOT = 64, 4, 200_000
+#: first MOST_HOT of them. The list decides the order of contents, never whether a link is found.
+HOT_SAMPLE, HOT_LEAST, MOST_HOT = 16, 3, 50_000
+#: Sizes of a band differ by at most this factor.
+BAND = 16
 #: Words (of 64 bits) of the filter of sets that have a candidate: a fixed size; it may let others pass.
 FILTER_WORDS = 1 << 17
 
@@ -81,43 +84,44 @@ def most_apart(a: int, b: int) -> int:
 
 def families(n: int) -> list[tuple[int, int, int]]:
     """(family, segments, most shingles that a partner there can differ in) for a set of n shingles."""
-    band = (n - 1).bit_length()
-    top = 1 << band
-
-    def segments(apart: int) -> int:
-        return apart + 1 + (apart + 7) // 8
-
-    out = [(2 * band, segments(most_apart(top, top)), most_apart(n, min(top, n * 5 // 4)))]
+    band, top = 0, 1
+    while top < n:
+        band, top = band + 1, top * BAND
+    out = [(2 * band, top, most_apart(n, min(top, n * 5 // 4)))]
     if n * 5 // 4 > top:  # the smaller of a pair across the upper border
-        out.append((2 * band + 1, segments(most_apart(top, top * 5 // 4)), most_apart(n, n * 5 // 4)))
-    low = top // 2
+        out.append((2 * band + 1, top, most_apart(n, n * 5 // 4)))
+    low = top // BAND
     if low and n * 4 <= low * 5:  # the larger of a pair across the lower border
-        out.append((2 * (band - 1) + 1, segments(most_apart(low, low * 5 // 4)), most_apart(n, low)))
+        out.append((2 * band - 1, low, most_apart(n, low)))
     return out
 
 
 class Frequent:
-    """Membership in the list of frequent shingles: a table by leading bits first, then the list."""
+    """Levels of shingles, by how frequent they are: 0 for most, and more for those in the list, which is in falling order.
+    A table by leading bits is asked first, then the list."""
 
-    BITS = 22
+    BITS, LEVELS = 22, 16
 
-    def __init__(self, hashes: list[int]):
-        self.sorted = np.sort(np.array(hashes, np.int64).view(U)) if hashes else np.empty(0, U)
+    def __init__(self, hashes: np.ndarray):
+        falling = np.asarray(hashes, np.int64).view(U)
+        level = self.LEVELS - np.floor(np.log2(np.arange(len(falling)) + 1)).astype(np.int64).clip(0, self.LEVELS - 1)
+        order = np.argsort(falling)
+        self.sorted, self.level = falling[order], level[order]
         self.table = np.zeros(1 << self.BITS, bool)
         self.table[(self.sorted >> U(64 - self.BITS)).astype(np.int64)] = True
 
-    def among(self, s: np.ndarray) -> np.ndarray:
-        maybe = self.table[(s >> U(64 - self.BITS)).astype(np.int64)]
-        if maybe.any():
-            at = np.flatnonzero(maybe)
-            i = np.searchsorted(self.sorted, s[at])
-            maybe[at] = self.sorted[np.minimum(i, len(self.sorted) - 1)] == s[at]
-        return maybe
+    def levels(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), np.int64)
+        at = np.flatnonzero(self.table[(s >> U(64 - self.BITS)).astype(np.int64)])
+        if len(at):
+            i = np.minimum(np.searchsorted(self.sorted, s[at]), len(self.sorted) - 1)
+            out[at] = np.where(self.sorted[i] == s[at], self.level[i], 0)
+        return out
 
 
 def segment_keys(s: np.ndarray, frequent: Frequent) -> np.ndarray:
     """The keys under which a set looks for similar ones."""
-    hot = frequent.among(s)
+    levels = frequent.levels(s)
     slot, flip = mixed(s ^ P1) >> U(32), mixed(s + P2)
     out = []
     for family, m, apart in families(len(s)):
@@ -125,21 +129,25 @@ def segment_keys(s: np.ndarray, frequent: Frequent) -> np.ndarray:
         order = np.argsort(segment, kind="stable")
         which = segment[order]
         starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-        bits = np.bitwise_xor.reduceat(flip[order], starts)
         which = which[starts]
-        plain = ~np.logical_and.reduceat(hot[order], starts)
-        if m - apart > m - int(plain.sum()):
-            bits, which = bits[plain], which[plain]
-        else:
+        bits = np.bitwise_xor.reduceat(flip[order], starts)
+        level = np.minimum.reduceat(levels[order], starts)
+        if apart + 1 > len(which):  # few shingles in few segments: empty ones count, last
             empty = np.setdiff1d(np.arange(m, dtype=U), which)
-            bits, which = np.concatenate([bits, np.zeros(len(empty), U)]), np.concatenate([which, empty])
-        out.append(mixed(bits + which * P1 + U(family + 1) * P3))
+            which, bits, level = np.concatenate([which, empty]), np.concatenate([bits, np.zeros(len(empty), U)]), np.concatenate([level, np.full(len(empty), Frequent.LEVELS + 1)])
+        keys = mixed(bits + which * P1 + U(family + 1) * P3)
+        if apart + 1 < len(keys):
+            place = (level.astype(U) << U(58)) | (keys >> U(6))
+            keys = keys[np.argpartition(place, apart)[: apart + 1]]
+        out.append(keys)
     return np.concatenate(out)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """The dense parity sketch as 64-bit words."""
-    parity = np.bincount((mixed(s + P3) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """The dense parity sketch as 64-bit words: a power of two of bits, at least one for each shingle. Its halves, XORed, are the
+    sketch of half the size."""
+    bits = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
+    parity = np.bincount((mixed(s + P3) % U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
@@ -148,19 +156,19 @@ def signed(values: list[np.ndarray]) -> pa.Array:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles and set (null where empty)."""
+    """doc_id, n_shingles, set and sketch (both null where empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 sets = [shingles(x.as_py()) for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "sketch"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, set bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, set bigint, sketch array<bigint>")
 
 
-def frequent_shingles(docs: DataFrame, text_col: str) -> list[int]:
+def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
     """At most MOST_HOT shingles that a fixed share of the texts shows to be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +178,10 @@ def frequent_shingles(docs: DataFrame, text_col: str) -> list[int]:
 
     sample = docs.where(F.pmod(F.xxhash64(F.substring(text_col, 1, 200), F.length(text_col)), F.lit(HOT_SAMPLE)) == 0)
     counts = sample.select(F.col(text_col).alias("text")).mapInArrow(run, "s bigint").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LEAST)
-    return [r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(MOST_HOT).collect()]
+    return counts.orderBy(F.desc("n"), "s").limit(MOST_HOT).select("s").toArrow()["s"].to_numpy()
 
 
-def shared_segments(docs: DataFrame, text_col: str, frequent: list[int]) -> DataFrame:
+def shared_segments(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
     """(key, set) of every segment that at least two different sets have. One shuffle of (key, set) rows, streamed in
     key order; a task holds one batch."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -214,16 +222,14 @@ def shared_segments(docs: DataFrame, text_col: str, frequent: list[int]) -> Data
 
 
 def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """set, n, sketch and shingles of the wanted sets.
+    """set and shingles of the wanted sets.
 
-    A filter of fixed size, gathered as at most FILTER_WORDS words, spares most other texts; what it lets pass by
-    chance is dropped by the join.
+    A filter of fixed size, at most FILTER_WORDS words, spares most other texts; what it lets pass by chance is dropped by
+    the join.
     """
     word = F.pmod(F.xxhash64("set"), F.lit(FILTER_WORDS))
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(`set`, 1), 64) AS int))")
-    filled = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    words = docs.sparkSession.createDataFrame([(r["word"], r["bits"]) for r in filled.collect()], "word bigint, bits bigint")
-    table = F.broadcast(words)
+    table = F.broadcast(wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -234,29 +240,33 @@ def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
         seen: set[int] = set()
         with np.errstate(over="ignore"):
             for batch in batches:
-                names, sketches, sizes, sets = [], [], [], []
+                names, sets = [], []
                 for name, text in zip(batch.column(0), batch.column(1)):
                     if (name := name.as_py()) not in seen:
                         seen.add(name)
-                        s = shingles(text.as_py())
                         names.append(name)
-                        sizes.append(len(s))
-                        sketches.append(sketch(s))
-                        sets.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["set", "n", "sketch", "shingles"])
+                        sets.append(shingles(text.as_py()).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["set", "shingles"])
 
     rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).mapInArrow(named, "set bigint, text string")
     passed = rows.join(table, word == table["word"]).where(F.col("bits").bitwiseAND(bit) != 0).select("set", "text")
-    found = passed.mapInArrow(full, "set bigint, n bigint, sketch array<bigint>, shingles array<bigint>")
+    found = passed.mapInArrow(full, "set bigint, shingles array<bigint>")
     return found.join(wanted, "set", "left_semi").dropDuplicates(["set"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar: by size and sketch first, which are small, then by the sets themselves."""
-    small = sets.select("set", "n", "sketch")
+def near_pairs(pairs: DataFrame, small: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow that they are similar. ``small`` has set, n and sketch."""
     one, two = (small.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}")) for x in "ab")
-    apart = F.aggregate(F.zip_with("k_a", "k_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = pairs.join(one, "a").join(two, "b").where((5 * F.col("n_a") >= 4 * F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n_a")) & (9 * apart <= F.col("n_a") + F.col("n_b"))).select("a", "b")
+    words = F.least(F.size("k_a"), F.size("k_b"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = lambda k: F.when(F.size(k) > words, F.zip_with(F.slice(k, 1, words), F.slice(k, words + 1, words), xor)).otherwise(F.col(k))
+    apart = F.aggregate(F.zip_with(folded("k_a"), folded("k_b"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda t, x: t + x)
+    alike = (5 * F.col("n_a") >= 4 * F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
+    return pairs.join(one, "a").join(two, "b").where(alike & (9 * apart <= F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def verified(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar, by the sets themselves."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,8 +279,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     b.append(y.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    whole = sets.select("set", "shingles")
-    joined = near.join(whole.select(F.col("set").alias("a"), F.col("shingles").alias("s")), "a").join(whole.select(F.col("set").alias("b"), F.col("shingles").alias("t")), "b")
+    joined = near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("t")), "b")
     return joined.select("a", "b", "s", "t").mapInArrow(exact, "a bigint, b bigint")
 
 
@@ -288,55 +297,64 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("u", "root")
 
 
-def linked_sets(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
+def linked_sets(docs: DataFrame, text_col: str, shared: DataFrame, small: DataFrame) -> DataFrame:
     """(set, root) of the sets that are linked with another one."""
-    spark = shared.sparkSession
-    links = tested = roots = None
-    active = shared
+    rows = shared.count()
+    shared = shared.join(small.select("set", "n"), "set")
+    placed, tested, links, sets = shared.withColumn("root", F.col("set")), None, None, None
+    alike = (5 * F.col("n") >= 4 * F.col("lead_n")) & (5 * F.col("lead_n") >= 4 * F.col("n"))
+    roots = shared.sparkSession.createDataFrame([], "set bigint, root bigint")
     for turn in range(ROUNDS + 1):
-        placed = active.withColumn("root", F.col("set")) if roots is None else active.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-        placed = placed.select("key", "set", "root")
-        if roots is not None:
-            apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-            placed = cut(placed.join(apart, "key", "left_semi"))
-            if placed.limit(1).count() == 0:
-                break
-            active = placed.select("key", "set")
-        if turn < ROUNDS:
-            order = F.struct(F.xxhash64(F.lit(turn), F.col("set")), F.col("set"), F.col("root"))
-            leaders = placed.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.set").alias("lead"), F.col("l.root").alias("lead_root"))
-            met = placed.join(leaders, "key").where(F.col("root") != F.col("lead_root")).select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b"))
+        last = turn == ROUNDS or pairs_apart(placed) <= FEW * rows
+        if last:
+            other = placed.select("key", F.col("set").alias("lead"), F.col("root").alias("lead_root"), F.col("n").alias("lead_n"))
+            met = placed.join(other, "key").where((F.col("root") < F.col("lead_root")) & alike)
         else:
-            other = placed.select("key", F.col("set").alias("lead"), F.col("root").alias("lead_root"))
-            met = placed.join(other, "key").where((F.col("root") < F.col("lead_root"))).select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b"))
-        met = met.distinct()
-        if tested is not None:
-            met = met.join(tested, ["a", "b"], "left_anti")
-        met = cut(met)
-        found = cut(verified(met, sets))
-        tested = met if tested is None else tested.unionByName(met)
-        links = found if links is None else links.unionByName(found)
+            order = F.struct(F.xxhash64(F.lit(turn), F.col("set")), F.col("set"), F.col("root"), F.col("n"))
+            leaders = placed.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.set").alias("lead"), F.col("l.root").alias("lead_root"), F.col("l.n").alias("lead_n"))
+            met = placed.join(leaders, "key").where((F.col("root") != F.col("lead_root")) & alike)
+        met = met.select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct()
+        met = cut(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
+        near = cut(near_pairs(met, small))
+        need = near.select(F.col("a").alias("set")).unionByName(near.select(F.col("b").alias("set"))).distinct()
+        got = cut(sets_of(docs, text_col, cut(need if sets is None else need.join(sets.select("set"), "set", "left_anti"))))
+        sets = got if sets is None else sets.unionByName(got)
+        found = cut(verified(near, sets))
         if found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
             roots = components(links)
-        elif roots is None:
-            roots = spark.createDataFrame([], "set bigint, root bigint")
+        if last:
+            return roots
+        tested = met if tested is None else tested.unionByName(met)
+        placed = shared.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+        apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        placed = cut(placed.join(apart, "key", "left_semi").select("key", "set", "n", "root"))
+        shared = placed.select("key", "set", "n")
     return roots
 
 
+def pairs_apart(placed: DataFrame) -> int:
+    """Pairs of sets that share a bucket and are in different components."""
+    within = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    by_key = within.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"))
+    return int(by_key.agg(F.sum("twice")).first()[0] or 0) // 2
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     named = cut(document_sets(docs, id_col, text_col))
     shared = cut(shared_segments(docs, text_col, frequent_shingles(docs, text_col)))
     least = named.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     if shared.limit(1).count():
-        wanted = cut(shared.select("set").distinct())
-        sets = cut(sets_of(docs, text_col, wanted))
-        roots = linked_sets(shared, sets)
+        known = named.select("set", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["set"])
+        small = cut(known.join(shared.select("set").distinct(), "set", "left_semi"))
+        roots = linked_sets(docs, text_col, shared, small)
         rooted = cut(least.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
         lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("n")).where("n > 1")
         place = rooted.join(lows, "root").select("set", "component_id")
     else:
         place = least.where("copies > 1").select("set", F.col("low").alias("component_id"))
+    named = named.select("doc_id", "n_shingles", "set")
     return named.join(place, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
