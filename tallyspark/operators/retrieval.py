@@ -1,0 +1,53 @@
+"""Retrieval over text: postings, BM25, vectors, and both together."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tallyspark.functions.text import terms
+
+K1, B = 1.5, 0.75
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """term, chunk, tf."""
+    return chunks.select("chunk", F.explode(terms(F.col("text"))).alias("term")).groupBy("term", "chunk").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def chunk_lengths(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk", F.size(terms(F.col("text"))).cast("bigint").alias("dl"))
+
+
+def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query, chunk, score for chunks with a query term. The query's terms, and the two totals, are the small side."""
+    asked = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    lengths = chunk_lengths(chunks)
+    total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    hits = postings(chunks).join(F.broadcast(asked), "term")
+    df = hits.groupBy("query", "term").agg(F.count(F.lit(1)).alias("df"))
+    n, avgdl = F.lit(total["n"]), F.lit(total["avgdl"] or 1.0)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    return hits.join(F.broadcast(df), ["query", "term"]).join(lengths, "chunk").groupBy("query", "chunk").agg(F.round(F.sum(part), 4).alias("score"))
+
+
+def top_k(scored: DataFrame, k: int = 8) -> DataFrame:
+    w = W.partitionBy("query").orderBy(F.desc("score"), "chunk")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def blend(scored: DataFrame, first: str, second: str, weight: float = 0.6) -> DataFrame:
+    """Each signal scaled to its range over the query's candidates (0 where flat), then weighed."""
+    w = W.partitionBy("query")
+
+    def scaled(c: str) -> Column:
+        low, high = F.min(c).over(w), F.max(c).over(w)
+        return F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(0.0)
+
+    return scored.select("query", "chunk", F.round(weight * scaled(first) + (1 - weight) * scaled(second), 4).alias("score"))
