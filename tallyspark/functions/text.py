@@ -65,7 +65,7 @@ def unit_scale(c: Column) -> Column:
     return (
         F.when(u.rlike("^(bn|mrd|mdr)|(bn|mrd|mdr|billions?)$"), 1e9)
         .when(u.rlike("^(m(sek|eur|usd|nok|dkk|gbp|kr)|million)|(millions?|m|mn|mkr)$"), 1e6)
-        .when(u.rlike("^(t(sek|eur|usd|nok|dkk|gbp|kr)|k(sek|eur|usd|nok|dkk|gbp|kr))|(000|thousands?|tkr|k)$"), 1e3)
+        .when(u.rlike("^(t(sek|eur|usd|nok|dkk|gbp|kr)|k(sek|eur|usd|nok|dkk|gbp|kr))|(000|thousands?|tkr)$"), 1e3)
         .otherwise(1.0)
     )
 
