@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import cut
+from tallyspark.llm.common import written
 
 WORDS = 5
 LEAST_BITS = 512
@@ -285,13 +285,13 @@ def verified(near: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(set, root) of every set on an edge, root being the smallest set of its component: least labels with doubling."""
-    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")))
+    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    labels = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")))
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
         least = labels.join(near, "u").select("u", F.least("root", "r").alias("low"), "root")
         up = labels.select(F.col("u").alias("low"), F.col("root").alias("above"))
-        new = cut(least.join(up, "low").select("u", F.least("low", "above").alias("root"), (F.least("low", "above") != F.col("root")).alias("moved")))
+        new = written(least.join(up, "low").select("u", F.least("low", "above").alias("root"), (F.least("low", "above") != F.col("root")).alias("moved")))
         if new.where("moved").limit(1).count() == 0:
             return new.select(F.col("u").alias("set"), "root")
         labels = new.select("u", "root")
@@ -306,7 +306,8 @@ def linked_sets(docs: DataFrame, text_col: str, shared: DataFrame, small: DataFr
     roots = shared.sparkSession.createDataFrame([], "set bigint, root bigint")
     for turn in range(ROUNDS + 1):
         last = turn == ROUNDS or pairs_apart(placed) <= FEW * rows
-        if last:
+        if last:  # these buckets are small tables with many pairs: a fixed number of tasks shares the pairs out
+            placed = placed.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
             other = placed.select("key", F.col("set").alias("lead"), F.col("root").alias("lead_root"), F.col("n").alias("lead_n"))
             met = placed.join(other, "key").where((F.col("root") < F.col("lead_root")) & alike)
         else:
@@ -314,12 +315,12 @@ def linked_sets(docs: DataFrame, text_col: str, shared: DataFrame, small: DataFr
             leaders = placed.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.set").alias("lead"), F.col("l.root").alias("lead_root"), F.col("l.n").alias("lead_n"))
             met = placed.join(leaders, "key").where((F.col("root") != F.col("lead_root")) & alike)
         met = met.select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct()
-        met = cut(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
-        near = cut(near_pairs(met, small))
+        met = written(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
+        near = written(near_pairs(met, small))
         need = near.select(F.col("a").alias("set")).unionByName(near.select(F.col("b").alias("set"))).distinct()
-        got = cut(sets_of(docs, text_col, cut(need if sets is None else need.join(sets.select("set"), "set", "left_anti"))))
+        got = written(sets_of(docs, text_col, written(need if sets is None else need.join(sets.select("set"), "set", "left_anti"))))
         sets = got if sets is None else sets.unionByName(got)
-        found = cut(verified(near, sets))
+        found = written(verified(near, sets))
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             roots = components(links)
@@ -328,7 +329,7 @@ def linked_sets(docs: DataFrame, text_col: str, shared: DataFrame, small: DataFr
         tested = met if tested is None else tested.unionByName(met)
         placed = shared.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
         apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        placed = cut(placed.join(apart, "key", "left_semi").select("key", "set", "n", "root"))
+        placed = written(placed.join(apart, "key", "left_semi").select("key", "set", "n", "root"))
         shared = placed.select("key", "set", "n")
     return roots
 
@@ -342,14 +343,14 @@ def pairs_apart(placed: DataFrame) -> int:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    named = cut(document_sets(docs, id_col, text_col))
-    shared = cut(shared_segments(docs, text_col, frequent_shingles(docs, text_col)))
+    named = written(document_sets(docs, id_col, text_col))
+    shared = written(shared_segments(docs, text_col, frequent_shingles(docs, text_col)))
     least = named.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     if shared.limit(1).count():
         known = named.select("set", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["set"])
-        small = cut(known.join(shared.select("set").distinct(), "set", "left_semi"))
+        small = written(known.join(shared.select("set").distinct(), "set", "left_semi"))
         roots = linked_sets(docs, text_col, shared, small)
-        rooted = cut(least.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
+        rooted = written(least.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
         lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("n")).where("n > 1")
         place = rooted.join(lows, "root").select("set", "component_id")
     else:
