@@ -12,10 +12,11 @@ rare contents first, so that passages which many documents share bind nothing to
 others to offer; the join is on these contents. Sets near the border of two bands also meet in a band across it.
 
 Verification: pairs whose dense sketches (a bit or more for each shingle) lie further apart than they may are dropped, the rest are counted
-exactly. Components need no link twice: in each segment's bucket all sets are tried against one
-leader, components are joined up, and only sets that are still apart are tried again with other leaders. Once the pairs
-still apart are no more than FEW for each row of the buckets, or after ROUNDS leaders, all of them are tried. So no link
-between different components can be missed.
+exactly. Components need no link twice: each set is first tried against the leader of one of its buckets, components are
+joined up, then sets are tried against the leaders of all buckets that still hold different components. Once the pairs
+still apart are no more than FEW for each row of the buckets, or after ROUNDS rounds, all of them are tried, by sketches
+that the bucket rows carry, so that only pairs which pass leave the join. So no link between different components can be
+missed.
 
 Defined results: a null or wordless text has an empty set, linked with nothing, and is its own component; fewer
 than five words are one shingle; equal sets are linked; rows with equal ids keep their rows; a row with a null id
@@ -30,14 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import written
 
 WORDS = 5
 LEAST_BITS = 512
-ROUNDS, FEW = 2, 8
+#: A set meets about this many leaders in a round, however many buckets it shares.
+ROUNDS, FEW, LEADERS = 2, 8, 16
 #: One document in HOT_SAMPLE is looked at for frequent shingles; those found HOT_LEAST times are frequent, the
 #: first MOST_HOT of them. The list decides the order of contents, never whether a link is found.
 HOT_SAMPLE, HOT_LEAST, MOST_HOT = 16, 3, 50_000
@@ -46,6 +48,8 @@ BAND = 16
 #: Words (of 64 bits) of the filter of sets that have a candidate: a fixed size; it may let others pass.
 FILTER_WORDS = 1 << 17
 
+NAMES = ["key", "set", "n"]
+
 U = np.uint64
 P1, P2, P3 = U(0x9E3779B185EBCA87), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
@@ -182,43 +186,45 @@ def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def shared_segments(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """(key, set) of every segment that at least two different sets have. One shuffle of (key, set) rows, streamed in
-    key order; a task holds one batch."""
+    """(key, set, n) of every segment that at least two different sets have; n is the set's size. One shuffle of these rows,
+    streamed in key order; a task holds one batch."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = Frequent(known.value), set()
         with np.errstate(over="ignore"):
             for batch in batches:
-                keys, sets = [], []
+                keys, sets, sizes = [], [], []
                 for value in batch.column(0):
                     s = shingles(value.as_py())
                     if len(s) and (name := set_hash(s)) not in seen:
                         seen.add(name)
                         keys.append(segment_keys(s, table))
                         sets.append(np.full(len(keys[-1]), name, np.int64))
-                yield pa.RecordBatch.from_arrays([signed(keys), signed(sets)], names=["key", "set"])
+                        sizes.append(np.full(len(keys[-1]), len(s), np.int64))
+                yield pa.RecordBatch.from_arrays([signed(keys), signed(sets), signed(sizes)], names=NAMES)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k = held_s = np.empty(0, np.int64)
+        held = [np.empty(0, np.int64)] * 3
         joined = False  # whether the held row has the key of the row before it
         for batch in batches:
-            k, s = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in ((held_k, batch.column(0)), (held_s, batch.column(1))))
+            k, s, n = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns))
             if not len(k):
                 continue
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
-            k, s = k[new], s[new]
+            k, s, n = k[new], s[new], n[new]
             same = k[1:] == k[:-1]
             before, after = np.concatenate([[joined], same]), np.concatenate([same, [False]])
             keep = (before | after)[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(k[:-1][keep]), pa.array(s[:-1][keep])], names=["key", "set"])
-            held_k, held_s, joined = k[-1:], s[-1:], bool(before[-1])
-        if len(held_k) and joined:
-            yield pa.RecordBatch.from_arrays([pa.array(held_k), pa.array(held_s)], names=["key", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (k, s, n)], names=NAMES)
+            held, joined = [k[-1:], s[-1:], n[-1:]], bool(before[-1])
+        if len(held[0]) and joined:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=NAMES)
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "key bigint, set bigint")
+    schema = "key bigint, set bigint, n bigint"
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, schema)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key", "set").mapInArrow(shared, "key bigint, set bigint")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "set").mapInArrow(shared, schema)
 
 
 def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -297,21 +303,36 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("u", "root")
 
 
-def linked_sets(docs: DataFrame, text_col: str, shared: DataFrame, small: DataFrame) -> DataFrame:
-    """(set, root) of the sets that are linked with another one."""
-    rows = shared.count()
-    shared = shared.join(small.select("set", "n"), "set")
-    placed, tested, links, sets = shared.withColumn("root", F.col("set")), None, None, None
+def folded(sketch: Column) -> list[Column]:
+    """The sketch folded to LEAST_BITS, as columns of one word each: a bound like the whole sketch, if a weaker one."""
+
+    def word(k: int) -> Column:
+        own = F.filter(sketch, lambda x, i: i % (LEAST_BITS // 64) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)).alias(f"f{k}")
+
+    return [word(k) for k in range(LEAST_BITS // 64)]
+
+
+def linked_sets(docs: DataFrame, text_col: str, held: DataFrame, small: DataFrame) -> DataFrame:
+    """(set, root) of the sets that are linked with another one. ``held`` has set, n and keys, ``small`` set, n and sketch."""
+    spark = docs.sparkSession
+    rows = held.agg(F.sum(F.size("keys"))).first()[0]
+    tested, links, sets = None, None, None
     alike = (5 * F.col("n") >= 4 * F.col("lead_n")) & (5 * F.col("lead_n") >= 4 * F.col("n"))
-    roots = shared.sparkSession.createDataFrame([], "set bigint, root bigint")
+    own = [f"f{k}" for k in range(LEAST_BITS // 64)]
+    flipped = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"lead_{f}"))) for f in own[1:]), F.bit_count(F.col(own[0]).bitwiseXOR(F.col(f"lead_{own[0]}"))))
+    roots = spark.createDataFrame([], "set bigint, root bigint")
+    # first every set meets one leader, so that groups of copies are joined up before all their keys are looked at
+    placed = held.select(F.array_min("keys").alias("key"), "set", "n", F.col("set").alias("root"))
     for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS or pairs_apart(placed) <= FEW * rows
+        last = turn > 0 and (turn == ROUNDS or pairs_apart(placed) <= FEW * rows)
         if last:  # these buckets are small tables with many pairs: a fixed number of tasks shares the pairs out
-            placed = placed.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-            other = placed.select("key", F.col("set").alias("lead"), F.col("root").alias("lead_root"), F.col("n").alias("lead_n"))
-            met = placed.join(other, "key").where((F.col("root") < F.col("lead_root")) & alike)
+            full = placed.join(small.select("set", *folded(F.col("sketch"))), "set")
+            full = full.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+            other = full.select("key", *(F.col(c).alias(f"lead_{c}") for c in ("set", "root", "n", *own))).withColumnRenamed("lead_set", "lead")
+            met = full.join(other, "key").where((F.col("root") < F.col("lead_root")) & alike & (9 * flipped <= F.col("n") + F.col("lead_n")))
         else:
-            order = F.struct(F.xxhash64(F.lit(turn), F.col("set")), F.col("set"), F.col("root"), F.col("n"))
+            order = F.struct(F.xxhash64(F.lit(turn), F.pmod("key", F.lit(LEADERS)), F.col("set")), F.col("set"), F.col("root"), F.col("n"))
             leaders = placed.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.set").alias("lead"), F.col("l.root").alias("lead_root"), F.col("l.n").alias("lead_n"))
             met = placed.join(leaders, "key").where((F.col("root") != F.col("lead_root")) & alike)
         met = met.select(F.least("set", "lead").alias("a"), F.greatest("set", "lead").alias("b")).distinct()
@@ -327,13 +348,19 @@ def linked_sets(docs: DataFrame, text_col: str, shared: DataFrame, small: DataFr
         if last:
             return roots
         tested = met if tested is None else tested.unionByName(met)
-        placed = shared.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-        apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        placed = written(placed.join(apart, "key", "left_semi").select("key", "set", "n", "root"))
-        shared = placed.select("key", "set", "n")
+        placed = crowded(held, roots)
     return roots
 
 
+def crowded(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, set, n, root) of the buckets that hold sets of different components. Roots are joined to sets, before their keys
+    are spread."""
+    rooted = held.join(roots, "set", "left").select("set", "n", F.coalesce("root", "set").alias("root"), "keys")
+    placed = written(rooted.select(F.explode("keys").alias("key"), "set", "n", "root"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return written(placed.join(apart, "key", "left_semi"))
+
+
 def pairs_apart(placed: DataFrame) -> int:
     """Pairs of sets that share a bucket and are in different components."""
     within = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -344,12 +371,13 @@ def pairs_apart(placed: DataFrame) -> int:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     named = written(document_sets(docs, id_col, text_col))
-    shared = written(shared_segments(docs, text_col, frequent_shingles(docs, text_col)))
+    shared = shared_segments(docs, text_col, frequent_shingles(docs, text_col))
+    held = written(shared.groupBy("set").agg(F.min("n").alias("n"), F.collect_list("key").alias("keys")))  # no more keys than the set emitted
     least = named.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    if shared.limit(1).count():
+    if held.limit(1).count():
         known = named.select("set", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["set"])
-        small = written(known.join(shared.select("set").distinct(), "set", "left_semi"))
-        roots = linked_sets(docs, text_col, shared, small)
+        small = written(known.join(held.select("set"), "set", "left_semi"))
+        roots = linked_sets(docs, text_col, held, small)
         rooted = written(least.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
         lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("n")).where("n > 1")
         place = rooted.join(lows, "root").select("set", "component_id")
