@@ -1,9 +1,11 @@
 """Quality scores by positive-unlabelled learning.
 
-Trusted positives are labelled rows of quality 1; the unlabelled set is a sample of all rows, whose labels
+Trusted positives are labelled rows of quality 1; the unlabelled set is a sample of all documents, whose labels
 are not looked at. A small network is fitted to the non-negative unbiased risk
-``p * R(positive, +) + max(0, R(unlabelled, -) - p * R(positive, -))`` with the class prior p estimated as the
-share of quality 1 among labelled rows. Inputs are counts over the whole text: bytes by class, words, repeats.
+``p * R(positive, +) + max(0, R(unlabelled, -) - p * R(positive, -))``. The class prior p comes from the same two sets:
+a classifier of positives against unlabelled rows is fitted on one half and scores the other, and p is the share of
+unlabelled rows above a cut over the share of positives above it, at the cut where this and its sampling error are least.
+Labels of quality 0 are never read. Inputs are counts over the whole text: bytes by class, words, repeats.
 
 Defined results: a null text counts as empty and is scored like it; a row with a null id is never learned from;
 without positives every score is 0.5; repeated rows get equal scores.
@@ -11,7 +13,7 @@ without positives every score is 0.5; repeated rows get equal scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import held_out
 
-#: Most rows of the fitted sample, taken by smallest hash of the id.
+#: Most positives, and most unlabelled rows, of the fitted sample; both are taken by smallest hash of the id.
 SAMPLE_ROWS = 20_000
 HIDDEN, STEPS, RATE, DECAY, SEED = 24, 600, 0.02, 1e-4, 7
 KEEP = 0.7
+#: Fixed values of the prior's bound: weight of the sampling error, and how sure it is to hold.
+SLACK, DOUBT = 0.01, 0.1
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -76,24 +80,16 @@ def forward(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hidden, hidden @ model["w2"] + model["b2"]
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float) -> dict:
-    """Gradient descent with moment estimates on the non-negative risk; where the unlabelled part falls
-    below zero, only that part is stepped, upwards."""
+def descend(x: np.ndarray, slope: Callable[[np.ndarray], np.ndarray]) -> dict:
+    """Gradient descent with moment estimates; ``slope`` gives the risk's gradient by logit from the rows' scores."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(SEED)
     m = {"w1": rng.normal(0, 0.2, (x.shape[1], HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, 0.2, HIDDEN), "b2": np.zeros(())}
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
-    n_p, n_u = max(1, positive.sum()), len(x)
     for step in range(1, STEPS + 1):
         hidden, z = forward(m, x)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        loss_minus = -np.log(np.clip(1 - p, 1e-12, 1))
-        rest = loss_minus.mean() - prior * loss_minus[positive].sum() / n_p
-        grad_u = p / n_u
-        grad_pm = np.where(positive, prior * p / n_p, 0)
-        grad_pp = np.where(positive, prior * (p - 1) / n_p, 0)
-        g = grad_pp + grad_u - grad_pm if rest >= 0 else -(grad_u - grad_pm)
+        g = slope(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         back = np.outer(g, m["w2"]) * (1 - hidden**2)
         grads = {"w1": x.T @ back + DECAY * m["w1"], "b1": back.sum(axis=0), "w2": hidden.T @ g + DECAY * m["w2"], "b2": g.sum()}
         for k in m:
@@ -103,18 +99,62 @@ def fit(x: np.ndarray, positive: np.ndarray, prior: float) -> dict:
     return m | {"mean": mean, "scale": scale}
 
 
+def scores(model: dict, x: np.ndarray) -> np.ndarray:
+    _, z = forward(model, np.clip((x - model["mean"]) / model["scale"], -8, 8))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> dict:
+    """The non-negative risk of both sets, which may share rows; where the unlabelled part falls below zero, only
+    that part is stepped, upwards."""
+    w_p, w_u = positive / max(1, positive.sum()), unlabelled / max(1, unlabelled.sum())
+
+    def slope(p: np.ndarray) -> np.ndarray:
+        rest = ((w_u - prior * w_p) * -np.log(np.clip(1 - p, 1e-12, 1))).sum()
+        grad_rest = (w_u - prior * w_p) * p
+        return prior * w_p * (p - 1) + grad_rest if rest >= 0 else -grad_rest
+
+    return descend(x, slope)
+
+
+def class_prior(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows, from the two sets alone."""
+    found = []
+    for half in (np.arange(len(x)) % 2 == 0, np.arange(len(x)) % 2 == 1):
+        n_p, n_u = (positive & half).sum(), (unlabelled & half).sum()
+        w_p, w_u = (s[~half] / max(1, s[~half].sum()) for s in (positive, unlabelled))
+        if not (n_p and n_u and w_p.any() and w_u.any()):
+            continue
+        score = scores(descend(x[~half], lambda p: w_p * (p - 1) + w_u * p), x[half])
+        of_p, of_u = np.sort(score[positive[half]]), np.sort(score[unlabelled[half]])
+        above_p, above_u = 1 - np.arange(n_p) / n_p, 1 - np.searchsorted(of_u, of_p) / n_u
+        error = (1 + SLACK) * (np.sqrt(np.log(4 / DOUBT) / 2 / n_p) + np.sqrt(np.log(4 / DOUBT) / 2 / n_u))
+        best = np.argmin((above_u + error) / above_p)
+        found.append(above_u[best] / above_p[best])
+    return min(0.99, max(0.01, float(np.mean(found)))) if found else 0.5
+
+
+def smallest(ids: DataFrame) -> DataFrame:
+    return ids.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).distinct().orderBy(F.xxhash64(F.lit(SEED), F.col("doc_id")), "doc_id").limit(SAMPLE_ROWS)
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, positive, unlabelled and features of the rows to learn from: at most SAMPLE_ROWS of each kind, none held out."""
+    trusted = smallest(labels.where("quality = 1").select("doc_id"))
+    chosen = trusted.withColumn("positive", F.lit(True)).join(smallest(docs.select("doc_id")).withColumn("unlabelled", F.lit(True)), "doc_id", "full_outer")
+    chosen = chosen.select("doc_id", F.coalesce("positive", F.lit(False)).alias("positive"), F.coalesce("unlabelled", F.lit(False)).alias("unlabelled"))
+    return featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "positive", "unlabelled"])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Fit on at most SAMPLE_ROWS labelled rows that aren't held out; the driver gets their features, not their texts."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64(F.lit(SEED), F.col("doc_id")), "doc_id").limit(SAMPLE_ROWS)
-    rows = featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "quality"]).collect()
-    if not any(r["quality"] == 1 for r in rows):
+    """Fit on the sample; the driver gets its features, not its texts."""
+    rows = sample(docs, labels).collect()
+    if not any(r["positive"] for r in rows):
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    positive = np.array([r["quality"] == 1 for r in rows])
-    prior = min(0.99, max(0.01, float(positive.mean())))
+    x, positive, unlabelled = np.array([r["x"] for r in rows]), np.array([r["positive"] for r in rows]), np.array([r["unlabelled"] for r in rows])
     with np.errstate(over="ignore"):
-        return fit(np.array([r["x"] for r in rows]), positive, prior)
+        return fit(x, positive, unlabelled, class_prior(x, positive, unlabelled))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -127,9 +167,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if model is None or not batch.num_rows:
                 score = np.full(batch.num_rows, 0.5)
             else:
-                x = np.array([features(t.as_py()) for t in batch.column(2)])
-                _, z = forward(model, np.clip((x - model["mean"]) / model["scale"], -8, 8))
-                score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                score = scores(model, np.array([features(t.as_py()) for t in batch.column(2)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= KEEP).astype("int32"))], names=["doc_id", "held_out", "score", "predicted"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()

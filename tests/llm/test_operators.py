@@ -144,6 +144,15 @@ def test_quality_on_held_out_rows(spark):
     assert [r["score"] for r in clean] == [0.5, 0.5]
 
 
+def test_quality_learns_from_positives_and_unlabelled_rows_only(spark):
+    d, q = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    score = lambda labels: sorted(map(tuple, puquality.score_quality(d, labels).select("doc_id", "score").collect()))
+    assert score(q) == score(q.where("quality = 1"))
+    labelled, rows = {r["doc_id"] for r in q.collect()}, puquality.sample(d, q).collect()
+    assert {r["doc_id"] for r in rows if r["unlabelled"]} - labelled
+    assert len(rows) == d.where(~puquality.held_out("doc_id")).count()
+
+
 def test_language_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify_languages(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
