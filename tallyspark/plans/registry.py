@@ -199,6 +199,11 @@ def c02_row_label(spark, d):
     return cp.table(spark, d, "documents").select("doc_id", tx.row_label(F.split("text", "\n")[0]).alias("label"))
 
 
+@query(f"WITH {LINES} SELECT stem, page, n, regexp_replace(regexp_extract(line, '^([^0-9]*)', 1), '[\\s.,:;\\-]+$', '') AS label FROM ln")
+def c02_row_label_lines(spark, d):
+    return lines_of(spark, d).select("stem", "page", "n", tx.row_label(F.col("line")).alias("label"))
+
+
 @query("""WITH h AS (SELECT user_id, event_id, ts, value, CASE WHEN event_id % 7 = 0 THEN event_id END AS header FROM events)
  SELECT event_id, last_value(header IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS header FROM h""")
 def c07_attach_header(spark, d):

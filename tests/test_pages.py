@@ -1,6 +1,7 @@
 """Page operators on small cases that the given tables don't hold."""
 
 from tallyspark.operators import pages as pg
+from tallyspark.plans import registry
 
 
 def test_citations_are_found_where_marks_are_glued_to_them(spark):
@@ -17,3 +18,7 @@ def test_citation_levels(spark):
     pages = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = sorted(map(tuple, pg.citation_levels(cited, pages).select("item_id", "matched", "times").collect()))
     assert got == [(0, "quote", 1), (1, "line", 1), (2, "value", 2), (3, "none", 0), (4, "none", 0), (5, "quote", 1), (6, "none", 0), (9, "none", 0)]
+
+
+def test_every_row_is_labelled(spark, sf):
+    assert registry.queries()["c02_row_label_lines"](spark, sf).count() == registry.lines_of(spark, sf).count() > registry.pages_of(spark, sf).count()
