@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions.text import terms
 
 K1, B = 1.5, 0.75
+#: Most vectors of a block, on either side of a matrix product.
+BLOCK = 256
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -42,6 +48,34 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def vector_blocks(vectors: DataFrame, ids: str, values: str, block: int = BLOCK) -> DataFrame:
+    """Rows of at most ``block`` ids and vectors, one after the other in ``values``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                flat = part.column(1).flatten().cast(pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], names=[ids, values])
+
+    return vectors.where(F.col(vectors.columns[1]).isNotNull()).mapInArrow(run, f"{ids} array<bigint>, {values} array<double>")
+
+
+def cosine(vectors: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """vec_id, query and dot product of every vector with every query vector (columns id, vector of unit length), by matrix
+    products of two blocks. Null vectors are left out; other sizes than the block's are an error."""
+    pairs = vector_blocks(vectors, "vec_ids", "v", block).crossJoin(vector_blocks(queries, "query_ids", "q", block))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                vec, v, query, q = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(4))
+                product = v.reshape(len(vec), -1) @ q.reshape(len(query), -1).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(vec, len(query))), pa.array(np.tile(query, len(vec))), pa.array(product.ravel())], names=["vec_id", "query", "cosine"])
+
+    return pairs.select("vec_ids", "v", "query_ids", "q").mapInArrow(run, "vec_id bigint, query bigint, cosine double")
+
+
 def blend(scored: DataFrame, first: str, second: str, weight: float = 0.6) -> DataFrame:
     """Each signal scaled to its range over the query's candidates (0 where flat), then weighed."""
     w = W.partitionBy("query")

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark.functions import text as tx
 from tallyspark.operators import maturity as mt
@@ -451,10 +450,13 @@ def h08_top_k(spark, d):
 @query("SELECT v.vec_id, q.vec_id AS query, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS cosine FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 3) q")
 def h06_cosine(spark, d):
     e = cp.table(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = e.where("vec_id < 3").agg(F.collect_list(F.struct(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))).alias("qs")).first()["qs"]
-    block = spark.createDataFrame([([(r["query"], r["q"]) for r in asked],)], T.StructType([T.StructField("qs", T.ArrayType(T.StructType([T.StructField("query", T.LongType()), T.StructField("q", T.ArrayType(T.FloatType()))])))]))
-    qs = F.array(*[F.struct(F.lit(r["query"]).cast("bigint").alias("query"), F.array(*[F.lit(float(x)) for x in r["q"]]).alias("q")) for r in block.first()["qs"]])
-    return e.select("vec_id", "embedding", F.explode(qs).alias("p")).select("vec_id", "p.query", F.round(rt.dot(F.col("embedding"), F.col("p.q")), 4).alias("cosine"))
+    return rt.cosine(e, e.where("vec_id < 3")).withColumn("cosine", F.round("cosine", 4))
+
+
+@query("SELECT v.vec_id, q.vec_id AS query, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) + 0 AS cosine FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q")
+def h06_cosine_blocks(spark, d):
+    e = cp.table(spark, d, "embeddings").select("vec_id", "embedding")
+    return rt.cosine(e, e.where("vec_id % 50 = 0")).withColumn("cosine", F.round("cosine", 4))
 
 
 @query(f"""WITH {BM25}, lc AS (SELECT sc.query, chunk, score, dl FROM sc JOIN le USING (chunk)), mm AS (SELECT *, min(score) OVER q AS a, max(score) OVER q AS b, min(dl) OVER q AS c, max(dl) OVER q AS e FROM lc WINDOW q AS (PARTITION BY query))
@@ -494,6 +496,16 @@ def i02_extend_directory(spark, d):
     return cp.table(spark, d, "supplier").select(F.col("s_name").alias("name"), digits("s_name").alias("k")).join(known, "k", "left_anti").select("name")
 
 
+_DIGITS = "regexp_replace({0}, '[^0-9]', '', 'g')"
+
+
+@query(f"""SELECT c_name AS name FROM customer UNION ALL SELECT min(s_name) FROM supplier
+ WHERE {_DIGITS.format('s_name')} NOT IN (SELECT {_DIGITS.format('c_name')} FROM customer) GROUP BY {_DIGITS.format('s_name')}""")
+def i02_extend_directory_all(spark, d):
+    named = lambda t, c: cp.table(spark, d, t).select(F.col(c).alias("name"), F.regexp_replace(c, "[^0-9]", "").alias("key"))
+    return cp.extend_directory(named("customer", "c_name"), named("supplier", "s_name")).select("name")
+
+
 @query("SELECT c_name AS name FROM customer WHERE contains(lower(c_name), '11') ORDER BY NOT starts_with(lower(c_name), '11'), c_name LIMIT 50")
 def i03_search_companies(spark, d):
     low = F.lower("name")

@@ -41,6 +41,12 @@ def upsert(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(existing.select(*keys), keys, "left_anti")
 
 
+def extend_directory(companies: DataFrame, roster: DataFrame) -> DataFrame:
+    """The whole catalogue (name, key), then the roster's names whose key it doesn't have, one for each key."""
+    extra = roster.join(companies.select("key"), "key", "left_anti").groupBy("key").agg(F.min("name").alias("name"))
+    return companies.select("name", "key").unionByName(extra)
+
+
 def pages_view(docs: DataFrame) -> DataFrame:
     """Documents as pages: the source is the report, its documents are the pages in order of id."""
     return docs.select(F.col("source").alias("stem"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("bigint").alias("page"), "doc_id", "text")
