@@ -5,7 +5,8 @@ page is cut into text blocks; of the pages before and after it on the same host,
 is its pair. The block lists of both are aligned by longest common subsequence, and blocks that both have, the
 site's furniture, are deleted. Two things are kept from differencing: running text of an ``article`` or
 ``main`` element, and pages that are copies of each other (COPY of their text shared), which would
-otherwise lose everything. What HTML itself marks as not main text goes by its mark.
+otherwise lose everything. What HTML itself marks as not main text goes by its mark, but no mark takes away a ``main``,
+nor an ``article`` of a page that has neither outside of marks (comments aside): such a mark is ignored.
 
 Defined results: a null or empty html, or one without main text, gives ""; a null url counts as "";
 a host's only page is not differenced; repeated pages are copies; broken markup is read as far as it goes.
@@ -30,13 +31,16 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that close an open paragraph are all blocks; these keep end tags of what is outside from closing them.
 WALLS = frozenset("article main body html".split())
 DROPPED = frozenset("head title nav footer aside form script style noscript template iframe object svg math canvas button select textarea dialog menu search".split())
+#: What is dropped whatever it holds.
+UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas button select textarea".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Words of class or id names that mark what is not main text.
+#: Class or id names that mark what is not main text: a name is a mark if it has one of these words and else only PLACES.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist comentarios kommentare commentaires respond replies reply disqus "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation pager pagination promo promotion related recommended "
     "share sharing social sidebar sidebars side sponsor sponsored toolbar widget widgets footer masthead skip".split()
 )
+PLACES = frozenset("area bar block body bottom box button buttons entry form global icon icons item items left link links list main page panel post primary right secondary section site slot top unit".split())
 COMMENTS = frozenset("comment comments reply replies respond".split())
 COPY = 0.8
 #: Share of a block's text in links from which it counts as a list of links.
@@ -46,23 +50,33 @@ Block = tuple[str, bool, bool]  # text, in the main part, mostly links
 
 
 def marks_of(attrs: list[tuple[str, str | None]]) -> set[str]:
-    names = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
-    return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
+    found: set[str] = set()
+    for name in " ".join(v or "" for k, v in attrs if k in ("class", "id")).split():
+        words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if words <= MARKS | PLACES:
+            found |= words & MARKS
+    return found
 
 
 class BlockReader(HTMLParser):
     """Text blocks of a page, in order, without what is marked as not main text."""
 
-    def __init__(self) -> None:
+    def __init__(self, ignored: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, main, in a header
+        self.open: list[tuple] = []  # tag, dropped, main, in a header, marked elements around (number, of comments), None if unseen
+        self.ignored, self.number = ignored, 0
+        self.plain, self.around_main, self.around_article = False, set(), set()
         self.blocks: list[Block] = []
         self.words: list[str] = []
         self.linked = 0
         self.links = 0
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def state(self) -> tuple:
+        return self.open[-1][1:] if self.open else (False, False, False, ())
+
+    def wrongly_marked(self) -> frozenset[int]:
+        """Numbers of the marked elements that hold the page's main part."""
+        return frozenset(self.around_main if self.plain or self.around_main else self.around_article)
 
     def flush(self) -> None:
         text = "".join(self.words)
@@ -91,21 +105,24 @@ class BlockReader(HTMLParser):
             self.words.append(" ")
         if tag in VOID:
             return
-        dropped, main, header = self.state()
+        self.number += 1
+        dropped, main, header, marks = self.state()
         given = dict(attrs)
         names = marks_of(attrs)
         here = tag in ("article", "main") or given.get("role") in ("main", "article")
-        if tag in DROPPED or given.get("role") in ROLES or "hidden" in given or re.search(r"display\s*:\s*none", given.get("style") or ""):
-            dropped = True
-        elif tag == "header" and not main:
-            dropped = True
-        elif here and names & COMMENTS:
-            dropped = True
-        elif not here and tag not in ("html", "body") and names & MARKS:
-            dropped = True
+        if tag in UNSEEN or "hidden" in given or re.search(r"display\s*:\s*none", given.get("style") or "") or (here and names & COMMENTS):
+            dropped, marks = True, None
+        elif self.number not in self.ignored and (tag in DROPPED or given.get("role") in ROLES or (tag == "header" and not main) or (not here and tag not in ("html", "body") and names & MARKS)):
+            dropped, marks = True, None if marks is None else (*marks, (self.number, bool(names & COMMENTS)))
+        if here and marks is not None:
+            self.plain |= not marks
+            if tag == "main" or given.get("role") == "main":
+                self.around_main.update(n for n, _ in marks)
+            elif not any(of_comments for _, of_comments in marks):
+                self.around_article.update(n for n, _ in marks)
         if tag == "header" and main:
             header = True
-        self.open.append((tag, dropped, main or here, header and tag not in HEADINGS))
+        self.open.append((tag, dropped, main or here, header and tag not in HEADINGS, marks))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -124,7 +141,7 @@ class BlockReader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        dropped, _, header = self.state()
+        dropped, _, header, _ = self.state()
         if not dropped and not header:
             self.words.append(data)
             self.linked += len(data) if self.links else 0
@@ -138,6 +155,10 @@ def read_blocks(html: str | None) -> list[Block]:
     reader = BlockReader()
     reader.feed(html or "")
     reader.close()
+    if wrong := reader.wrongly_marked():
+        reader = BlockReader(wrong)
+        reader.feed(html or "")
+        reader.close()
     return reader.blocks
 
 

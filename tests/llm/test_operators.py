@@ -169,6 +169,24 @@ def test_pages(spark):
     assert got == {1: "T & x one two three four five", 2: "Only here 1", 3: "Only here 2", 4: "", 5: "", 6: "Site name Only here 3 About us"}
 
 
+def test_marks_do_not_take_the_main_part_away():
+    text = lambda html: pagediff.main_text(pagediff.read_blocks(html), None)
+    for name in ("content-sidebar-wrap", "no-sidebar", "has-sidebar", "side-by-side", "with-comments", "sidebar", "overlay", "sidebar-left"):
+        for tag in ("main", "article"):
+            assert text(f"<body><div class='ad'>buy</div><div class='x {name}'><p>above</p><{tag}><p>one<div class='share'>no</div></{tag}></div>") == "one", (name, tag)
+        assert text(f"<body><form id='{name}'><div role='main'>one</div></form>") == "one"
+    assert text("<body><article>one</article><div class='related'><article>no</article></div><aside><article>no</article></aside>") == "one"
+    assert text("<body><p>one</p><div id='comments'><article>no</article></div><div class='main-nav'>no</div><div class='cookieBanner'>no</div>") == "one"
+    assert text("<body><template><main>no</main></template><div class='has-sidebar'><p>one</p></div><div hidden><article>no</article></div>") == "one"
+
+
+def test_wrapped_blocks_outside_the_main_part_are_differenced(spark):
+    page = "<body><div class='has-sidebar'><div>Site name</div><p>Only here {}</p><div>About us</div></div></body>"
+    rows = [(i, f"http://b.x/p/{i}", page.format(i)) for i in (1, 2)]
+    got = {r["page_id"]: r["text"] for r in pagediff.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Only here 1", 2: "Only here 2"}
+
+
 def test_common_blocks_is_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(200):
