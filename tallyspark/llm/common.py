@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
-import bisect
-import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most parts that a range layout is cut into; also the most keys that the driver holds for it.
-MAX_RANGE_PARTS = 4096
+#: Characters of payload that a part of a range layout aims at, most parts, and sampled keys for each part.
+PART_CHARS, MAX_RANGE_PARTS, KEYS_PER_PART = 64_000_000, 50_000, 8
+#: Bytes of an Arrow batch that goes to Python, but for its last row: both sides hold a batch at once.
+ARROW_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ARROW_BYTES where it has no smaller bound, so that what a Python worker and its
+    executor hold doesn't follow the length of texts and arrays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
+def map_batches(rows: DataFrame, body: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` over small batches."""
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(body, schema)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local one only where none is named."""
+    """The folder that driver and executors share, as the session names it. Without one, a local master gets a temporary
+    folder; on a cluster that is an error, since executors would write to disks of their own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"tallyspark-{uuid.uuid4().hex[:8]}"))
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            named = f"{tempfile.gettempdir()}/tallyspark-{uuid.uuid4().hex[:8]}"
+        sc.setCheckpointDir(named)
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -35,7 +56,18 @@ def written(df: DataFrame) -> DataFrame:
     checkpoint keeps the estimate of its plan, and in a loop of joins estimates multiply to numbers of millions of digits."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            at = jvm.org.apache.hadoop.fs.Path(t.table_path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -48,56 +80,65 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def lay_out_in_order(df: DataFrame, key: str, payload: list[str], descending: bool, wrap: bool, both_sides: bool = False) -> DataFrame:
-    """Lay rows out so that every task streams a run of neighbours in key order.
+def lay_out_in_order(df: DataFrame, key: str, payload: list[str], wrap: bool = False, both_sides: bool = False) -> DataFrame:
+    """Lay rows out so that every task streams a run of neighbours in order of ``key`` (a string without nulls), rows of
+    equal keys in order of a hash of their payload.
 
-    ``key`` must have no nulls. Keys are cut into parts at quantiles of a bounded sample of keys (any
-    cuts give right results). A part also gets copies ("ghosts") of the rows with the first key of
-    the part that follows and, with ``both_sides``, with the last key of the part before. With ``wrap`` the first
-    key of all follows the last. Returns part, ghost (-1 before, 0 own, 1 after), key and payload, each task's rows
-    sorted by part, ghost, key and a hash of the payload. Nothing is gathered but keys: at most
-    MAX_RANGE_PARTS sampled ones and two for each part.
+    Rows are cut into as many parts as their characters ask for, at sampled rows, one part to a partition. A hash
+    threshold picks the sample, so that the driver gets KEYS_PER_PART keys for each part whatever the input.
+    A part runs from its first row up to the next part's first row, of which it gets a copy (ghost 1); with ``wrap``
+    the first row of all follows the last. With ``both_sides`` a part also gets the last row of the part before (ghost -1).
+    Returns part, ghost (0 for a part's own rows), sort and payload, each partition sorted by ghost and sort.
     """
     spark = df.sparkSession
-    parts = min(MAX_RANGE_PARTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sampled = [r[0] for r in df.select(key).orderBy(F.xxhash64(key), key).limit(MAX_RANGE_PARTS).collect()]
-    ordered = sorted(set(sampled))
-    bounds = sorted({ordered[i * len(ordered) // parts] for i in range(1, parts)}) if ordered else []
+    small_batches(spark)
+    sort = F.concat_ws("\x00", F.col(key), F.lpad(F.hex(F.xxhash64(*payload)), 16, "0"))
+    rows = df.select(sort.alias("sort"), *payload)
+    size = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)).cast("bigint") for c in payload), F.lit(0))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("chars"), F.min("sort").alias("first")).first()
+    wanted = min(MAX_RANGE_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total["chars"] or 0) // PART_CHARS + 1))
+    share = min(1.0, KEYS_PER_PART * wanted / max(1, total["n"]))
+    chosen = F.pmod(F.xxhash64(F.lit(3), "sort"), F.lit(1 << 40)) <= int(share * (1 << 40))
+    sampled = sorted({r[0] for r in rows.where(chosen).select("sort").collect()})
+    bounds = sorted({sampled[i * len(sampled) // wanted] for i in range(1, wanted)}) if sampled else []
+    table = np.array(bounds, object)
 
     @F.pandas_udf("int")
     def part_of(keys: pd.Series) -> pd.Series:
-        return pd.Series([bisect.bisect_right(bounds, k) for k in keys], dtype="int32")
-
-    ends = df.select(key, part_of(key).alias("part")).groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()
-    ends.sort(key=lambda r: r["part"], reverse=descending)
-    first = {r["part"]: r["high" if descending else "low"] for r in ends}
-    last = {r["part"]: r["low" if descending else "high"] for r in ends}
-    order = [r["part"] for r in ends]
-    ghosts = [(first[q], p, 1) for p, q in zip(order, order[1:])]
-    if wrap and order:
-        ghosts.append((first[order[0]], order[-1], 1))
+        return pd.Series(np.searchsorted(table, keys.to_numpy(object), "right") if len(table) else np.zeros(len(keys)), dtype="int32")
+
+    own = rows.select(part_of("sort").alias("part"), F.lit(0).alias("ghost"), "sort", *payload)
+    ghosts = [(b, i, 1) for i, b in enumerate(bounds)]  # a bound is the first row of part i + 1
+    if wrap and total["n"]:
+        ghosts.append((total["first"], len(bounds), 1))
     if both_sides:
-        ghosts += [(last[p], q, -1) for p, q in zip(order, order[1:])]
-    kind = df.schema[key].dataType.simpleString()
-    to = spark.createDataFrame(ghosts, f"{key} {kind}, part int, ghost int")
-    own = df.select(part_of(key).alias("part"), F.lit(0).alias("ghost"), key, *payload)
-    copies = df.select(key, *payload).join(F.broadcast(to), key).select("part", "ghost", key, *payload)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    by_key = F.col(key).desc() if descending else F.col(key).asc()
-    return own.unionByName(copies).repartition(n, "part").sortWithinPartitions("part", "ghost", by_key, F.xxhash64(*payload))
+        last = own.groupBy("part").agg(F.max("sort").alias("sort")).collect()
+        ends, low = {r["part"]: r["sort"] for r in last}, None
+        for part in range(len(bounds) + 1):
+            if low is not None:
+                ghosts.append((low, part, -1))
+            low = ends.get(part, low)
+    to = spark.createDataFrame(ghosts, "sort string, part int, ghost int")
+    copies = rows.join(F.broadcast(to), "sort").select("part", "ghost", "sort", *payload)
+    return own.unionByName(copies).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "ghost", "sort")
 
 
-#: Most rows of a per-host or per-source table that is broadcast; a larger one is joined by shuffle, salted.
-MOST_BROADCAST, SALTS = 100_000, 32
+#: Most rows of a per-host or per-source table that is broadcast; a larger one is joined by shuffle, salted. A salt holds
+#: about this many rows of a hot key.
+MOST_BROADCAST, ROWS_PER_SALT = 100_000, 1_000_000
 
 
 def join_by_group(rows: DataFrame, table: DataFrame, key: str, spread: Column) -> DataFrame:
     """``rows`` with the columns of ``table`` (one row for each key, already cut), where one key may hold most rows.
 
-    The table's size is counted: a small one is broadcast; of a larger one each row is copied to SALTS
-    salts, so that a hot key is joined by as many tasks.
+    The table's size is counted: a small one is broadcast. Of a larger one each key gets a salt for every ROWS_PER_SALT of
+    its rows (counted here), so that a hot key is joined by as many tasks as it needs and others are copied once.
     """
     if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         return rows.join(F.broadcast(table), key)
-    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+    crowd = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = cut(crowd.where(F.col("__n") > ROWS_PER_SALT).select(key, F.ceil(F.col("__n") / ROWS_PER_SALT).cast("int").alias("__salts")))  # at most rows / ROWS_PER_SALT keys
+    salts = F.coalesce("__salts", F.lit(1))
+    salted = table.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
+    return dealt.join(salted, [key, "__salt"]).drop("__salt")

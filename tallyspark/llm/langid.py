@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import held_out
+from tallyspark.llm.common import held_out, map_batches
 
 #: Sampled rows of a language, code points of each, and bytes of a dictionary: the bounds of the fitted sample.
 DICTIONARY_ROWS, EXCERPT, DICTIONARY_BYTES = 64, 4096, 112_640
@@ -81,7 +81,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, margin double, rejected boolean")
+    return map_batches(rows, run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, margin double, rejected boolean")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

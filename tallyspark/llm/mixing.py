@@ -5,7 +5,9 @@ a Poisson distribution of that mean by inverting the distribution at a number ha
 row is repeated as often, and all copies are dealt out by a hash of seed, id and copy.
 
 Defined results: a null source counts as the source ""; a null id hashes as ""; sources without a
-given weight have weight 0 when weights are given; rows with equal ids get equal counts; no rows, no copies.
+given weight have weight 0 when weights are given, null weights too, and of several weights of a source the largest holds;
+rows with equal ids get equal counts; copies of rows with equal ids are dealt to one place in no set order; no rows, no copies. In
+``replicate`` a document's own columns named copy, n_copies or rate give way to the results; ``repeated`` keeps all.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: DataFrame
     if weights is None:
         weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))
     else:
-        given = weights.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"), F.col("weight").cast("double").alias("w"))
+        given = weights.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source")).agg(F.max(F.col("weight").cast("double")).alias("w"))
         weighed = counts.join(given, "__source", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     weighed = cut(weighed)
     total = weighed.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
@@ -55,18 +57,32 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: DataFrame
     return weighed.select("__source", rate.alias("rate")).withColumn("steps", poisson_steps(F.col("rate")))
 
 
-def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: DataFrame | None = None) -> DataFrame:
-    """All columns of the documents, with copy (from 1), n_copies and rate, shuffled."""
-    rates = cut(source_rates(docs, source_col, weights))
+RESULTS = ("copy", "n_copies", "rate")
+
+
+def dealt_copies(docs: DataFrame, id_col: str, source_col: str, weights: DataFrame | None) -> DataFrame:
+    """The documents' columns with __copy, __n_copies and __rate, shuffled."""
+    rates = cut(source_rates(docs, source_col, weights).select("__source", F.col("rate").alias("__rate"), F.col("steps").alias("__steps")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    joined = join_by_group(rows, rates, "__source", key).withColumn("__u", uniform(key))
-    drawn = joined.withColumn("n_copies", F.size(F.filter("steps", lambda c: c < F.col("__u"))).cast("bigint")).where(F.col("n_copies") > 0)
-    copies = drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_copies"))).alias("copy"), "n_copies", "rate")
-    order = F.md5(F.concat_ws(":", F.lit(str(SEED)), key, F.col("copy").cast("string")).cast("binary"))
+    rows = docs.select(*own, key.alias("__key"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"))
+    joined = join_by_group(rows, rates, "__source", F.col("__key")).withColumn("__u", uniform(F.col("__key")))
+    drawn = joined.withColumn("__n_copies", F.size(F.filter("__steps", lambda c: c < F.col("__u"))).cast("bigint")).where(F.col("__n_copies") > 0)
+    copies = drawn.select(*own, "__key", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n_copies"))).alias("__copy"), "__n_copies", "__rate")
+    order = F.md5(F.concat_ws(":", F.lit(str(SEED)), "__key", F.col("__copy").cast("string")).cast("binary"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = copies.withColumn("__order", order).repartition(n, "__order").sortWithinPartitions("__order")
-    return dealt.drop("__order")
+    return copies.withColumn("__order", order).repartition(n, "__order").sortWithinPartitions("__order").drop("__order", "__key")
+
+
+def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: DataFrame | None = None) -> DataFrame:
+    """The documents with copy (from 1), n_copies and rate, shuffled."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
+    return dealt_copies(docs, id_col, source_col, weights).select(*own, *(F.col(f"__{c}").alias(c) for c in RESULTS))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: DataFrame | None = None) -> DataFrame:
+    """The documents as often as drawn, shuffled, with their own columns alone, whatever these are called."""
+    return dealt_copies(docs, id_col, source_col, weights).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: The same rows in DuckDB SQL.

@@ -9,7 +9,10 @@ otherwise lose everything. What HTML itself marks as not main text goes by its m
 nor an ``article`` of a page that has neither outside of marks (comments aside): such a mark is ignored.
 
 Defined results: a null or empty html, or one without main text, gives ""; a null url counts as "";
-a host's only page is not differenced; repeated pages are copies; broken markup is read as far as it goes.
+a host's only page is not differenced; repeated pages are copies; broken markup is read as far as it goes; of two
+neighbours that share as much path, the one before is the pair; pages of one URL stand in order of a hash of their content.
+A page of any length is read whole, and a task holds three. An empty table gives an empty result; columns of other names
+are not looked at.
 """
 
 from __future__ import annotations
@@ -236,7 +239,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     rows = pages.select(F.concat_ws("\x01", host, path).alias("__key"), F.col("page_id").alias("__page"), F.col("url").alias("__url"), F.col("html").alias("__html"))
-    laid = lay_out_in_order(rows, "__key", ["__page", "__url", "__html"], descending=False, wrap=False, both_sides=True)
+    laid = lay_out_in_order(rows, "__key", ["__page", "__url", "__html"], both_sides=True)
     names = ["page_id", "url", "text", "n_chars"]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -251,7 +254,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             return shared_segments(a["path"], b["path"])
 
         def flushed(rows: list[tuple]) -> pa.RecordBatch:
-            ids, urls, texts = zip(*rows) if rows else ((), (), ())
+            ids, urls, texts = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in ids], batch_type[0]), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=names)
 
         def settle(before, now, after) -> None:
@@ -272,10 +275,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             settle(before, now, after)
             before, now = now, after
             size += len(html or "")
-            if size > 4_000_000:
+            if out and size > 4_000_000:
                 yield flushed(out)
                 out, size = [], 0
         settle(before, now, None)
-        yield flushed(out)
+        if out:
+            yield flushed(out)
 
     return laid.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars bigint")

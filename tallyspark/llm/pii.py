@@ -3,12 +3,14 @@
 The base patterns give seed mentions. Every other run of digits with separators, and every token with
 an ``@``, is an open mention. A document's mentions form a graph: a chain edge joins neighbours in the text, a
 skip edge joins each mention to the one before it with the same key (digits, or lower-case local part) or
-with the same last digits. Node potentials are log-odds of mention shapes counted over the corpus; seeds
-are fixed to their kind. Loopy message passing gives each open mention a belief; one over THRESHOLD adds a span
-of that kind. Base spans are never changed.
+with the same last digits. Node potentials are log-odds of mention shapes, and edge weights those of equal labels at
+both ends, counted over the corpus. Seeds are fixed to their kind. Loopy message passing over the graph of every document with
+an open mention gives each such mention a belief; one over THRESHOLD adds a span of that kind. Base spans are never changed.
 
 Defined results: a null or empty text has no mentions; texts without a digit or ``@`` are passed over at
-once; spans are code points, end exclusive; repeated rows give repeated results.
+once; spans are code points, end exclusive; a text of any length is read whole; of kinds with equal belief the first as listed
+wins; repeated rows give repeated results; an empty table gives an empty result; columns of other names are not looked at,
+or kept by ``mask_personal_data``.
 """
 
 from __future__ import annotations
@@ -23,10 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import map_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Edge weights, rounds of message passing, and the belief from which a span is added.
-SKIP, CHAIN, ROUNDS, THRESHOLD = 5.0, 0.2, 12, 0.6
+#: Rounds of message passing, and the belief from which a span is added.
+ROUNDS, THRESHOLD = 12, 0.6
+#: Pairs of seeds with equal and with other labels at a skip edge that count as seen beforehand, and the largest weight.
+SKIP_SEEN, MOST_SKIP = (12.0, 0.4), 6.0
+#: Chain edges from which half of their measured weight is trusted, and the largest weight.
+CHAIN_HALF, MOST_CHAIN = 20.0, 1.0
 #: Head start of "none" for an open mention: the base patterns have refused it, so its shape alone is not enough.
 REFUSED = 3.0
 #: Fewest digits by which two mentions are held for the same number, and smoothing of the counts.
@@ -110,8 +118,27 @@ def keys(mention: str) -> list[str]:
     return [d] + ([f"~{d[-SAME_DIGITS:]}"] if len(d) > SAME_DIGITS else [])
 
 
-def shape_counts(docs: DataFrame, text_col: str = "text") -> dict[str, list[float]]:
-    """How often mentions of each shape have each label by the base patterns, over all documents.
+Edge = tuple[int, int, bool]  # two mentions, whether by key
+
+
+def graph(text: str, base: list[Span], free: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], list[Edge]]:
+    """Mentions as start, end, label (0 for open ones), in order, and the edges between them."""
+    mentions = sorted([(s, e, k + 1) for k, s, e in base] + [(s, e, 0) for s, e in free])
+    edges: list[Edge] = []
+    seen: dict[str, int] = {}
+    for i, (s, e, _) in enumerate(mentions):
+        if i:
+            edges.append((i - 1, i, False))
+        for name in keys(text[s:e]):
+            if name in seen:
+                edges.append((seen[name], i, True))
+            seen[name] = i
+    return mentions, edges
+
+
+def mention_counts(docs: DataFrame, text_col: str = "text") -> list[tuple[str, int, float]]:
+    """Over all documents, (shape, label, n): how often mentions of each shape have each label by the base patterns. With the names
+    "skip" and "chain", how often two seeds at such an edge have other (0) and equal (1) labels.
 
     Counted by batch, then summed by Spark; there are at most some hundred shapes, whatever the input.
     """
@@ -122,24 +149,42 @@ def shape_counts(docs: DataFrame, text_col: str = "text") -> dict[str, list[floa
             for value in batch.column(0):
                 text = value.as_py()
                 base = base_spans(text)
-                n.update((shape(text[s:e]), k + 1) for k, s, e in base)
-                n.update((shape(text[s:e]), 0) for s, e in open_spans(text, base))
+                mentions, edges = graph(text, base, open_spans(text, base))
+                n.update((shape(text[s:e]), k) for s, e, k in mentions)
+                n.update(("skip" if by_key else "chain", int(mentions[a][2] == mentions[b][2])) for a, b, by_key in edges if mentions[a][2] and mentions[b][2])
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], names=["shape", "label", "n"])
 
     rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    out: dict[str, list[float]] = {}
-    for r in rows.mapInArrow(run, "shape string, label int, n bigint").groupBy("shape", "label").agg(F.sum("n").alias("n")).orderBy("shape", "label").collect():
-        out.setdefault(r["shape"], [0.0] * len(LABELS))[r["label"]] = float(r["n"])
-    return out
-
-
-def potentials(counts: dict[str, list[float]]) -> dict[str, np.ndarray]:
-    """Log share of each label among the mentions of a shape."""
-    out = {}
-    for name, row in counts.items():
-        v = np.array(row) + SMOOTHING
-        out[name] = np.log(v / v.sum())
-    return out
+    counts = map_batches(rows, run, "shape string, label int, n bigint").groupBy("shape", "label").agg(F.sum("n").alias("n"))
+    return [(r["shape"], r["label"], float(r["n"])) for r in counts.orderBy("shape", "label").collect()]
+
+
+class Field:
+    """Node potentials by shape (log share of each label), and edge weights."""
+
+    def __init__(self, counts: list[tuple[str, int, float]]):
+        by_shape: dict[str, np.ndarray] = {}
+        pairs = {"skip": [0.0, 0.0], "chain": [0.0, 0.0]}
+        for name, label, n in counts:
+            if name in pairs:
+                pairs[name][label] += n
+            else:
+                by_shape.setdefault(name, np.full(len(LABELS), SMOOTHING))[label] += n
+        self.node = {k: np.log(v / v.sum()) for k, v in by_shape.items()}
+        other, equal = pairs["skip"]
+        self.skip = float(np.clip(np.log((len(LABELS) - 1) * (equal + SKIP_SEEN[0]) / (other + SKIP_SEEN[1])), 0.0, MOST_SKIP))
+        other, equal = pairs["chain"]
+        seeds = sum((v[1:] - SMOOTHING for v in by_shape.values()), np.zeros(len(KINDS)))
+        chance = float(np.clip(((seeds / max(1.0, seeds.sum())) ** 2).sum(), 0.05, 0.95))
+        measured = np.log((equal + 1) / (other + 1)) - np.log(chance / (1 - chance))
+        self.chain = float(np.clip(measured, 0.0, MOST_CHAIN)) * (equal + other) / (equal + other + CHAIN_HALF)
+
+    def potential(self, words: str, label: int) -> np.ndarray:
+        if label:
+            return np.where(np.arange(len(LABELS)) == label, 0.0, -20.0)
+        out = np.maximum(self.node.get(shape(words), np.full(len(LABELS), -np.log(len(LABELS)))), -4.0)
+        out[0] = max(out[0], -1.0) + REFUSED
+        return out
 
 
 def propagate(node: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
@@ -168,33 +213,19 @@ def propagate(node: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarr
     return e / e.sum(axis=1, keepdims=True)
 
 
-def find_spans(text: str | None, weights: dict[str, np.ndarray]) -> tuple[list[Span], list[Span]]:
+def find_spans(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by kind, then start."""
     if not text or not MARKED.search(text):
         return [], []
     base = sorted(base_spans(text))
     free = open_spans(text, base)
-    if not base or not free:
+    if not free:
         return base, base
-    mentions = sorted([(s, e, k + 1) for k, s, e in base] + [(s, e, 0) for s, e in free])
-    unknown = np.full(len(LABELS), -np.log(len(LABELS)))
-    node = np.zeros((len(mentions), len(LABELS)))
-    edges: list[tuple[int, int, float]] = []
-    seen: dict[str, int] = {}
-    for i, (s, e, k) in enumerate(mentions):
-        words = text[s:e]
-        node[i] = np.where(np.arange(len(LABELS)) == k, 0.0, -20.0) if k else np.maximum(weights.get(shape(words), unknown), -4.0)
-        if not k:
-            node[i, 0] = max(node[i, 0], -1.0) + REFUSED
-        if i:
-            edges.append((i - 1, i, CHAIN))
-        for name in keys(words):
-            if name in seen:
-                edges.append((seen[name], i, SKIP))
-            seen[name] = i
-    belief = propagate(node, edges)
-    added = [(int(np.argmax(belief[i])) - 1, s, e) for i, (s, e, k) in enumerate(mentions) if not k and belief[i, 1:].max() >= THRESHOLD]
-    return base, sorted(base + [x for x in added if x[0] >= 0])
+    mentions, edges = graph(text, base, free)
+    node = np.array([field.potential(text[s:e], k) for s, e, k in mentions])
+    belief = propagate(node, [(a, b, field.skip if by_key else field.chain) for a, b, by_key in edges])
+    added = [(int(np.argmax(belief[i, 1:])), s, e) for i, (s, e, k) in enumerate(mentions) if not k and belief[i, 1:].max() >= THRESHOLD]
+    return base, sorted(base + added)
 
 
 def spelled(spans: list[Span]) -> str:
@@ -203,8 +234,7 @@ def spelled(spans: list[Span]) -> str:
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base counts by kind, the digest of the base spans, all spans, and how many were added."""
-    weights = potentials(shape_counts(docs, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(Field(mention_counts(docs, text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,12 +249,12 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *n, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {id_type}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
 
 
-def mask(text: str | None, weights: dict[str, np.ndarray]) -> str | None:
+def mask(text: str | None, field: Field) -> str | None:
     """The text with every span replaced by its kind in brackets; overlapping spans become one."""
-    _, every = find_spans(text, weights)
+    _, every = find_spans(text, field)
     if not every:
         return text
     out, at = [], 0
@@ -237,7 +267,7 @@ def mask(text: str | None, weights: dict[str, np.ndarray]) -> str | None:
 
 def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data masked in the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(potentials(shape_counts(docs, text_col)))
+    shared = docs.sparkSession.sparkContext.broadcast(Field(mention_counts(docs, text_col)))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,4 +275,4 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
             masked = pa.array([mask(x.as_py(), shared.value) for x in batch.column(at)], pa.string())
             yield batch.set_column(at, batch.schema.field(at).name, masked)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -8,7 +8,8 @@ unlabelled rows above a cut over the share of positives above it, at the cut whe
 Labels of quality 0 are never read. Inputs are counts over the whole text: bytes by class, words, repeats.
 
 Defined results: a null text counts as empty and is scored like it; a row with a null id is never learned from;
-without positives every score is 0.5; repeated rows get equal scores.
+without positives every score is 0.5; repeated rows get equal scores; ties at the sample's edge go by id; texts of any
+length are counted whole; an empty table gives an empty result; columns of other names are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import held_out
+from tallyspark.llm.common import held_out, map_batches
 
 #: Most positives, and most unlabelled rows, of the fitted sample; both are taken by smallest hash of the id.
 SAMPLE_ROWS = 20_000
@@ -72,7 +73,7 @@ def featured(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, x array<double>")
+    return map_batches(rows, run, f"{schema}, x array<double>")
 
 
 def forward(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,4 +172,4 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= KEEP).astype("int32"))], names=["doc_id", "held_out", "score", "predicted"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    return map_batches(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
