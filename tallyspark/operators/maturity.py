@@ -100,3 +100,72 @@ def identity_status(wide: DataFrame) -> DataFrame:
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
     none = F.coalesce(*parts).isNull() | F.col("total").isNull()
     return wide.select("stem", F.when(none, "unavailable").when(F.abs(total - F.col("total")) <= TOLERANCE, "passed").otherwise("failed").alias("status"))
+
+
+#: Number words of intervals, English and Swedish.
+NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "ett": 1, "en": 1, "två": 2, "tre": 3, "fyra": 4, "fem": 5}
+
+
+def interval_months(label: Column) -> tuple[Column, Column]:
+    """Least and most months that a label names ("0-6 months", "between 1 and 5 years", "< 1 år", "> 5 years", "within one
+    year"); most is infinite for open ends, both null for other labels."""
+    low = F.regexp_replace(F.lower(F.trim(label)), "[–−]", "-")
+    for word, n in NUMBER_WORDS.items():
+        low = F.regexp_replace(low, rf"\b{word}\b", str(n))
+    unit = F.when(low.rlike("year|år"), 12).when(low.rlike("month|månad"), 1)
+    number = lambda i: F.try_element_at(F.regexp_extract_all(low, F.lit(r"([0-9]+)"), 1), F.lit(i)).cast("double") * unit
+    a, b = number(1), number(2)
+    later = low.rlike(r"^(>|more than|later than|after|over|mer än|senare än|efter|över)|\b(or more|eller mer|and later)\b")
+    within = low.rlike(r"^(<|less than|within|up to|inom|mindre än|upp till)|(or less|eller mindre)")
+    both = later & b.isNotNull()  # "later than 1 but within 5 years"
+    least = F.when(both | (b.isNotNull() & ~within), a).when(later, a).when(within, F.lit(0.0))
+    most = F.when(both | (b.isNotNull() & ~within), b).when(later, F.lit(float("inf"))).when(within, a)
+    return least, most
+
+
+#: Reasons for a missing figure, and which comes first.
+REASONS = {"absent_in_table": 100, "offgrid": 90, "straddle": 80, "noncurrent_only": 70, "lease_only": 60, "parent": 60, "not_found": 0}
+
+
+def missing_reasons(figures: DataFrame, found: DataFrame) -> DataFrame:
+    """stem, key, code and page of the first reason by REASONS for each missing figure; ``found`` has stem, key, code, page and
+    seq, of equal reasons the earliest, then that of the first page, counts; without one it is not_found."""
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair]), F.col("code")), F.lit(0))
+    best = found.groupBy("stem", "key").agg(F.max_by(F.struct("code", "page"), F.struct(rank, -F.col("seq"), -F.col("page"))).alias("b"))
+    return figures.where("value IS NULL").join(best, ["stem", "key"], "left").select("stem", "key", F.coalesce("b.code", F.lit("not_found")).alias("code"), F.col("b.page").alias("page"))
+
+
+def normalized_signs(rows: DataFrame) -> DataFrame:
+    """stem, n, amount and normalized: a negative amount is a magnitude where the rows around it, up to the next row without an
+    amount, print another negative; net debt keeps its sign. ``rows`` has stem, n, label and amount."""
+    table = F.sum(F.col("amount").isNull().cast("int")).over(W.partitionBy("stem").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
+    t = rows.withColumn("table", table)
+    others = t.groupBy("stem", "table").agg(F.count_if(F.col("amount") < 0).alias("negative"))
+    net = F.lower("label").rlike("net debt|nettoskuld")
+    j = t.join(others, ["stem", "table"])
+    flip = F.coalesce((F.col("amount") < 0) & (F.col("negative") > 1) & ~net, F.lit(False))
+    return j.select("stem", "n", F.when(flip, F.abs("amount")).otherwise(F.col("amount")).alias("amount"), flip.alias("normalized"))
+
+
+def own_rows(figures: DataFrame) -> DataFrame:
+    """stem, key and keeps: of figures of one row (stem, page, quote), the one whose words know its label, then the first by key;
+    figures without a quote keep theirs."""
+    turn = F.row_number().over(W.partitionBy("stem", "page", "quote").orderBy(F.desc("known"), "key"))
+    return figures.select("stem", "key", (F.col("quote").isNull() | (turn == 1)).alias("keeps"))
+
+
+def filled_from_rows(figures: DataFrame, rows: DataFrame) -> DataFrame:
+    """stem, key, value and filled: a missing figure takes the amount of the one row (stem, key, amount) of its report that its
+    words know; several rows are no answer."""
+    one = rows.groupBy("stem", "key").agg(F.count(F.lit(1)).alias("n"), F.max("amount").alias("amount")).where("n = 1")
+    j = figures.join(one, ["stem", "key"], "left")
+    return j.select("stem", "key", F.coalesce("value", "amount").alias("value"), (F.col("value").isNull() & F.col("amount").isNotNull()).alias("filled"))
+
+
+def prior_year_rows(rows: DataFrame, fiscal_year: Column) -> DataFrame:
+    """stem, n and prior: rows under, or with, the year before and not the fiscal year. ``rows`` has stem, n and text; the nearest
+    year named in a row or above it counts."""
+    found = F.regexp_extract_all("text", F.lit(r"\b((?:19|20)[0-9][0-9])\b"), 1)
+    years = F.last(F.when(F.size(found) > 0, found), ignorenulls=True).over(W.partitionBy("stem").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
+    now, before = fiscal_year.cast("string"), (fiscal_year - 1).cast("string")
+    return rows.select("stem", "n", F.coalesce(F.array_contains(years, before) & ~F.array_contains(years, now), F.lit(False)).alias("prior"))

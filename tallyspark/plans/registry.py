@@ -190,15 +190,21 @@ def b22_redact_local_paths(spark, d):
     return cp.table(spark, d, "documents").select("doc_id", tx.redact_paths(F.concat("text", F.lit(" /home/"), "source", F.lit("/x"))).alias("text"))
 
 
+#: The label of a row in RE2: its first number is followed by no lower-case word.
+_FIRST = r"(?s)^(.*?)\s+[-(–−]?[0-9][0-9,.'']*(?:\s+[^a-zåäöæø\s]|[^a-zåäöæø\s0-9,.'']|\s*$)"
+LABEL = f"regexp_replace(CASE WHEN regexp_matches({{0}}, '{_FIRST}') THEN regexp_extract({{0}}, '{_FIRST}', 1) ELSE {{0}} END, '[ ,.:;*]+$', '')"
+_BARE = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
 # C. labels and numbers
 
 
-@query("SELECT doc_id, regexp_replace(regexp_extract(split_part(text, chr(10), 1), '^([^0-9]*)', 1), '[\\s.,:;\\-]+$', '') AS label FROM documents")
+@query(f"SELECT doc_id, {LABEL.format(_BARE.format('split_part(text, chr(10), 1)'))} AS label FROM documents")
 def c02_row_label(spark, d):
     return cp.table(spark, d, "documents").select("doc_id", tx.row_label(F.split("text", "\n")[0]).alias("label"))
 
 
-@query(f"WITH {LINES} SELECT stem, page, n, regexp_replace(regexp_extract(line, '^([^0-9]*)', 1), '[\\s.,:;\\-]+$', '') AS label FROM ln")
+@query(f"WITH {LINES} SELECT stem, page, n, {LABEL.format(_BARE.format('line'))} AS label FROM ln")
 def c02_row_label_lines(spark, d):
     return lines_of(spark, d).select("stem", "page", "n", tx.row_label(F.col("line")).alias("label"))
 
@@ -600,3 +606,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from tallyspark.plans import statements, texts  # noqa: E402,F401  (they register their queries)

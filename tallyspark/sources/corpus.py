@@ -47,9 +47,20 @@ def extend_directory(companies: DataFrame, roster: DataFrame) -> DataFrame:
     return companies.select("name", "key").unionByName(extra)
 
 
+#: Ids of a block in which a source's pages are numbered together.
+BLOCK = 1 << 16
+
+
 def pages_view(docs: DataFrame) -> DataFrame:
-    """Documents as pages: the source is the report, its documents are the pages in order of id."""
-    return docs.select(F.col("source").alias("stem"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("bigint").alias("page"), "doc_id", "text")
+    """Documents as pages: the source is the report, its documents are the pages in order of id. Pages are numbered within blocks
+    of ids, then moved up by the pages of the source's blocks before, so that no task gets a whole source."""
+    block = F.floor(F.col("doc_id") / BLOCK)
+    rows = docs.select(F.col("source").alias("stem"), "doc_id", "text", block.alias("block"))
+    sizes = docs.groupBy(F.col("source").alias("stem"), block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("stem", "block", F.coalesce(F.sum("n").over(W.partitionBy("stem").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = rows.withColumn("within", F.row_number().over(W.partitionBy("stem", "block").orderBy("doc_id")))
+    j = within.join(before, [within["stem"].eqNullSafe(before["stem"]), within["block"].eqNullSafe(before["block"])])
+    return j.select(within["stem"], (F.col("before") + F.col("within")).cast("bigint").alias("page"), "doc_id", "text")
 
 
 def lines_view(pages: DataFrame) -> DataFrame:
