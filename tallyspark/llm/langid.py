@@ -6,48 +6,55 @@ blocks, each block is encoded with every dictionary, and the language with the f
 A relative margin under NARROW marks the row as rejected.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the
-first language by name; with no labelled row at all every text is ``und``; repeated rows give repeated results.
+first language by name; with no labelled row at all every text is ``und``; repeated rows give repeated results; a text of any
+length is read whole, block by block; an empty table gives an empty result; columns of other names are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import held_out, map_batches
 
-#: Sampled rows of a language, code points of each, and bytes of a dictionary: the bounds of the fitted sample.
+#: Bounds of the fitted sample: rows of a language, code points from the front of each, and bytes of a dictionary, which keeps as
+#: much of every sampled row as of the others where they come to more.
 DICTIONARY_ROWS, EXCERPT, DICTIONARY_BYTES = 64, 4096, 112_640
-#: Most languages that are learned; more raise an error.
+#: Most languages that are learned: those with the most labelled rows, by name where these are equal.
 MOST_LANGUAGES = 500
 BLOCK = 2048
 #: Short matches count in short texts, so the matcher takes 4 bytes on; the largest levels cost more and gain nothing here.
 LEVEL, SHORTEST_MATCH, SEARCH = 6, 4, 4
 NARROW = 0.01
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 
 
 def letters_only(text: str) -> str:
     return NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
+def shared_out(rows: list[bytes], size: int) -> bytes:
+    """The rows with a space between, each cut to an equal share where they don't fit."""
+    share = size // max(1, len(rows)) - 1
+    return b" ".join(rows) if sum(map(len, rows)) + len(rows) <= size else b" ".join(r[:share] for r in rows)
+
+
 def fit_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, bytes]:
     """Language to dictionary content. One aggregation with map-side combine; a hot language stays spread over its slots."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     slot = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(DICTIONARY_ROWS))
     order = F.struct(F.xxhash64(F.lit(13), F.col(id_col)), F.col(id_col))
     best = rows.groupBy(F.col(lang_col).alias("lang"), slot.alias("slot")).agg(F.min_by(F.substring(text_col, 1, EXCERPT), order).alias("text"))
-    out: dict[str, list[str]] = {}
-    for r in best.orderBy("lang", "slot").limit(MOST_LANGUAGES * DICTIONARY_ROWS + 1).collect():
-        out.setdefault(r["lang"], []).append(letters_only(r["text"]))
-    if len(out) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return {k: " ".join(v).encode()[-DICTIONARY_BYTES:] for k, v in sorted(out.items())}
+    learned = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
+    out: dict[str, list[bytes]] = {}
+    for r in best.join(F.broadcast(learned), "lang").orderBy("lang", "slot").collect():  # MOST_LANGUAGES times DICTIONARY_ROWS rows at most
+        out.setdefault(r["lang"], []).append(letters_only(r["text"]).encode("utf-8", "replace"))
+    return {k: shared_out(v, DICTIONARY_BYTES) for k, v in sorted(out.items())}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

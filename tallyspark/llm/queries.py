@@ -20,7 +20,7 @@ def tokenizer_path() -> str:
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_conversations(read(spark, sf_dir, "conversations"))
+    return quotes.link_conversations(quotes.quoted_threads(read(spark, sf_dir, "conversations")))
 
 
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op4_poisson_mixing": mixing.ORACLE, "op8_host_rules": hostrules.ORACLE}
+ORACLES: dict[str, str] = {"op1_quotation_linking": quotes.ORACLE, "op4_poisson_mixing": mixing.ORACLE, "op8_host_rules": hostrules.ORACLE}
