@@ -16,11 +16,14 @@ exactly. Components need no link twice: each set is first tried against the lead
 joined up, then sets are tried against the leaders of all buckets that still hold different components. Once the pairs
 still apart are no more than FEW for each row of the buckets, or after ROUNDS rounds, all of them are tried, by sketches
 that the bucket rows carry, so that only pairs which pass leave the join. So no link between different components can be
-missed.
+missed. That last join deals the rows of a large bucket to blocks of BLOCK rows, and each pair of blocks to a task of its own.
+
+A set's name is 64 bits of its digest. Names that stand for more than one set, told by 64 bits more, are found and renamed.
 
 Defined results: a null or wordless text has an empty set, linked with nothing, and is its own component; fewer
 than five words are one shingle; equal sets are linked; rows with equal ids keep their rows; a row with a null id
-links like any other, but names no component (its component is null if it is alone).
+links like any other, but names no component (its component is null if it is alone). An empty table gives an empty
+result; texts of any length are read whole; columns of other names are not looked at, or kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -33,20 +36,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyspark.llm.common import written
+from tallyspark.llm.common import discard, map_batches, written
 
 WORDS = 5
 LEAST_BITS = 512
 #: A set meets about this many leaders in a round, however many buckets it shares.
 ROUNDS, FEW, LEADERS = 2, 8, 16
+#: Rows of a bucket that meet each other in one task of the last join.
+BLOCK = 256
 #: One document in HOT_SAMPLE is looked at for frequent shingles; those found HOT_LEAST times are frequent, the
 #: first MOST_HOT of them. The list decides the order of contents, never whether a link is found.
 HOT_SAMPLE, HOT_LEAST, MOST_HOT = 16, 3, 50_000
 #: Sizes of a band differ by at most this factor.
 BAND = 16
-#: Words (of 64 bits) of the filter of sets that have a candidate: a fixed size; it may let others pass.
-FILTER_WORDS = 1 << 17
+#: Least and most words (of 64 bits) of the filter of sets that have a candidate, which has a word for every FILTER_SETS
+#: wanted sets in between; it may let others pass, never keeps a wanted one.
+FILTER_WORDS, MOST_FILTER_WORDS, FILTER_SETS = 1 << 12, 1 << 21, 8
 
 NAMES = ["key", "set", "n"]
 
@@ -77,8 +84,16 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(s))
 
 
-def set_hash(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """Two times 64 bits of a set's digest."""
+    raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def set_name(s: np.ndarray, shared: frozenset[int]) -> int:
+    """The first half of the digest, or the second where several sets share the first."""
+    first, second = digests(s)
+    return second if first in shared else first
 
 
 def most_apart(a: int, b: int) -> int:
@@ -165,11 +180,23 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                sets = [shingles(x.as_py()) for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "sketch"])
+                n, names, sketches = [], [], []
+                for value in batch.column(1):
+                    s = shingles(value.as_py())
+                    n.append(len(s))
+                    names.append(digests(s) if len(s) else (None, None))
+                    sketches.append(sketch(s) if len(s) else None)
+                one, two = zip(*names) if names else ((), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "second", "sketch"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, set bigint, sketch array<bigint>")
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {id_type}, n_shingles bigint, set bigint, second bigint, sketch array<bigint>")
+
+
+def shared_names(named: DataFrame) -> frozenset[int]:
+    """Names that several sets share: of n sets, about n * n / 2**65 do."""
+    ends = named.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("second").alias("low"), F.max("second").alias("high"))
+    return frozenset(r["set"] for r in ends.where("low <> high").select("set").collect())
 
 
 def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -181,11 +208,23 @@ def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([signed([shingles(x.as_py()) for x in batch.column(0)])], names=["s"])
 
     sample = docs.where(F.pmod(F.xxhash64(F.substring(text_col, 1, 200), F.length(text_col)), F.lit(HOT_SAMPLE)) == 0)
-    counts = sample.select(F.col(text_col).alias("text")).mapInArrow(run, "s bigint").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LEAST)
-    return counts.orderBy(F.desc("n"), "s").limit(MOST_HOT).select("s").toArrow()["s"].to_numpy()
-
-
-def shared_segments(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
+    rows = map_batches(sample.select(F.col(text_col).alias("text")), run, "s bigint")
+    counts = written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LEAST))
+    # the driver gets the numbers of shingles by steps of their count, then those from the step down to which they are MOST_HOT at most
+    step = F.floor(8 * F.log2("n"))
+    least, total = 0, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("shingles")).collect(), reverse=True):
+        if total + r["shingles"] > MOST_HOT:
+            least = r["step"] + 1
+            break
+        total += r["shingles"]
+    hot = counts.where(step >= least).toArrow()
+    order = np.lexsort((hot["s"].to_numpy(), -hot["n"].to_numpy()))
+    discard(counts)
+    return hot["s"].to_numpy()[order]
+
+
+def shared_segments(docs: DataFrame, text_col: str, frequent: np.ndarray, shared_by: frozenset[int]) -> DataFrame:
     """(key, set, n) of every segment that at least two different sets have; n is the set's size. One shuffle of these rows,
     streamed in key order; a task holds one batch."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -197,7 +236,7 @@ def shared_segments(docs: DataFrame, text_col: str, frequent: np.ndarray) -> Dat
                 keys, sets, sizes = [], [], []
                 for value in batch.column(0):
                     s = shingles(value.as_py())
-                    if len(s) and (name := set_hash(s)) not in seen:
+                    if len(s) and (name := set_name(s, shared_by)) not in seen:
                         seen.add(name)
                         keys.append(segment_keys(s, table))
                         sets.append(np.full(len(keys[-1]), name, np.int64))
@@ -222,42 +261,47 @@ def shared_segments(docs: DataFrame, text_col: str, frequent: np.ndarray) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=NAMES)
 
     schema = "key bigint, set bigint, n bigint"
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, schema)
+    rows = map_batches(docs.select(F.col(text_col).alias("text")), emit, schema)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "key").sortWithinPartitions("key", "set").mapInArrow(shared, schema)
 
 
-def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, shared_by: frozenset[int]) -> DataFrame:
     """set and shingles of the wanted sets.
 
-    A filter of fixed size, at most FILTER_WORDS words, spares most other texts; what it lets pass by chance is dropped by
-    the join.
+    A filter of bounded size spares most other texts; what it lets pass by chance is dropped by the join. Of texts with
+    one set, one is kept before their shingles are made.
     """
-    word = F.pmod(F.xxhash64("set"), F.lit(FILTER_WORDS))
+    words = FILTER_WORDS
+    while words < MOST_FILTER_WORDS and words * FILTER_SETS < wanted.count():
+        words *= 4
+    word = F.pmod(F.xxhash64("set"), F.lit(words))
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(`set`, 1), 64) AS int))")
     table = F.broadcast(wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         with np.errstate(over="ignore"):
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) if len(s := shingles(x.as_py())) else None for x in batch.column(0)], pa.int64()), batch.column(0)], names=["set", "text"])
+                names, texts = [], []
+                for value in batch.column(0):
+                    text = value.as_py()
+                    if len(s := shingles(text)) and (name := set_name(s, shared_by)) not in seen:
+                        seen.add(name)
+                        names.append(name)
+                        texts.append(text)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.string())], names=["set", "text"])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         with np.errstate(over="ignore"):
             for batch in batches:
-                names, sets = [], []
-                for name, text in zip(batch.column(0), batch.column(1)):
-                    if (name := name.as_py()) not in seen:
-                        seen.add(name)
-                        names.append(name)
-                        sets.append(shingles(text.as_py()).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["set", "shingles"])
+                sets = [shingles(text.as_py()).view(np.int64) for text in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["set", "shingles"])
 
-    rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).mapInArrow(named, "set bigint, text string")
+    rows = map_batches(docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()), named, "set bigint, text string")
     passed = rows.join(table, word == table["word"]).where(F.col("bits").bitwiseAND(bit) != 0).select("set", "text")
-    found = passed.mapInArrow(full, "set bigint, shingles array<bigint>")
-    return found.join(wanted, "set", "left_semi").dropDuplicates(["set"])
+    one = passed.join(wanted, "set", "left_semi").dropDuplicates(["set"])
+    return map_batches(one, full, "set bigint, shingles array<bigint>")
 
 
 def near_pairs(pairs: DataFrame, small: DataFrame) -> DataFrame:
@@ -286,21 +330,44 @@ def verified(near: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     joined = near.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("t")), "b")
-    return joined.select("a", "b", "s", "t").mapInArrow(exact, "a bigint, b bigint")
+    return map_batches(joined.select("a", "b", "s", "t"), exact, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(set, root) of every set on an edge, root being the smallest set of its component: least labels with doubling."""
     both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")))
+    labels = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root"), F.lit(True).alias("moved")))
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
         least = labels.join(near, "u").select("u", F.least("root", "r").alias("low"), "root")
         up = labels.select(F.col("u").alias("low"), F.col("root").alias("above"))
         new = written(least.join(up, "low").select("u", F.least("low", "above").alias("root"), (F.least("low", "above") != F.col("root")).alias("moved")))
+        discard(labels)
+        labels = new
         if new.where("moved").limit(1).count() == 0:
-            return new.select(F.col("u").alias("set"), "root")
-        labels = new.select("u", "root")
+            discard(both)
+            return written_as(new, new.select(F.col("u").alias("set"), "root"))
+
+
+def written_as(table: DataFrame, view: DataFrame) -> DataFrame:
+    """``view``, which reads only ``table``, to be discarded with it."""
+    view.table_path = table.table_path
+    return view
+
+
+def met_in_blocks(full: DataFrame, own: list[str]) -> DataFrame:
+    """Pairs of rows of a bucket, as columns and lead_ columns, each once at least. Rows of a bucket of more than BLOCK rows are
+    dealt to blocks by a hash; a row goes to every pair of blocks that has its own."""
+    n = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowd = full.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = full.join(crowd, "key").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "set"), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # (low block, high block) names a pair of blocks; rows of one block meet in the pair of it with itself
+    spread = dealt.select("*", F.explode(others).alias("other")).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+    spread = spread.repartition(n, "key", "low", "high")
+    lead = spread.select("key", "low", "high", *(F.col(c).alias(f"lead_{c}") for c in ("block", "set", "root", "n", *own)))
+    once = (F.col("low") == F.col("high")) | (F.col("block") != F.col("lead_block"))
+    return spread.join(lead, ["key", "low", "high"]).where(once).withColumnRenamed("lead_set", "lead")
 
 
 def folded(sketch: Column) -> list[Column]:
@@ -313,7 +380,7 @@ def folded(sketch: Column) -> list[Column]:
     return [word(k) for k in range(LEAST_BITS // 64)]
 
 
-def linked_sets(docs: DataFrame, text_col: str, held: DataFrame, small: DataFrame) -> DataFrame:
+def linked_sets(docs: DataFrame, text_col: str, held: DataFrame, small: DataFrame, shared_by: frozenset[int]) -> DataFrame:
     """(set, root) of the sets that are linked with another one. ``held`` has set, n and keys, ``small`` set, n and sketch."""
     spark = docs.sparkSession
     rows = held.agg(F.sum(F.size("keys"))).first()[0]
@@ -321,16 +388,14 @@ def linked_sets(docs: DataFrame, text_col: str, held: DataFrame, small: DataFram
     alike = (5 * F.col("n") >= 4 * F.col("lead_n")) & (5 * F.col("lead_n") >= 4 * F.col("n"))
     own = [f"f{k}" for k in range(LEAST_BITS // 64)]
     flipped = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"lead_{f}"))) for f in own[1:]), F.bit_count(F.col(own[0]).bitwiseXOR(F.col(f"lead_{own[0]}"))))
-    roots = spark.createDataFrame([], "set bigint, root bigint")
+    roots, made = spark.createDataFrame([], "set bigint, root bigint"), []
     # first every set meets one leader, so that groups of copies are joined up before all their keys are looked at
     placed = held.select(F.array_min("keys").alias("key"), "set", "n", F.col("set").alias("root"))
     for turn in range(ROUNDS + 1):
         last = turn > 0 and (turn == ROUNDS or pairs_apart(placed) <= FEW * rows)
-        if last:  # these buckets are small tables with many pairs: a fixed number of tasks shares the pairs out
+        if last:
             full = placed.join(small.select("set", *folded(F.col("sketch"))), "set")
-            full = full.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-            other = full.select("key", *(F.col(c).alias(f"lead_{c}") for c in ("set", "root", "n", *own))).withColumnRenamed("lead_set", "lead")
-            met = full.join(other, "key").where((F.col("root") < F.col("lead_root")) & alike & (9 * flipped <= F.col("n") + F.col("lead_n")))
+            met = met_in_blocks(full, own).where((F.col("root") < F.col("lead_root")) & alike & (9 * flipped <= F.col("n") + F.col("lead_n")))
         else:
             order = F.struct(F.xxhash64(F.lit(turn), F.pmod("key", F.lit(LEADERS)), F.col("set")), F.col("set"), F.col("root"), F.col("n"))
             leaders = placed.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.set").alias("lead"), F.col("l.root").alias("lead_root"), F.col("l.n").alias("lead_n"))
@@ -339,13 +404,19 @@ def linked_sets(docs: DataFrame, text_col: str, held: DataFrame, small: DataFram
         met = written(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
         near = written(near_pairs(met, small))
         need = near.select(F.col("a").alias("set")).unionByName(near.select(F.col("b").alias("set"))).distinct()
-        got = written(sets_of(docs, text_col, written(need if sets is None else need.join(sets.select("set"), "set", "left_anti"))))
+        need = written(need if sets is None else need.join(sets.select("set"), "set", "left_anti"))
+        got = written(sets_of(docs, text_col, need, shared_by))
         sets = got if sets is None else sets.unionByName(got)
         found = written(verified(near, sets))
+        discard(near, need, *([placed] if turn else []))
+        made += [met, got, found]
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
+            if hasattr(roots, "table_path"):
+                discard(roots)
             roots = components(links)
         if last:
+            discard(*made)
             return roots
         tested = met if tested is None else tested.unionByName(met)
         placed = crowded(held, roots)
@@ -358,7 +429,9 @@ def crowded(held: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = held.join(roots, "set", "left").select("set", "n", F.coalesce("root", "set").alias("root"), "keys")
     placed = written(rooted.select(F.explode("keys").alias("key"), "set", "n", "root"))
     apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return written(placed.join(apart, "key", "left_semi"))
+    out = written(placed.join(apart, "key", "left_semi"))
+    discard(placed)
+    return out
 
 
 def pairs_apart(placed: DataFrame) -> int:
@@ -368,30 +441,63 @@ def pairs_apart(placed: DataFrame) -> int:
     return int(by_key.agg(F.sum("twice")).first()[0] or 0) // 2
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def named_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, frozenset[int]]:
+    """doc_id, n_shingles, set and sketch of every document, and the names that were given anew."""
     named = written(document_sets(docs, id_col, text_col))
-    shared = shared_segments(docs, text_col, frequent_shingles(docs, text_col))
+    shared_by = shared_names(named)
+    name = F.when(F.col("set").isin(*shared_by), F.col("second")).otherwise(F.col("set")) if shared_by else F.col("set")
+    return written_as(named, named.select("doc_id", "n_shingles", name.alias("set"), "sketch")), shared_by
+
+
+def set_components(docs: DataFrame, named: DataFrame, text_col: str, shared_by: frozenset[int]) -> DataFrame:
+    """(set, root) of the sets that are linked with another one, root being one of them."""
+    shared = shared_segments(docs, text_col, frequent_shingles(docs, text_col), shared_by)
     held = written(shared.groupBy("set").agg(F.min("n").alias("n"), F.collect_list("key").alias("keys")))  # no more keys than the set emitted
+    if not held.limit(1).count():
+        return docs.sparkSession.createDataFrame([], "set bigint, root bigint")
+    known = named.select("set", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["set"])
+    small = written(known.join(held.select("set"), "set", "left_semi"))
+    roots = linked_sets(docs, text_col, held, small, shared_by)
+    discard(held, small)
+    return roots
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    named, shared_by = named_sets(docs, id_col, text_col)
+    roots = set_components(docs, named, text_col, shared_by)
     least = named.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    if held.limit(1).count():
-        known = named.select("set", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["set"])
-        small = written(known.join(held.select("set"), "set", "left_semi"))
-        roots = linked_sets(docs, text_col, held, small)
-        rooted = written(least.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
-        lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("n")).where("n > 1")
-        place = rooted.join(lows, "root").select("set", "component_id")
-    else:
-        place = least.where("copies > 1").select("set", F.col("low").alias("component_id"))
-    named = named.select("doc_id", "n_shingles", "set")
+    rooted = written(least.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("n")).where("n > 1")
+    place = rooted.join(lows, "root").select("set", "component_id")
     return named.join(place, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay when one of each component does: the one with the smallest id; of rows that repeat an id
-    and its set, one. Documents without words all stay."""
-    placed = jaccard_components(docs, id_col, text_col)
-    stay = placed.where((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())
-    named = stay.select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(named, docs[id_col].eqNullSafe(named[id_col]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col]) if stay.groupBy("doc_id").count().where("count > 1").limit(1).count() else kept
+    """One row of each component, with all its columns: the row with the smallest id that isn't null, of equal ids the
+    one with the smallest hash of its text. Rows without words all stay.
+
+    Rows are told apart by id and text, so a row with a null or repeated id goes or stays by its own text; of
+    rows that are alike in both, one stays.
+    """
+    named, shared_by = named_sets(docs, id_col, text_col)
+    roots = set_components(docs, named, text_col, shared_by)
+    least = named.where(F.col("set").isNotNull()).groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("low"))
+    rooted = least.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    best = written(rooted.groupBy("root").agg(F.min(F.struct("low", "set")).alias("b")).select(F.col("b.set").alias("__set"), F.col("b.low.id").alias("__id")))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                names = [set_name(s, shared_by) if len(s := shingles(x.as_py())) else None for x in batch.column(at)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=[*batch.schema.names, "__set"])
+
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__set", T.LongType())])
+    rows = map_batches(docs, keyed, schema)
+    chosen = rows.join(best, (rows["__set"] == best["__set"]) & rows[id_col].eqNullSafe(best["__id"])).select(*(rows[c] for c in docs.columns), rows["__set"])
+    again = named.where(F.col("set").isNotNull()).groupBy("set", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if again:  # the only rows that can meet a component twice
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        chosen = chosen.groupBy("__set").agg(F.min_by(whole, F.struct(F.xxhash64(text_col), text_col)).alias("__row")).select("__row.*")
+    return chosen.drop("__set").unionByName(rows.where(F.col("__set").isNull()).drop("__set"))
