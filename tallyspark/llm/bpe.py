@@ -6,12 +6,19 @@ can be found from the prefixes before it, and the encodings of all prefixes form
 last ``longest token`` prefixes can grow; a token on the way to all of them is stable and is emitted.
 How long that can take at most, the sufficient lookahead, follows from the merge list alone.
 
-Defined results: a null text counts as empty and has no tokens; special tokens inside a text are
-ids of their own; repeated rows give repeated results; an empty table gives an empty result.
+Every word goes through the transducer, letter by letter; a task remembers what it made of a bounded number of words. Texts
+are normalised and split a segment at a time, and a word without end is fed on as it comes. Decoding turns ids into
+bytes and bytes into text by a machine that holds at most three bytes.
+
+Defined results: a null or empty text has no tokens; special tokens inside a text are ids of their own; a text of any length,
+with white space or without, takes constant memory besides the text itself (but for a run of combining marks, which is
+normalised whole); repeated rows give repeated results; an empty table gives an empty result; columns of other
+names are not looked at.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import unicodedata
@@ -23,11 +30,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import map_batches
+
 END = "</w>"
-#: Words of more symbols than this are never kept in memory; they stream.
+#: Words of more symbols than this are never kept in memory.
 LONGEST_KEPT = 48
-#: Entries of one generation of the word memory; two generations are held at most.
-KEPT_WORDS = 300_000
+#: Words in one generation of a task's memory, of which two are held, and pairs of tokens.
+KEPT_WORDS, KEPT_PAIRS = 70_000, 150_000
 #: Code points of text that are normalised at a time.
 SEGMENT = 1 << 16
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -42,17 +51,28 @@ def byte_letters() -> dict[int, str]:
 
 
 class MergeTable:
-    """Vocabulary and merge ranks, with what the transducers need to know of them."""
+    """Vocabulary and merge ranks, with what the transducer needs to know of them. Fixed in size."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.vocab = vocab
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         made = {a + b for a, b in merges}
-        self.tokens = made | {t for t in vocab if len(t) == 1 or len(t) == 1 + len(END) and t.endswith(END)}
-        self.width = {t: len(t) - len(END) if t.endswith(END) and len(t) > len(END) else len(t) for t in self.tokens}
+        self.id = {t: i for t, i in vocab.items() if t in made or len(t) == 1 or len(t) == 1 + len(END) and t.endswith(END)}
+        if missing := made - self.id.keys():
+            raise ValueError(f"{len(missing)} merged tokens are not in the vocabulary")
+        self.name = {i: t for t, i in self.id.items()}
+        self.width = {i: self.letters(t) for t, i in self.id.items()}
         self.longest = max(self.width.values(), default=1)
         self.lookahead = self.sufficient_lookahead(merges)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        by_end: dict[str, set[int]] = {}
+        for t, i in self.id.items():
+            if self.width[i] > 2:
+                by_end.setdefault(t[self.width[i] - 3 :], set()).add(self.width[i])
+        #: Widths, from the largest, of the longer tokens with these three last letters (and the word's end).
+        self.by_end = {k: tuple(sorted(v, reverse=True)) for k, v in by_end.items()}
+
+    @staticmethod
+    def letters(token: str) -> int:
+        return len(token) - len(END) if token.endswith(END) and len(token) > len(END) else len(token)
 
     def sufficient_lookahead(self, merges: list[tuple[str, str]]) -> int:
         """Symbols after a token that can still change it.
@@ -69,7 +89,7 @@ class MergeTable:
             while piece:
                 beyond = max(beyond, chain.get(piece, 0))
                 piece = right.get(piece, "")
-            reach = self.width.get(v, len(v)) + beyond
+            reach = self.letters(v) + beyond
             chain[u] = max(chain.get(u, 0), reach)
             right.setdefault(u + v, v)
             most = max(most, reach)
@@ -90,139 +110,122 @@ class MergeTable:
             return [*body[:-1], body[-1] + END]
         return list(token)
 
-    def compatible(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= 4 * KEPT_WORDS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
-        return known
+    def compatible(self, a: int, b: int) -> bool:
+        one, two = self.name[a], self.name[b]
+        return self.merged(self.symbols(one) + self.symbols(two)) == [one, two]
 
 
 class Encoder:
-    """Streams the letters of one word; yields tokens as soon as they are stable."""
+    """Streams the letters of words; yields ids as soon as they are stable."""
 
     def __init__(self, table: MergeTable):
         self.t = table
+        self.pairs: dict[int, bool] = {}
+
+    def follows(self, a: int, b: int) -> bool:
+        known = self.pairs.get(a << 32 | b)
+        if known is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[a << 32 | b] = self.t.compatible(a, b)
+        return known
 
-    def word(self, letters: Iterable[str]) -> Iterator[str]:
-        t = self.t
-        tail = ""  # letters after the last emitted token
-        last: list[str] = [""]  # last[i]: last token of the encoding of tail[:i]
-        before = ""  # the last emitted token
-        held = None
-        grown = 0
+    def word(self, letters: Iterable[str]) -> Iterator[int]:
+        """Ids of a word. Held are the letters after the last stable token, at most ``lookahead`` and two longest tokens."""
+        longest = self.t.longest
+        tail, last = "", [-1]  # last[i]: last token of the encoding of tail[:i], at 0 the last emitted one
+        held, check = None, 2 * longest
         for letter in letters:
             if held is not None:
                 tail += held
-                last.append(self.step(tail, len(tail), last, before))
-                grown += 1
-                if grown > t.lookahead + t.longest:
+                last.append(self.step(tail, last))
+                if len(tail) >= check:
                     for token in self.stable(tail, last):
                         yield token
-                        before = token
-                        tail, last = tail[len(token) :], last[len(token) :]
-                    grown = len(tail) - t.lookahead if len(tail) > t.lookahead else 0
+                        w = self.t.width[token]
+                        tail, last = tail[w:], [token, *last[w + 1 :]]
+                    check = len(tail) + longest
             held = letter
         if held is None:
             return
         tail += held
-        end = self.step(tail, len(tail), last, before, END)
-        found = [end]
-        at = len(tail) - t.width[end]
+        last.append(self.step(tail, last, END))
+        yield from self.path(last, len(tail))
+
+    def step(self, tail: str, last: list[int], suffix: str = "") -> int:
+        """The last token of the encoding of ``tail``: the longest one that may follow what the rest ends in."""
+        known, end = self.t.id.get, len(tail)
+        for w in (*self.t.by_end.get(tail[-3:] + suffix, ()), 2) if end > 1 else ():
+            if w <= end:
+                token = known(tail[-w:] + suffix)
+                if token is not None:
+                    before = last[end - w]
+                    if before < 0 or self.pairs.get(before << 32 | token) or self.follows(before, token):
+                        return token
+        token = known(tail[-1] + suffix)
+        if token is None:
+            raise ValueError("a symbol is not in the vocabulary")
+        return token
+
+    def path(self, last: list[int], at: int) -> list[int]:
+        """Tokens of the encoding of the first ``at`` letters."""
+        found = []
         while at > 0:
             found.append(last[at])
-            at -= t.width[last[at]]
-        yield from reversed(found)
-
-    def short_word(self, word: str) -> list[str]:
-        """The tokens of a word that is shorter than the lookahead, of which none is stable before its end."""
-        tokens, pairs, compatible, longest = self.t.tokens, self.t.pairs, self.t.compatible, self.t.longest
-        n = len(word)
-        last = [""]
-        for end in range(1, n + 1):
-            suffix = END if end == n else ""
-            for start in range(end - longest if end > longest else 0, end):
-                token = word[start:end] + suffix
-                if token in tokens:
-                    previous = last[start]
-                    if not previous or (ok := pairs.get((previous, token))) or (ok is None and compatible(previous, token)):
-                        last.append(token)
-                        break
-            else:
-                raise ValueError("a symbol is not in the vocabulary")
-        found = [last[n]]
-        at = n - self.t.width[last[n]]
-        while at > 0:
-            found.append(last[at])
-            at -= len(last[at])
-        found.reverse()
-        return found
-
-    def step(self, tail: str, end: int, last: list[str], before: str, suffix: str = "") -> str:
-        tokens, compatible = self.t.tokens, self.t.compatible
-        for start in range(max(0, end - self.t.longest), end):
-            token = tail[start:end] + suffix
-            if token in tokens:
-                previous = last[start] if start else before
-                if not previous or compatible(previous, token):
-                    return token
-        raise ValueError("a symbol is not in the vocabulary")
-
-    def stable(self, tail: str, last: list[str]) -> list[str]:
+            at -= self.t.width[last[at]]
+        return found[::-1]
+
+    def stable(self, tail: str, last: list[int]) -> list[int]:
         """Tokens that the encodings of all prefixes which can still grow begin with."""
-        width = self.t.width
         live = set(range(max(1, len(tail) - self.t.longest + 1), len(tail) + 1))
         while len(live) > 1:
             furthest = max(live)
             live.discard(furthest)
-            live.add(furthest - width[last[furthest]])
-        at, found = live.pop(), []
-        while at > 0:
-            found.append(last[at])
-            at -= width[last[at]]
-        return found[::-1]
+            live.add(furthest - self.t.width[last[furthest]])
+        return self.path(last, live.pop())
 
 
 class Decoder:
-    """Incremental decoder: ids in, text out, at most three bytes held.
+    """A machine that takes ids and gives text; between ids it holds the bytes of an unfinished character, three at most.
 
-    ``library`` gives what a tokenizer file without a decoder gives: the tokens' own strings with one space
-    between. ``text`` turns letters back into bytes, word ends into spaces, and bytes into text,
-    with U+FFFD for what is not UTF-8.
+    ``names``: each id stands for its token's own string, with a space between ids, as files without a decoder have it.
+    Otherwise letters stand for bytes and word ends for spaces. U+FFFD is given for what is not UTF-8.
     """
 
-    def __init__(self, names: dict[int, str]):
-        self.names = names
-        self.byte = {c: b for b, c in byte_letters().items()}
+    def __init__(self, names: dict[int, str], as_names: bool):
+        self.raw = {i: b" " + t.encode("utf-8", "surrogatepass") for i, t in names.items()} if as_names else {i: self.spelled(t) for i, t in names.items()}
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+
+    @staticmethod
+    def spelled(token: str) -> bytes:
+        ended = token.endswith(END) and len(token) > len(END)
+        body = token[: -len(END)] if ended else token
+        try:
+            return bytes(LETTER_BYTES[c] for c in body) + b" " * ended
+        except KeyError:  # a special token
+            return token.encode("utf-8", "surrogatepass")
 
-    def library(self, ids: Iterable[int]) -> Iterator[str]:
-        gap = ""
-        for i in ids:
-            yield gap + self.names[i]
-            gap = " "
+    def feed(self, ids: Iterable[int]) -> str:
+        return self.state.decode(b"".join([self.raw[i] for i in ids]))
 
-    def text(self, ids: Iterable[int]) -> Iterator[str]:
-        import codecs
+    def end(self) -> str:
+        rest = self.state.decode(b"", True)
+        self.state.reset()
+        return rest
 
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            name = self.names[i]
-            ended = name.endswith(END) and len(name) > len(END)
-            body = name[: -len(END)] if ended else name
-            try:
-                out = state.decode(bytes(self.byte[c] for c in body))
-            except KeyError:
-                out = state.decode(b"", True) + body
-            yield out + (" " if ended else "")
-        yield state.decode(b"", True)
+    def text(self, ids: Iterable[int]) -> str:
+        return self.feed(ids) + self.end()
+
+
+BYTE_LETTERS = byte_letters()
+LETTER_BYTES = {c: b for b, c in BYTE_LETTERS.items()}
 
 
 class WordTokenizer:
-    """A lower-casing tokenizer with word ends, read from a tokenizers file."""
+    """A lower-casing tokenizer with word ends, read from a tokenizers file. Fixed in size."""
 
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+")
-    GAP = regex.compile(f"[{WHITE}]")
+    LETTERS, SYMBOLS = regex.compile(r"\p{L}+"), regex.compile(r"[^" + WHITE + r"\p{L}\p{N}]+")
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -234,9 +237,61 @@ class WordTokenizer:
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
-        self.encoder, self.decoder = Encoder(self.table), Decoder(self.names)
-        self.letter = byte_letters()
-        self.spelled = {i: f" {i}" for i in self.names}
+
+    @staticmethod
+    def boundary(text: str, at: int) -> int:
+        """The first place from ``at`` on that normalisation can't reach across: before no mark and no inner or last Hangul letter."""
+        while at < len(text) and (unicodedata.category(text[at])[0] == "M" or "\u1160" <= text[at] <= "\u11ff"):
+            at += 1
+        return min(at, len(text))
+
+    @staticmethod
+    def normalised(text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def segments(self, text: str) -> Iterator[list[str] | Iterator[str]]:
+        """Words of a text without special tokens, many at a time, or the pieces of one long word, to be used up at once."""
+        at, carry = 0, ""
+
+        def following() -> str:
+            nonlocal at
+            start, at = at, self.boundary(text, at + SEGMENT)
+            return self.normalised(text[start:at])
+
+        def pieces(begun: str) -> Iterator[str]:
+            nonlocal carry
+            kind = self.LETTERS if self.LETTERS.match(begun) else self.SYMBOLS
+            yield begun
+            while at < len(text):
+                piece = following()
+                found = kind.match(piece)
+                end = found.end() if found else 0
+                yield piece[:end]
+                if end < len(piece):
+                    carry = piece[end:]
+                    return
+
+        while at < len(text) or carry:
+            piece, carry = carry + following(), ""
+            if at >= len(text):
+                yield self.SPLIT.findall(piece)
+                continue
+            found = list(self.SPLIT.finditer(piece))
+            if found and found[-1].end() == len(piece) and len(found[-1][0]) > SEGMENT // 2:
+                yield [m[0] for m in found[:-1]]
+                yield pieces(found[-1][0])
+                continue
+            open_from = next((m.start() for m in found[-4:] if m.end() > len(piece) - 3), len(piece))  # "'r" may become "'re"
+            yield [m[0] for m in found if m.end() <= open_from]
+            carry = piece[open_from:]
+
+
+class Coder:
+    """A tokenizer at work, with the memory of one task."""
+
+    def __init__(self, tokenizer: WordTokenizer):
+        self.t = tokenizer
+        self.encoder, self.decoder = Encoder(tokenizer.table), Decoder(tokenizer.names, as_names=True)
         self.young: dict[str, tuple[str, str]] = {}
         self.old: dict[str, tuple[str, str]] = {}
 
@@ -244,45 +299,37 @@ class WordTokenizer:
         """Ids and decoded text of one word, with a space before each token."""
         known = self.old.get(word)
         if known is None:
-            spelled = word if word.isascii() and word.isalpha() else "".join([self.letter[b] for b in word.encode("utf-8", "surrogatepass")])
-            tokens = self.encoder.short_word(spelled) if len(spelled) < self.table.lookahead else self.encoder.word(spelled)
-            ids = [self.table.vocab[t] for t in tokens]
-            known = ("".join([self.spelled[i] for i in ids]), " " + "".join(self.decoder.library(ids)))
+            spelled = word if word.isascii() and word.isalpha() else "".join([BYTE_LETTERS[b] for b in word.encode("utf-8", "surrogatepass")])
+            ids = list(self.encoder.word(spelled))
+            known = ("".join([f" {i}" for i in ids]), self.decoder.feed(ids))
         if len(word) <= LONGEST_KEPT:
             if len(self.young) >= KEPT_WORDS:
                 self.old, self.young = self.young, {}
             self.young[word] = known
         return known
 
-    def long_word(self, word: str) -> Iterator[tuple[str, str]]:
-        letters = (self.letter[b] for b in word.encode("utf-8", "surrogatepass"))
-        for token in self.encoder.word(letters):
-            i = self.table.vocab[token]
-            yield f" {i}", " " + self.names[i]
-
-    def words(self, text: str) -> Iterator[list[str]]:
-        """Words of a text without special tokens, a segment at a time."""
-        at = 0
-        while at < len(text):
-            gap = self.GAP.search(text, at + SEGMENT)
-            end = gap.end() if gap else len(text)
-            piece = unicodedata.normalize("NFC", text[at:end]).replace("Σ", "σ").lower()
-            yield self.SPLIT.findall(piece)
-            at = end
+    def long_word(self, pieces: Iterable[str]) -> Iterator[tuple[str, str]]:
+        letters = (BYTE_LETTERS[b] for piece in pieces for b in piece.encode("utf-8", "surrogatepass"))
+        for i in self.encoder.word(letters):
+            yield f" {i}", self.decoder.feed([i])
 
     def stream(self, text: str) -> Iterator[tuple[str, str]]:
         """Pieces (ids, decoded) whose concatenation, less the first space, is the result."""
         at = 0
-        for found in self.special.finditer(text) if self.special else ():
+        for found in self.t.special.finditer(text) if self.t.special else ():
             yield from self.plain(text[at : found.start()])
-            yield f" {self.added[found[0]]}", f" {found[0]}"
+            i = self.t.added[found[0]]
+            yield f" {i}", self.decoder.feed([i])
             at = found.end()
         yield from self.plain(text[at:] if at else text)
 
     def plain(self, text: str) -> Iterator[tuple[str, str]]:
-        for words in self.words(text):
+        for words in self.t.segments(text):
+            if not isinstance(words, list):
+                yield from self.long_word(words)
+                continue
+            young, word = self.young.get, self.word
             if max(map(len, words), default=0) <= LONGEST_KEPT:
-                young, word = self.young.get, self.word
                 got = [young(w) or word(w) for w in words]
                 if got:
                     ids, decoded = zip(*got)
@@ -290,9 +337,9 @@ class WordTokenizer:
                 continue
             for w in words:
                 if len(w) <= LONGEST_KEPT:
-                    yield self.young.get(w) or self.word(w)
+                    yield young(w) or word(w)
                 else:
-                    yield from self.long_word(w)
+                    yield from self.long_word([w])
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _ in self.stream(text or "") for i in ids.split()]
@@ -306,34 +353,48 @@ class WordTokenizer:
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordTokenizer:
+    """The file, read once by a worker; what grows belongs to ``Coder``, which a task drops when it ends."""
     return WordTokenizer(path)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int> and decoded text of every document. The file must be on every executor, as installed packages are."""
+    """doc_id and ids array<int> of every document. The file must be on every executor, as installed packages are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(tokenizer_path)
+        coder = Coder(tokenizer(tokenizer_path))
         for batch in batches:
-            ids = [t.encode(x) for x in batch.column(1).to_pylist()]
-            decoded = ["".join(t.decoder.library(i)) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+            ids = [coder.encode(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, ids array<int>, decoded string")
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {id_type}, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, tokenizer_path: str, as_names: bool = False, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id and text of rows of ids (null: none): words with a space after each, or, ``as_names``, what a file without a
+    decoder gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Decoder(tokenizer(tokenizer_path).names, as_names)
+        for batch in batches:
+            texts = [machine.text(x.as_py() or ()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t[1:] if as_names else t for t in texts], pa.string())], names=["doc_id", "text"])
+
+    id_type = encoded.schema[id_col].dataType.simpleString()
+    return map_batches(encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")), run, f"doc_id {id_type}, text string")
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text, without holding either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(tokenizer_path)
+        coder = Coder(tokenizer(tokenizer_path))
         for batch in batches:
-            got = [t.digest(x.as_py()) for x in batch.column(1)]
+            got = [coder.digest(x.as_py()) for x in batch.column(1)]
             n, ids, decoded = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
