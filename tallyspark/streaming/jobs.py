@@ -30,12 +30,12 @@ def kept_jobs(states: DataFrame, now: Column) -> DataFrame:
     return states.where(F.col("updated") >= now - F.expr(f"INTERVAL {EXPIRY}"))
 
 
-def job_stream(stream: DataFrame, done: Column, failed: Column) -> DataFrame:
-    """``job_states`` of a stream, in update mode; a job's state goes when an hour of event time has passed without an event."""
-    timed = stream.withWatermark("ts", EXPIRY)
-    at = F.session_window("ts", EXPIRY)
+def expired_jobs(stream: DataFrame, done: Column, failed: Column) -> DataFrame:
+    """The last ``job_states`` of each job of a stream, in append mode, once an hour of event time has passed without an event; its
+    state goes with it."""
+    timed = stream.withWatermark("ts", "0 seconds")
     last = F.struct("ts", "event_id")
-    return timed.groupBy(F.col("user_id").alias("job"), at).agg(
+    return timed.groupBy(F.col("user_id").alias("job"), F.session_window("ts", EXPIRY)).agg(
         F.count(F.lit(1)).alias("events"), F.min("ts").alias("started"), F.max("ts").alias("updated"), F.max_by("event_type", last).alias("stage"),
         F.max_by(done | failed, last).alias("done"), F.max_by(F.when(failed, F.col("props")), last).alias("error"),
     ).drop("session_window")
