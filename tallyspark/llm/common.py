@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of payload that a part of a range layout aims at, most parts, and sampled keys for each part.
-PART_CHARS, MAX_RANGE_PARTS, KEYS_PER_PART = 64_000_000, 50_000, 8
+PART_CHARS, MAX_RANGE_PARTS, KEYS_PER_PART = 4_000_000, 50_000, 16
 #: Bytes of an Arrow batch that goes to Python, but for its last row: both sides hold a batch at once.
 ARROW_BYTES = 2 << 20
 

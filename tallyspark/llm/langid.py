@@ -41,7 +41,7 @@ def letters_only(text: str) -> str:
 def shared_out(rows: list[bytes], size: int) -> bytes:
     """The rows with a space between, each cut to an equal share where they don't fit."""
     share = size // max(1, len(rows)) - 1
-    return b" ".join(rows) if sum(map(len, rows)) + len(rows) <= size else b" ".join(r[:share] for r in rows)
+    return b" ".join(rows) if sum(map(len, rows)) + len(rows) - 1 <= size else b" ".join(r[:share] for r in rows)
 
 
 def fit_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, bytes]:

@@ -3,8 +3,8 @@
 The base patterns give seed mentions. Every other run of digits with separators, and every token with
 an ``@``, is an open mention. A document's mentions form a graph: a chain edge joins neighbours in the text, a
 skip edge joins each mention to the one before it with the same key (digits, or lower-case local part) or
-with the same last digits. Node potentials are log-odds of mention shapes, and edge weights those of equal labels at
-both ends, counted over the corpus. Seeds are fixed to their kind. Loopy message passing over the graph of every document with
+with the same last digits. Node potentials are log shares of kinds among seeds of one size, and edge weights log-odds of equal
+labels at both ends, counted over the corpus. Seeds are fixed to their kind. Loopy message passing over the graph of every document with
 an open mention gives each such mention a belief; one over THRESHOLD adds a span of that kind. Base spans are never changed.
 
 Defined results: a null or empty text has no mentions; texts without a digit or ``@`` are passed over at
@@ -35,8 +35,8 @@ ROUNDS, THRESHOLD = 12, 0.6
 SKIP_SEEN, MOST_SKIP = (12.0, 0.4), 6.0
 #: Chain edges from which half of their measured weight is trusted, and the largest weight.
 CHAIN_HALF, MOST_CHAIN = 20.0, 1.0
-#: Head start of "none" for an open mention: the base patterns have refused it, so its shape alone is not enough.
-REFUSED = 3.0
+#: Head start of "none" for an open mention: the base patterns have refused it, so its size alone is not enough.
+REFUSED = 2.5
 #: Fewest digits by which two mentions are held for the same number, and smoothing of the counts.
 SAME_DIGITS, SMOOTHING = 7, 1.0
 
@@ -45,7 +45,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-OPEN_NUMBER = re.compile(r"[0-9](?:[ ().\-]{0,2}[0-9])++")
+OPEN_NUMBER = re.compile(r"(?:\([0-9]++\)[ .\-]{0,2})?[0-9](?:[ ().\-]{0,2}[0-9])++")
 OPEN_AT = re.compile(r"[^\s@,;<>()]*@[^\s@,;<>()]*")
 MARKED = re.compile(r"[0-9@]")
 
@@ -105,10 +105,9 @@ def open_spans(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
-def shape(mention: str) -> str:
-    """What a mention looks like: an ``@``, the number of digits and the kind of separators."""
-    seps = "".join(sorted({c for c in mention if c in "+().- "}))
-    return f"{'@' if '@' in mention else ''}{min(20, len(digits_of(mention)))}{seps}"
+def size_of(mention: str) -> str:
+    """What an open mention and a seed of its kind have in common: an ``@``, or the number of digits."""
+    return "@" if "@" in mention else str(min(20, len(digits_of(mention))))
 
 
 def keys(mention: str) -> list[str]:
@@ -137,10 +136,10 @@ def graph(text: str, base: list[Span], free: list[tuple[int, int]]) -> tuple[lis
 
 
 def mention_counts(docs: DataFrame, text_col: str = "text") -> list[tuple[str, int, float]]:
-    """Over all documents, (shape, label, n): how often mentions of each shape have each label by the base patterns. With the names
-    "skip" and "chain", how often two seeds at such an edge have other (0) and equal (1) labels.
+    """Over all documents, (size, label, n): how many seeds of each size have each label, and how many mentions are open (0). With
+    the names "skip" and "chain", how often two seeds at such an edge have other (0) and equal (1) labels.
 
-    Counted by batch, then summed by Spark; there are at most some hundred shapes, whatever the input.
+    Counted by batch, then summed by Spark; there are at most a hundred rows, whatever the input.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,31 +149,32 @@ def mention_counts(docs: DataFrame, text_col: str = "text") -> list[tuple[str, i
                 text = value.as_py()
                 base = base_spans(text)
                 mentions, edges = graph(text, base, open_spans(text, base))
-                n.update((shape(text[s:e]), k) for s, e, k in mentions)
+                n.update((size_of(text[s:e]), k) for s, e, k in mentions)
                 n.update(("skip" if by_key else "chain", int(mentions[a][2] == mentions[b][2])) for a, b, by_key in edges if mentions[a][2] and mentions[b][2])
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], names=["shape", "label", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], names=["size", "label", "n"])
 
     rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    counts = map_batches(rows, run, "shape string, label int, n bigint").groupBy("shape", "label").agg(F.sum("n").alias("n"))
-    return [(r["shape"], r["label"], float(r["n"])) for r in counts.orderBy("shape", "label").collect()]
+    counts = map_batches(rows, run, "size string, label int, n bigint").groupBy("size", "label").agg(F.sum("n").alias("n"))
+    return [(r["size"], r["label"], float(r["n"])) for r in counts.orderBy("size", "label").collect()]
 
 
 class Field:
-    """Node potentials by shape (log share of each label), and edge weights."""
+    """Node potentials by size (log share of each kind among the seeds), and edge weights. Open mentions have no label, so they
+    teach nothing about what their like are."""
 
     def __init__(self, counts: list[tuple[str, int, float]]):
-        by_shape: dict[str, np.ndarray] = {}
+        by_size: dict[str, np.ndarray] = {}
         pairs = {"skip": [0.0, 0.0], "chain": [0.0, 0.0]}
         for name, label, n in counts:
             if name in pairs:
                 pairs[name][label] += n
-            else:
-                by_shape.setdefault(name, np.full(len(LABELS), SMOOTHING))[label] += n
-        self.node = {k: np.log(v / v.sum()) for k, v in by_shape.items()}
+            elif label:
+                by_size.setdefault(name, np.zeros(len(KINDS)))[label - 1] += n
+        self.node = {k: np.log((v + SMOOTHING) / (v + SMOOTHING).sum()) for k, v in by_size.items()}
         other, equal = pairs["skip"]
         self.skip = float(np.clip(np.log((len(LABELS) - 1) * (equal + SKIP_SEEN[0]) / (other + SKIP_SEEN[1])), 0.0, MOST_SKIP))
         other, equal = pairs["chain"]
-        seeds = sum((v[1:] - SMOOTHING for v in by_shape.values()), np.zeros(len(KINDS)))
+        seeds = sum(by_size.values(), np.zeros(len(KINDS)))
         chance = float(np.clip(((seeds / max(1.0, seeds.sum())) ** 2).sum(), 0.05, 0.95))
         measured = np.log((equal + 1) / (other + 1)) - np.log(chance / (1 - chance))
         self.chain = float(np.clip(measured, 0.0, MOST_CHAIN)) * (equal + other) / (equal + other + CHAIN_HALF)
@@ -182,9 +182,8 @@ class Field:
     def potential(self, words: str, label: int) -> np.ndarray:
         if label:
             return np.where(np.arange(len(LABELS)) == label, 0.0, -20.0)
-        out = np.maximum(self.node.get(shape(words), np.full(len(LABELS), -np.log(len(LABELS)))), -4.0)
-        out[0] = max(out[0], -1.0) + REFUSED
-        return out
+        kinds = np.maximum(self.node.get(size_of(words), np.full(len(KINDS), -np.log(len(KINDS)))), -4.0)
+        return np.concatenate([[REFUSED], kinds])
 
 
 def propagate(node: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:

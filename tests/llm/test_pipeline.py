@@ -54,8 +54,8 @@ def test_pipeline_equals_brute_force(spark, sf):
     rows = con.sql("SELECT doc_id, text, lang, source, n_chars FROM documents").fetchall()
     good = {r[0] for r in con.sql(f"SELECT doc_id FROM ({hostrules.ORACLE}) WHERE kept").fetchall()}
     rows = smallest_of_each([r for r in rows if r[0] in good])
-    weights = pii.potentials(pii.shape_counts(spark.createDataFrame(rows, COLUMNS), "text"))
-    replaced(con, [(r[0], pii.mask(r[1], weights), *r[2:]) for r in rows])
+    field = pii.Field(pii.mention_counts(spark.createDataFrame(rows, COLUMNS), "text"))
+    replaced(con, [(r[0], pii.mask(r[1], field), *r[2:]) for r in rows])
     mixed = con.sql(f"SELECT doc_id, text FROM ({mixing.ORACLE})").fetchall()
     library, want = Tokenizer.from_file(tokenizer_path()), []
     for doc_id, text in mixed:
@@ -64,3 +64,24 @@ def test_pipeline_equals_brute_force(spark, sf):
         want.append((doc_id, len(ids), *digests))
     got = corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+
+
+def test_stages_take_odd_rows(spark, sf):
+    """Nulls in any column, empty and long texts, repeated rows, and columns whose names the operators use inside."""
+    good = " ".join(f"word{i}" for i in range(50))
+    rows = [(None, good, None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, good, "en", "s", 9), (3, good, "en", "s", 9), (4, good + " a@b.cd", None, "t", 9), (5, " ".join(f"long{i}" for i in range(30_000)), "en", "t", 9)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    for c in ("rate", "copy", "host", "set", "steps"):
+        docs = docs.withColumn(c, docs["lang"])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_stages_take_an_empty_table(spark, sf):
+    docs = spark.createDataFrame([], COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0
