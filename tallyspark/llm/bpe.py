@@ -6,7 +6,7 @@ can be found from the prefixes before it, and the encodings of all prefixes form
 last ``longest token`` prefixes can grow; a token on the way to all of them is stable and is emitted.
 How long that can take at most, the sufficient lookahead, follows from the merge list alone.
 
-Every word goes through the transducer, letter by letter; a task remembers what it made of a bounded number of words. Texts
+Every word goes through the transducer, letter by letter; a worker remembers what it made of a bounded number of words. Texts
 are normalised and split a segment at a time, and a word without end is fed on as it comes. Decoding turns ids into
 bytes and bytes into text by a machine that holds at most three bytes.
 
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import map_batches
 
 END = "</w>"
-#: Words of more symbols than this are never kept in memory.
+#: Words of more symbols than this are never kept in memory; longer ones are fed in pieces of so many letters.
 LONGEST_KEPT = 48
-#: Words in one generation of a task's memory, of which two are held, and pairs of tokens.
-KEPT_WORDS, KEPT_PAIRS = 70_000, 150_000
+#: Words in one generation of a worker's memory, of which two are held, and pairs of tokens: some 200 MB at most.
+KEPT_WORDS, KEPT_PAIRS = 240_000, 300_000
 #: Code points of text that are normalised at a time.
 SEGMENT = 1 << 16
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -66,9 +66,19 @@ class MergeTable:
         by_end: dict[str, set[int]] = {}
         for t, i in self.id.items():
             if self.width[i] > 2:
-                by_end.setdefault(t[self.width[i] - 3 :], set()).add(self.width[i])
-        #: Widths, from the largest, of the longer tokens with these three last letters (and the word's end).
+                by_end.setdefault(t[self.width[i] - 3 :], {2}).add(self.width[i])
+        #: Widths, from the largest to two, of tokens with these three last letters (and the word's end).
         self.by_end = {k: tuple(sorted(v, reverse=True)) for k, v in by_end.items()}
+        #: The two tokens that a token is merged from, and the merge's rank.
+        self.parts: dict[int, tuple[int, int, int]] = {}
+        several: set[str] = set()
+        for rank, (u, v) in enumerate(merges):
+            if self.id[u + v] in self.parts:
+                several.add(u + v)
+            self.parts.setdefault(self.id[u + v], (self.id[u], self.id[v], rank))
+        for t in several:
+            self.parts[self.id[t]] = self.last_merge(t) or self.parts[self.id[t]]
+        self.crossing = {(self.id[u], self.id[v]): rank for rank, (u, v) in enumerate(merges)}
 
     @staticmethod
     def letters(token: str) -> int:
@@ -110,9 +120,36 @@ class MergeTable:
             return [*body[:-1], body[-1] + END]
         return list(token)
 
+    def last_merge(self, token: str) -> tuple[int, int, int] | None:
+        """The merge that ends the encoding of a token's own letters."""
+        symbols = self.symbols(token)
+        while len(symbols) > 2:
+            before = len(symbols)
+            best = min(range(before - 1), key=lambda i: (self.rank.get((symbols[i], symbols[i + 1]), 1 << 60), i))
+            if (symbols[best], symbols[best + 1]) not in self.rank:
+                return None
+            symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
+        rank = self.rank.get(tuple(symbols))
+        return (self.id[symbols[0]], self.id[symbols[1]], rank) if rank is not None else None
+
     def compatible(self, a: int, b: int) -> bool:
-        one, two = self.name[a], self.name[b]
-        return self.merged(self.symbols(one) + self.symbols(two)) == [one, two]
+        """Whether two tokens side by side stay as they are.
+
+        Their merges are undone from the latest back. At each point the inner ends of both stand side by side; a merge of these two
+        would have come first if its rank is below that of what was undone last, or equal to it on the right, where the left of two
+        equal merges comes first.
+        """
+        until = 1 << 60
+        while True:
+            if self.crossing.get((a, b), 1 << 60) < until:
+                return False
+            left, right = self.parts.get(a), self.parts.get(b)
+            if left and (not right or left[2] > right[2]):
+                a, until = left[1], left[2]
+            elif right:
+                b, until = right[0], right[2] + 1
+            else:
+                return True
 
 
 class Encoder:
@@ -130,42 +167,45 @@ class Encoder:
             known = self.pairs[a << 32 | b] = self.t.compatible(a, b)
         return known
 
-    def word(self, letters: Iterable[str]) -> Iterator[int]:
-        """Ids of a word. Held are the letters after the last stable token, at most ``lookahead`` and two longest tokens."""
-        longest = self.t.longest
-        tail, last = "", [-1]  # last[i]: last token of the encoding of tail[:i], at 0 the last emitted one
-        held, check = None, 2 * longest
-        for letter in letters:
-            if held is not None:
+    def word(self, pieces: Iterable[str]) -> Iterator[int]:
+        """Ids of a word that comes in pieces, none of them empty. Held are the letters after the last stable token: a piece, the lookahead and two
+        longest tokens at most."""
+        tail, last, held = "", [-1], ""  # last[i]: last token of the encoding of tail[:i], at 0 the last emitted one
+        for piece in pieces:
+            if held:
                 tail += held
-                last.append(self.step(tail, last))
-                if len(tail) >= check:
-                    for token in self.stable(tail, last):
+                self.grow(tail, last, len(tail))
+                if len(last) > 2 * self.t.longest:
+                    for token in self.stable(last):
                         yield token
                         w = self.t.width[token]
                         tail, last = tail[w:], [token, *last[w + 1 :]]
-                    check = len(tail) + longest
-            held = letter
-        if held is None:
-            return
-        tail += held
-        last.append(self.step(tail, last, END))
-        yield from self.path(last, len(tail))
-
-    def step(self, tail: str, last: list[int], suffix: str = "") -> int:
-        """The last token of the encoding of ``tail``: the longest one that may follow what the rest ends in."""
-        known, end = self.t.id.get, len(tail)
-        for w in (*self.t.by_end.get(tail[-3:] + suffix, ()), 2) if end > 1 else ():
-            if w <= end:
-                token = known(tail[-w:] + suffix)
-                if token is not None:
-                    before = last[end - w]
-                    if before < 0 or self.pairs.get(before << 32 | token) or self.follows(before, token):
-                        return token
-        token = known(tail[-1] + suffix)
-        if token is None:
-            raise ValueError("a symbol is not in the vocabulary")
-        return token
+            held = piece
+        if held:
+            tail += held
+            self.grow(tail + END, last, len(tail), ended=True)
+            yield from self.path(last, len(tail))
+
+    def grow(self, tail: str, last: list[int], to: int, ended: bool = False) -> None:
+        """Add the last tokens of the encodings of all prefixes of ``tail`` up to ``to`` letters: each is the longest token that may
+        follow what the rest ends in. ``ended``: the last of these prefixes is the whole word, with its end."""
+        known, ends, pairs, append = self.t.id.get, self.t.by_end.get, self.pairs.get, last.append
+        for end in range(len(last), to + 1):
+            close = end + len(END) if ended and end == to else end
+            for w in ends(tail[end - 3 if end > 2 else 0 : close], TWO):
+                start = end - w
+                if start >= 0:
+                    token = known(tail[start:close])
+                    if token is not None:
+                        before = last[start]
+                        if before < 0 or pairs(before << 32 | token) or self.follows(before, token):
+                            append(token)
+                            break
+            else:
+                token = known(tail[end - 1 : close])
+                if token is None:
+                    raise ValueError("a symbol is not in the vocabulary")
+                append(token)
 
     def path(self, last: list[int], at: int) -> list[int]:
         """Tokens of the encoding of the first ``at`` letters."""
@@ -175,9 +215,9 @@ class Encoder:
             at -= self.t.width[last[at]]
         return found[::-1]
 
-    def stable(self, tail: str, last: list[int]) -> list[int]:
+    def stable(self, last: list[int]) -> list[int]:
         """Tokens that the encodings of all prefixes which can still grow begin with."""
-        live = set(range(max(1, len(tail) - self.t.longest + 1), len(tail) + 1))
+        live = set(range(max(1, len(last) - self.t.longest), len(last)))
         while len(live) > 1:
             furthest = max(live)
             live.discard(furthest)
@@ -185,6 +225,9 @@ class Encoder:
         return self.path(last, live.pop())
 
 
+TWO = (2,)
+
+
 class Decoder:
     """A machine that takes ids and gives text; between ids it holds the bytes of an unfinished character, three at most.
 
@@ -287,7 +330,7 @@ class WordTokenizer:
 
 
 class Coder:
-    """A tokenizer at work, with the memory of one task."""
+    """A tokenizer at work, with its bounded memory."""
 
     def __init__(self, tokenizer: WordTokenizer):
         self.t = tokenizer
@@ -300,7 +343,7 @@ class Coder:
         known = self.old.get(word)
         if known is None:
             spelled = word if word.isascii() and word.isalpha() else "".join([BYTE_LETTERS[b] for b in word.encode("utf-8", "surrogatepass")])
-            ids = list(self.encoder.word(spelled))
+            ids = list(self.encoder.word([spelled[i : i + LONGEST_KEPT] for i in range(0, len(spelled), LONGEST_KEPT)]))
             known = ("".join([f" {i}" for i in ids]), self.decoder.feed(ids))
         if len(word) <= LONGEST_KEPT:
             if len(self.young) >= KEPT_WORDS:
@@ -309,7 +352,8 @@ class Coder:
         return known
 
     def long_word(self, pieces: Iterable[str]) -> Iterator[tuple[str, str]]:
-        letters = (BYTE_LETTERS[b] for piece in pieces for b in piece.encode("utf-8", "surrogatepass"))
+        fed = (piece[i : i + LONGEST_KEPT] for piece in pieces for i in range(0, len(piece), LONGEST_KEPT))
+        letters = ("".join([BYTE_LETTERS[b] for b in piece.encode("utf-8", "surrogatepass")]) for piece in fed)
         for i in self.encoder.word(letters):
             yield f" {i}", self.decoder.feed([i])
 
@@ -355,15 +399,21 @@ class Coder:
 
 @lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordTokenizer:
-    """The file, read once by a worker; what grows belongs to ``Coder``, which a task drops when it ends."""
+    """The file, read once by a worker; fixed in size."""
     return WordTokenizer(path)
 
 
+@lru_cache(maxsize=1)
+def worker_coder(path: str) -> Coder:
+    """What a worker's tasks share: words that one has met are known to the next. Its memory has the bounds above."""
+    return Coder(tokenizer(path))
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids array<int> of every document. The file must be on every executor, as installed packages are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tokenizer(tokenizer_path))
+        coder = worker_coder(tokenizer_path)
         for batch in batches:
             ids = [coder.encode(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -390,7 +440,7 @@ def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text, without holding either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(tokenizer(tokenizer_path))
+        coder = worker_coder(tokenizer_path)
         for batch in batches:
             got = [coder.digest(x.as_py()) for x in batch.column(1)]
             n, ids, decoded = zip(*got) if got else ((), (), ())
