@@ -264,12 +264,44 @@ BYTE_LETTERS = byte_letters()
 LETTER_BYTES = {c: b for b, c in BYTE_LETTERS.items()}
 
 
+class LetterClasses:
+    """Letters and numbers as a tokenizers file splits by them, as sets for ``regex`` patterns under V1.
+
+    ``unicodedata``, ``regex`` and the library know different versions of Unicode. Which letters differ is asked of the library, for
+    all code points that ``unicodedata`` has not assigned and ``regex`` counts as letters or numbers; texts without such points need
+    no set but the usual ones.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalizer, split = library.normalizer, library.pre_tokenizer.pre_tokenize_str
+        later = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn"]
+        usual = {kind: set(regex.findall(rf"\p{{{kind}}}", "".join(later))) for kind in "LN"}
+        whole = lambda text: (0, 2) in [ends for _, ends in split(text)]
+        real = {c: "L" if whole("a" + c) else "" if whole("!" + c) else "N" for c in usual["L"] | usual["N"]}
+        self.letters, self.numbers = (rf"[\p{{{kind}}}--[\x00{self.ranges(sorted(c for c in usual[kind] if real[c] != kind))}]]" for kind in "LN")
+
+    @staticmethod
+    def ranges(letters: list[str]) -> str:
+        """Sorted letters as ranges of a set."""
+        bounds: list[list[int]] = []
+        for c in map(ord, letters):
+            if bounds and bounds[-1][1] == c - 1:
+                bounds[-1][1] = c
+            else:
+                bounds.append([c, c])
+        return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in bounds)
+
+    @staticmethod
+    def has_later(text: str) -> bool:
+        return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class WordTokenizer:
     """A lower-casing tokenizer with word ends, read from a tokenizers file. Fixed in size."""
 
-    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+")
-    LETTERS, SYMBOLS = regex.compile(r"\p{L}+"), regex.compile(r"[^" + WHITE + r"\p{L}\p{N}]+")
-
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -280,6 +312,14 @@ class WordTokenizer:
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
+        self.classes = LetterClasses(path)
+        self.usual, self.strict = (self.patterns(*sets) for sets in (("\\p{L}", "\\p{N}"), (self.classes.letters, self.classes.numbers)))
+
+    @staticmethod
+    def patterns(letters: str, numbers: str) -> tuple[regex.Pattern, regex.Pattern, regex.Pattern]:
+        """How text splits into words, and the two kinds of words without a greatest length."""
+        symbols = f"[^{WHITE}{letters}{numbers}]+"
+        return regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|{symbols}"), regex.compile(f"(?V1){letters}+"), regex.compile(f"(?V1){symbols}")
 
     @staticmethod
     def boundary(text: str, at: int) -> int:
@@ -288,13 +328,15 @@ class WordTokenizer:
             at += 1
         return min(at, len(text))
 
-    @staticmethod
-    def normalised(text: str) -> str:
+    def normalised(self, text: str) -> str:
+        if self.classes.has_later(text):
+            return self.classes.normalizer.normalize_str(text)
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def segments(self, text: str) -> Iterator[list[str] | Iterator[str]]:
         """Words of a text without special tokens, many at a time, or the pieces of one long word, to be used up at once."""
         at, carry = 0, ""
+        split, letters, symbols = self.strict if self.classes.has_later(text) else self.usual
 
         def following() -> str:
             nonlocal at
@@ -303,7 +345,7 @@ class WordTokenizer:
 
         def pieces(begun: str) -> Iterator[str]:
             nonlocal carry
-            kind = self.LETTERS if self.LETTERS.match(begun) else self.SYMBOLS
+            kind = letters if letters.match(begun) else symbols
             yield begun
             while at < len(text):
                 piece = following()
@@ -317,9 +359,9 @@ class WordTokenizer:
         while at < len(text) or carry:
             piece, carry = carry + following(), ""
             if at >= len(text):
-                yield self.SPLIT.findall(piece)
+                yield split.findall(piece)
                 continue
-            found = list(self.SPLIT.finditer(piece))
+            found = list(split.finditer(piece))
             if found and found[-1].end() == len(piece) and len(found[-1][0]) > SEGMENT // 2:
                 yield [m[0] for m in found[:-1]]
                 yield pieces(found[-1][0])

@@ -8,8 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, common, hostrules, langid, mixing, pagediff, parity, pii, puquality, quotes, syncmers
-from tallyspark.llm.queries import tokenizer_path
+from tallyspark.llm import bpe, common, filteraudit, hostrules, langid, mixing, pagediff, parity, piecetable, pii, puquality, quotes, syncmers, tokencounts
+from tallyspark.llm.queries import COUNTED_TOKENIZER, tokenizer_path
 from tests.oracle import connect, difference
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, part string, key string, n long"
@@ -47,6 +47,9 @@ EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
     lambda d: puquality.score_quality(d, d.sparkSession.createDataFrame([], "doc_id long, quality int")),
     lambda d: pagediff.extract_pages(d.selectExpr("doc_id AS page_id", "text AS url", "text AS html")),
     lambda d: quotes.link_conversations(quotes.quoted_threads(d.selectExpr("doc_id AS conv_id", "n_chars AS turn", "lang AS role", "text"))),
+    lambda d: tokencounts.token_totals(d, tokenizer_path(COUNTED_TOKENIZER)), lambda d: tokencounts.prefix_token_counts(d, tokenizer_path(COUNTED_TOKENIZER)),
+    lambda d: piecetable.fim_digests(d), lambda d: piecetable.restore(piecetable.outputs(piecetable.arrange_documents(d))),
+    lambda d: filteraudit.audit_filters(d, d.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")),
 ])
 def test_empty_tables(spark, apply):
     assert apply(spark.createDataFrame([], EMPTY)).count() == 0
