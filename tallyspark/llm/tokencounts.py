@@ -20,7 +20,7 @@ import json
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import islice
+from itertools import accumulate, islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,13 +32,15 @@ from tallyspark.llm.bpe import BYTE_LETTERS, WHITE, Encoder, LetterClasses, Merg
 from tallyspark.llm.common import map_batches
 
 #: Words of more code points are never kept in memory, and are counted in blocks of so many.
-LONGEST_KEPT, BLOCK = 64, 4096
-#: Words in one generation of a worker's memory, of which two are held: some 200 MB at most.
-KEPT_WORDS = 240_000
+LONGEST_KEPT, BLOCK = 60, 4096
+#: Words in one generation of a worker's memory, of which two are held: some 200 MB at most. Counts of a kept word fit a byte each.
+KEPT_WORDS = 400_000
+#: Lengths of beginnings of words, longest first, whose states are kept for words that begin alike, and how many are kept.
+STEMS, KEPT_STEMS = (10, 8, 6, 4), 150_000
 #: Pieces of a text that are looked up at a time.
 AT_ONCE = 20_000
 #: Contractions of three letters: their first two letters alone are two words.
-CONTRACTED = {"'re": (1, 2, 1), "'ve": (1, 2, 1), "'ll": (1, 2, 1)}
+CONTRACTED = dict.fromkeys(("'re", "'ve", "'ll"), bytes((1, 2, 1)))
 
 
 class PrefixCounter:
@@ -59,6 +61,31 @@ class PrefixCounter:
         self.white = frozenset(regex.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
         self.young: dict[str, Sequence[int]] = {}
         self.old: dict[str, Sequence[int]] = {}
+        self.stems: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+
+    def short(self, word: str) -> bytes:
+        """As ``prefixes``, for a short word: goes on from the longest beginning that an earlier word had, too."""
+        width, stems, ascii_ = self.table.width, self.stems, word.isascii()
+        if ascii_ and (word.isalpha() or word[0] == " " and word[1:].isalpha()):
+            spelled = word.replace(" ", BYTE_LETTERS[32])
+        else:
+            spelled = "".join([BYTE_LETTERS[b] for b in word.encode("utf-8", "surrogatepass")])
+        last, counts = [-1], [0]
+        for known in STEMS:
+            if known < len(word) and (state := stems.get(word[:known])) is not None:
+                last, counts = [*state[0]], [*state[1]]
+                break
+        first, size = len(last), len(spelled)
+        self.encoder.grow(spelled, last, size)
+        for i in range(first, size + 1):
+            counts.append(counts[i - width[last[i]]] + 1)
+        ends = range(1, size + 1) if ascii_ else [*accumulate([len(c.encode("utf-8", "surrogatepass")) for c in word])]
+        for k in STEMS:
+            if k < len(word) and ends[k - 1] >= first:
+                if len(stems) >= KEPT_STEMS:
+                    stems.clear()
+                stems[word[:k]] = (tuple(last[: ends[k - 1] + 1]), bytes(counts[: ends[k - 1] + 1]))
+        return bytes(counts[1:] if ascii_ else [counts[i] for i in ends])
 
     def prefixes(self, word: str) -> Sequence[int]:
         """Tokens of every prefix of a word, by code points; positions that can still be reached back to are held, no others."""
@@ -87,11 +114,11 @@ class PrefixCounter:
         if known is None:
             known = self.old.get(word)
             if known is None:
-                known = CONTRACTED.get(word) or self.prefixes(word)
+                known = CONTRACTED.get(word) or (self.short(word) if len(word) <= LONGEST_KEPT else self.prefixes(word))
             if len(word) <= LONGEST_KEPT:
                 if len(self.young) >= KEPT_WORDS:
                     self.old, self.young = self.young, {}
-                self.young[word] = known = tuple(known)
+                self.young[word] = known
         return known
 
     def stretches(self, text: str) -> Iterator[tuple[str, str]]:
