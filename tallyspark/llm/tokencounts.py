@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate, islice
 
@@ -33,16 +34,35 @@ from tallyspark.llm.common import map_batches
 
 #: Words of more code points are never kept in memory, and are counted in blocks of so many.
 LONGEST_KEPT, BLOCK = 60, 4096
-#: Words in one generation of a worker's memory, of which two are held: some 200 MB at most. Counts of a kept word fit a byte each.
+#: Words in one generation of a worker's memory, of which two are held: some 150 MB at most.
 KEPT_WORDS = 400_000
 #: Lengths of beginnings of words, longest first, whose states are kept for words that begin alike, and how many are kept.
 STEMS, KEPT_STEMS = (10, 8, 6, 4), 150_000
-#: Pieces of a text that are looked up at a time.
-AT_ONCE = 20_000
+#: Texts of more code points are split piece by piece, and so many pieces looked up at a time.
+LONG, AT_ONCE = 1 << 20, 20_000
 #: Contractions of three letters: their first two letters alone are two words.
 CONTRACTED = dict.fromkeys(("'re", "'ve", "'ll"), bytes((1, 2, 1)))
 
 
+class Sizes(dict):
+    """Tokens of whole words, counted when first asked for. Of two generations of words at most, the younger one is this."""
+
+    def __init__(self, prefixes: Callable[[str], Sequence[int]]):
+        super().__init__()
+        self.prefixes, self.old = prefixes, {}
+
+    def __missing__(self, word: str) -> int:
+        size = self.old.get(word)
+        if size is None:
+            size = self.prefixes(word)[-1]
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= KEPT_WORDS:
+                self.old = self.copy()
+                self.clear()
+            self[word] = size
+        return size
+
+
 class PrefixCounter:
     """A byte-level tokenizers file without normaliser, at work, with a bounded memory of words."""
 
@@ -55,12 +75,12 @@ class PrefixCounter:
         self.table = MergeTable(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
         self.encoder = Encoder(self.table)
         special = [a["content"] for a in spec.get("added_tokens", [])]
+        self.specials = tuple(special)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.classes = LetterClasses(path)
         self.usual, self.strict = (regex.compile(rf"(?V1)'(?:[sdmt]|ll|ve|re)| ?{ls}+| ?{ns}+| ?[^{WHITE}{ls}{ns}]+|[{WHITE}]+(?=[{WHITE}]|\Z)|[{WHITE}]+") for ls, ns in (("\\p{L}", "\\p{N}"), (self.classes.letters, self.classes.numbers)))
         self.white = frozenset(regex.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
-        self.young: dict[str, Sequence[int]] = {}
-        self.old: dict[str, Sequence[int]] = {}
+        self.sizes = Sizes(self.word)
         self.stems: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
     def short(self, word: str) -> bytes:
@@ -110,16 +130,8 @@ class PrefixCounter:
         return out
 
     def word(self, word: str) -> Sequence[int]:
-        known = self.young.get(word)
-        if known is None:
-            known = self.old.get(word)
-            if known is None:
-                known = CONTRACTED.get(word) or (self.short(word) if len(word) <= LONGEST_KEPT else self.prefixes(word))
-            if len(word) <= LONGEST_KEPT:
-                if len(self.young) >= KEPT_WORDS:
-                    self.old, self.young = self.young, {}
-                self.young[word] = known
-        return known
+        """Tokens of every prefix of a word, by code points, the empty one left out."""
+        return CONTRACTED.get(word) or (self.short(word) if len(word) <= LONGEST_KEPT else self.prefixes(word))
 
     def stretches(self, text: str) -> Iterator[tuple[str, str]]:
         """Text without special strings, and the special string that follows it ("" at the end)."""
@@ -134,14 +146,37 @@ class PrefixCounter:
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text."""
-        total, known, word = 0, self.young.get, self.word
+        total, size = 0, self.sizes.__getitem__
         for plain, special in self.stretches(text or ""):
             found = self.split(plain).finditer(plain)
             while pieces := [m[0] for m in islice(found, AT_ONCE)]:
-                total += sum([(known(p) or word(p))[-1] for p in pieces])
+                total += sum(map(size, pieces))
             total += special != ""
         return total
 
+    def total_and_fitting(self, text: str | None, budget: int) -> tuple[int, int]:
+        """Tokens of a whole text, and code points of its longest prefix within the budget. Of a text of usual length the words up
+        to the budget are found by their sizes, and prefixes are looked at around the last of them only."""
+        text = text or ""
+        if len(text) > LONG or any(s in text for s in self.specials):
+            total = self.count(text)
+            return total, len(text) if total <= budget else self.fitting(text, budget)
+        pieces = self.split(text).findall(text)
+        ends = [0, *accumulate(map(self.sizes.__getitem__, pieces))]
+        if ends[-1] <= budget:
+            return ends[-1], len(text)
+        first = max(0, bisect_left(ends, budget) - 3)
+        at = best = sum(map(len, pieces[:first]))
+        gap = (pieces[first - 1], ends[first - 1]) if first and self.white >= {pieces[first - 1][0], pieces[first - 1][-1]} else None
+        before = ends[first]
+        for _, base, _, counts in self.pieces(text, at, ends[first], gap):
+            if before >= budget:
+                break
+            before = base
+            best = next((at + i + 1 for i in range(len(counts) - 1, -1, -1) if counts[i] <= budget), best)
+            at += len(counts)
+        return ends[-1], best
+
     def pieces(self, plain: str, at: int, base: int, gap: tuple[str, int] | None) -> Iterator[tuple[int, int, tuple[str, int] | None, list[int]]]:
         """From ``at`` on: where a piece begins, tokens before it, the gap before it and the counts of prefixes that end in it.
 
@@ -231,10 +266,9 @@ def token_totals(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_counter(tokenizer_path)
         for batch in batches:
-            size, chars = (pc.fill_null(f(batch.column(1)), 0).cast(pa.int64()) for f in (pc.binary_length, pc.utf8_length))
             texts = batch.column(1)
-            n = [counter.count(t.as_py()) for t in texts]
-            fit = [c if k <= limit else counter.fitting(t.as_py(), limit) for k, c, t in zip(n, chars.to_pylist(), texts)]
+            size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            n, fit = zip(*[counter.total_and_fitting(t.as_py(), limit) for t in texts]) if len(texts) else ((), ())
             columns = [batch.column(0), size, pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(fit, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
 

@@ -41,6 +41,7 @@ def test_every_prefix_has_the_library_s_count(library):
         assert counter.count(text) == want[-1]
         for budget in (0, 1, 3, 7, 50):
             assert counter.fitting(text, budget) == max(i for i, n in enumerate(want) if n <= budget), (text, budget)
+            assert counter.total_and_fitting(text, budget) == (want[-1], counter.fitting(text, budget)), (text, budget)
 
 
 def test_long_words_are_counted_in_blocks(library):
