@@ -60,43 +60,41 @@ def row_label(c: Column) -> Column:
     return F.regexp_replace(label, r"[ ,.:;*]+$", "")
 
 
-#: Codes that a label may print its unit in.
-UNIT_IN_LABEL = r"(?i),?\s*\(?\b(?:[kmbt]?(?:SEK|EUR|USD|NOK|DKK|ISK|GBP)|CHF|kr)\b\)?"
+#: Currency codes, other names of currencies, words of scale and the factors they stand for.
+CURRENCIES = ("SEK", "EUR", "USD", "NOK", "DKK", "ISK", "GBP", "CHF", "JPY", "CAD", "AUD")
+CURRENCY_NAMES = {"kronor": "SEK", "euro": "EUR", "kr": "SEK", "€": "EUR", "$": "USD", "£": "GBP"}
+SCALE_WORDS = {"bn": ("billions", "billion", "bn", "mrd", "mdr", "md"), "m": ("millions", "million", "miljoner", "miljon", "mn", "m"), "k": ("thousands", "thousand", "tusen", "000", "k", "t")}
+FACTORS = {"bn": 1e9, "m": 1e6, "k": 1e3, "": 1.0}
+CURRENCY_CODES = "|".join(CURRENCIES)
+#: A reference to a note.
+NOTE = r"[A-Z]{1,3}\.?\d{1,2}(?:[-–]\d{1,2})?"
+#: What labels carry besides their words: marks of footnotes, figures of notes in brackets, units, and the word for loss.
+_UNIT_IN_LABEL = rf"(?i:,?\s*\(?\b(?:[kmbt]?(?:{CURRENCY_CODES})|kr)\b\)?)"
+LABEL_NOISE = "|".join((r"(?<=\p{L})[\u2070\u00b9\u00b2\u00b3\u2074-\u2079]+", r"(?i:\s*[/(]\s*\(?loss\)?|/förlust)", r"(?<=\p{L})\d{1,2}\)", r"\s*\[\d{1,2}\]", _UNIT_IN_LABEL))
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
 def clean_label(c: Column) -> Column:
-    """A label as labels are compared: without footnote marks, units, note references and loss wording, "result" as "profit",
-    digits glued to their words, in lower case. Ligatures are spelled out."""
-    out = F.coalesce(c, F.lit(""))
-    for mark, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        out = F.replace(out, F.lit(mark), F.lit(letters))
-    steps = (
-        (r"(?<=\p{L})[⁰¹²³⁴⁵⁶⁷⁸⁹]+", ""),
-        (r"(?i)\bresult\b", "profit"),
-    )
-    for pattern, to in steps:
-        out = F.regexp_replace(out, pattern, to)
-    out = normalize_ws(out)
-    for pattern, to in (
-        (r"(?i)\s*[/(]\s*\(?loss\)?|/förlust", ""),
-        (r"(?<=\p{L})\d{1,2}\)", ""),
-        (UNIT_IN_LABEL, ""),
-        (r"(?:\s+[A-Z]{1,3}\.?\d{1,2}(?:[-–]\d{1,2})?,?)+$", ""),
-        (r"(?:\s*\[\d{1,2}\])+", ""),
-        (r"[\s\d,.:;*)(]+$", ""),
-    ):
-        out = F.regexp_replace(out, pattern, to)
-    return F.lower(out)
-
-
-def dedupe_doubled_tokens(c: Column, passes: int = 4) -> Column:
+    """A label as labels are compared: lower-case words with digits glued to them, "result" as "profit", without LABEL_NOISE, references to
+    notes at the end and figures after the last word. Ligatures are spelled out."""
+    spelled = F.coalesce(c, F.lit(""))
+    for mark, letters in LIGATURES.items():
+        spelled = F.replace(spelled, F.lit(mark), F.lit(letters))
+    bare = F.regexp_replace(normalize_ws(spelled), LABEL_NOISE, "")
+    ended = F.regexp_replace(F.regexp_replace(bare, rf"(?:\s+{NOTE},?)+$", ""), r"[\s\d,.:;*)(]+$", "")
+    return F.regexp_replace(F.lower(ended), r"\bresult\b", "profit")
+
+
+def dedupe_doubled_tokens(c: Column) -> Column:
     """A text layer that prints nearly every token twice, once: at least eight neighbours are equal, and a quarter of all
-    tokens. Each pass halves a run of copies."""
-    tokens = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
+    tokens. Of equal neighbours on a line the first stays, however many there are."""
+    text = F.coalesce(c, F.lit(""))
+    tokens = F.filter(F.split(text, r"\s+"), lambda x: x != "")
     twice = F.size(F.filter(tokens, lambda x, i: F.coalesce(F.lower(F.get(tokens, i - 1)) == F.lower(x), F.lit(False))))
-    once = c
-    for _ in range(passes):
-        once = F.regexp_replace(once, r"(?i)(?<!\S)(\S+)(?:[ \t]+\1)(?!\S)", "$1")
+    parts = F.regexp_extract_all(text, F.lit(r"(\S+|[ \t]+|[^\S \t]+)"), 1)
+    word = lambda x: x.rlike(r"^\S")
+    repeats = lambda i: F.coalesce(F.get(parts, i - 1).rlike(r"^[ \t]+$") & (F.lower(F.get(parts, i - 2)) == F.lower(F.get(parts, i))), F.lit(False))
+    once = F.array_join(F.filter(parts, lambda x, i: ~F.when(word(x), repeats(i)).otherwise(repeats(i + 1) & x.rlike(r"^[ \t]+$"))), "")
     return F.when((twice >= 8) & (twice * 4 >= F.size(tokens)), once).otherwise(c)
 
 
@@ -110,14 +108,19 @@ def parse_number(c: Column) -> Column:
 FOOTNOTE = r"(?<=\d{3})\d\)(?=\s|$)"
 
 
+#: Marks between groups of three digits.
+GROUP_MARK = r"[\s,.'\u00a0]?"
+
+
 def printed_pattern(value: Column) -> Column:
     """A pattern of a number as it can be printed: any group mark, a point or comma before decimals, bounded by what can't
     continue it; the sign doesn't matter. Null for null."""
-    plain = F.abs(value).cast("decimal(38,4)").cast("string")
-    whole, part = F.substring_index(plain, ".", 1), F.regexp_replace(F.substring_index(plain, ".", -1), "0+$", "")
-    grouped = F.reverse(F.regexp_replace(F.reverse(whole), r"([0-9]{3})(?=[0-9])", "$1#"))
-    digits = F.replace(grouped, F.lit("#"), F.lit(r"[\s,.'\u00a0]?"))
-    return F.concat(F.lit(r"(?<![\d.,])"), digits, F.when(part != "", F.concat(F.lit("[.,]"), part, F.lit("0*"))).otherwise(""), F.lit(r"(?!\d)"))
+    whole = F.floor(F.abs(value).cast("decimal(38,4)")).cast("string")
+    part = F.rtrim(F.lpad(F.pmod(F.abs(value).cast("decimal(38,4)") * 10000, F.lit(10000)).cast("bigint").cast("string"), 4, "0"), F.lit("0"))
+    first = (F.length(whole) - 1) % 3 + 1
+    groups = F.transform(F.sequence(F.lit(0), ((F.length(whole) - first) / 3).cast("int")), lambda i: F.when(i == 0, F.substring(whole, F.lit(1), first)).otherwise(F.substring(whole, first + 3 * i - 2, F.lit(3))))
+    decimals = F.when(part == "", "").otherwise(F.concat(F.lit("[.,]"), part, F.lit("0*")))
+    return F.concat(F.lit(r"(?<![\d.,])"), F.array_join(groups, GROUP_MARK), decimals, F.lit(r"(?!\d)"))
 
 
 def value_in_text(value: Column, text: Column) -> Column:
@@ -127,13 +130,11 @@ def value_in_text(value: Column, text: Column) -> Column:
 
 def repaired_scale(value: Column, quote: Column) -> Column:
     """The printed number where a value isn't in its quote, but a tenth, hundredth or thousandth of it is, with decimals or
-    of two digits at least; else null."""
-    found = None
-    for by in (1000, 100, 10):
-        less = F.round(value / by, 4)
-        fits = ((less != F.floor(less)) | (F.abs(less) >= 10)) & value_in_text(less, quote)
-        found = F.when(fits, less) if found is None else F.when(fits, less).otherwise(found)
-    return F.when(value.isNotNull() & ~value_in_text(value, quote), found)
+    of two digits at least; else null. The nearest power of ten counts."""
+    smaller = F.transform(F.array(*map(F.lit, (10, 100, 1000))), lambda by: F.round(value / by, 4))
+    telling = lambda x: (F.pmod(x, F.lit(1.0)) != 0) | (F.abs(x) >= 10)
+    printed = F.filter(smaller, lambda x: telling(x) & value_in_text(x, quote))
+    return F.when(value.isNotNull() & ~value_in_text(value, quote), F.get(printed, 0))
 
 
 def name_words(c: Column) -> Column:
@@ -171,47 +172,34 @@ def slug(c: Column) -> Column:
     return F.array_join(name_words(F.regexp_replace(c, r"(?i)\(publ\)|\bAB\b|\bLtd\.?\b|\bplc\b|\bGroup\b|\bCompany\b", "")), "_")
 
 
+def unit_parts(unit: Column) -> tuple[Column, Column]:
+    """Currency code (null where none is named) and scale (bn, m, k, "" for none; null for other words) of a printed unit. Without white
+    space, marks and connecting words, a unit is a currency's code or name with a word of scale before or after it."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(unit), r"\b(?:of|in|per)\b", ""), r"[\s'’.,]", "")
+    names = {code.lower(): code for code in CURRENCIES} | CURRENCY_NAMES
+    found = F.regexp_extract(bare, "(" + "|".join("\\" + n if n == "$" else n for n in sorted(names, key=len, reverse=True)) + ")", 1)
+    words = {w: scale for scale, of in SCALE_WORDS.items() for w in of} | {"": ""}
+    known = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return known(names, found), known(words, F.replace(bare, found, F.lit("")))
+
+
 def currency_of(unit: Column) -> Column:
     """The currency that a unit names, without its scale; "" where it names none."""
-    spelled = F.replace(F.replace(F.replace(F.coalesce(unit, F.lit("")), F.lit("€"), F.lit("EUR ")), F.lit("$"), F.lit("USD ")), F.lit("£"), F.lit("GBP "))
-    words = F.regexp_replace(spelled, r"(?i)\b(m|mn|million|millions|thousand|thousands|bn|billion|k|cent|cents|öre|in|i)\b", "")
-    code = F.upper(F.regexp_replace(words, "[^A-Za-z]", ""))
-    code = F.when(code.isin("EURO"), "EUR").when(code.isin("KR", "KRONOR", "MKR", "MDKR", "TKR"), "SEK").otherwise(code)
-    code = F.when((F.length(code) == 4) & code.rlike("^[MKT]"), F.substring(code, 2, 3)).otherwise(code)
-    return F.when((F.length(code) == 4) & code.rlike("[MKT]$"), F.substring(code, 1, 3)).otherwise(code)
+    return F.coalesce(unit_parts(unit)[0], F.lit(""))
 
 
 def unit_key(unit: Column) -> Column:
-    """Scale (bn, m, k or none) and currency of a printed unit, as one text; null where no currency can be read."""
-    low = F.lower(F.trim(unit))
-    glued = r"^[mkt](sek|eur|usd|gbp|nok|dkk|chf|jpy|cad|aud|kr)\b"
-    tail = r"\b(sek|eur|usd|gbp|nok|dkk|chf|jpy|cad|aud)[mkt]\b"
-    of = lambda x: F.when(x == "m", "m").otherwise("k")
-    scale = (
-        F.when(low.rlike("billion|bn"), "bn").when(low.rlike("million|miljon|mn"), "m").when(low.rlike("thousand|tusen"), "k")
-        .when(low.rlike(r"\b(m|k|t)\b"), of(F.regexp_extract(low, r"\b(m|k|t)\b", 1)))
-        .when(F.contains(low, F.lit("000")), "k").when(low.rlike(glued), of(F.substring(low, 1, 1)))
-        .when(low.rlike(tail), of(F.regexp_extract(low, r"\b(?:sek|eur|usd|gbp|nok|dkk|chf|jpy|cad|aud)([mkt])\b", 1))).otherwise("")
-    )
-    bare = F.regexp_replace(low, r"\b(billions?|bn|millions?|miljoner?|mn|thousands?|tusen|of|in|per|m|k|t)\b", " ")
-    bare = F.when(bare.rlike(glued), F.substring(bare, 2, 99)).when(bare.rlike(tail), F.regexp_replace(bare, tail, "$1")).otherwise(bare)
-    code = F.upper(F.regexp_replace(bare, "[^a-z]", ""))
-    code = F.when(code == "KRONOR", "SEK").when(code == "EURO", "EUR").when(code == "KR", "SEK").otherwise(code)
-    return F.when(code != "", F.concat_ws(" ", scale, code))
-
-
-def unit_scale(c: Column) -> Column:
+    """Scale (bn, m, k or none) and currency of a printed unit, as one text; null where one can't be read."""
+    currency, scale = unit_parts(unit)
+    return F.concat(scale, F.lit(" "), currency)
+
+
+def unit_scale(unit: Column) -> Column:
     """The factor that a unit names: thousands, millions, billions, else 1."""
-    u = F.lower(F.regexp_replace(c, r"[\s'’.]", ""))
-    return (
-        F.when(u.rlike("^(bn|mrd|mdr)|(bn|mrd|mdr|billions?)$"), 1e9)
-        .when(u.rlike("^(m(sek|eur|usd|nok|dkk|gbp|kr)|million)|(millions?|m|mn|mkr)$"), 1e6)
-        .when(u.rlike("^(t(sek|eur|usd|nok|dkk|gbp|kr)|k(sek|eur|usd|nok|dkk|gbp|kr))|(000|thousands?|tkr)$"), 1e3)
-        .otherwise(1.0)
-    )
+    factors = F.create_map(*[F.lit(x) for pair in FACTORS.items() for x in pair])
+    return F.coalesce(F.try_element_at(factors, unit_parts(unit)[1]), F.lit(1.0))
 
 
-def unit_currency(c: Column) -> Column:
+def unit_currency(unit: Column) -> Column:
     """The currency that a unit names, else null; never guessed."""
-    code = F.regexp_extract(F.upper(c), "(SEK|EUR|USD|NOK|DKK|GBP)", 1)
-    return F.when(code != "", code).when(F.lower(c).rlike("^[mt]?kr$"), "SEK")
+    return unit_parts(unit)[0]

@@ -106,21 +106,27 @@ def identity_status(wide: DataFrame) -> DataFrame:
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "ett": 1, "en": 1, "två": 2, "tre": 3, "fyra": 4, "fem": 5}
 
 
+#: How labels begin, or end, that name all months after a number of them, and all up to it.
+LATER = r"^(?:>|more than|later than|after|over|mer än|senare än|efter|över)|\b(?:or more|eller mer|and later)\b"
+WITHIN = r"^(?:<|less than|within|up to|inom|mindre än|upp till)|(?:or less|eller mindre)"
+
+
 def interval_months(label: Column) -> tuple[Column, Column]:
     """Least and most months that a label names ("0-6 months", "between 1 and 5 years", "< 1 år", "> 5 years", "within one
     year"); most is infinite for open ends, both null for other labels."""
-    low = F.regexp_replace(F.lower(F.trim(label)), "[–−]", "-")
-    for word, n in NUMBER_WORDS.items():
-        low = F.regexp_replace(low, rf"\b{word}\b", str(n))
-    unit = F.when(low.rlike("year|år"), 12).when(low.rlike("month|månad"), 1)
-    number = lambda i: F.try_element_at(F.regexp_extract_all(low, F.lit(r"([0-9]+)"), 1), F.lit(i)).cast("double") * unit
-    a, b = number(1), number(2)
-    later = low.rlike(r"^(>|more than|later than|after|over|mer än|senare än|efter|över)|\b(or more|eller mer|and later)\b")
-    within = low.rlike(r"^(<|less than|within|up to|inom|mindre än|upp till)|(or less|eller mindre)")
-    both = later & b.isNotNull()  # "later than 1 but within 5 years"
-    least = F.when(both | (b.isNotNull() & ~within), a).when(later, a).when(within, F.lit(0.0))
-    most = F.when(both | (b.isNotNull() & ~within), b).when(later, F.lit(float("inf"))).when(within, a)
-    return least, most
+    words = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
+    # three steps, each read by the next once, so that the plan stays small
+    low = F.transform(F.array(label), lambda x: F.lower(F.trim(x)))
+    said = F.transform(low, lambda x: F.struct(
+        F.transform(F.regexp_extract_all(x, F.lit(rf"([0-9]+|\b(?:{'|'.join(NUMBER_WORDS)})\b)"), F.lit(1)), lambda w: F.coalesce(w.try_cast("int"), F.try_element_at(words, w))).alias("n"),
+        F.when(x.rlike("year|år"), 12.0).when(x.rlike("month|månad|mån"), 1.0).alias("unit"), x.rlike(LATER).alias("later"), x.rlike(WITHIN).alias("within"),
+    ))
+    named = F.transform(said, lambda s: F.struct((F.get(s["n"], 0) * s["unit"]).alias("a"), (F.get(s["n"], 1) * s["unit"]).alias("b"), s["later"].alias("later"), s["within"].alias("within")))
+    # two numbers bound an interval, also in "later than 1 but within 5 years", but not after "within" alone
+    both = lambda x: x["b"].isNotNull() & (x["later"] | ~x["within"])
+    least = lambda x: F.when(both(x) | x["later"], x["a"]).when(x["within"], F.lit(0.0))
+    most = lambda x: F.when(both(x), x["b"]).when(x["later"], F.lit(float("inf"))).when(x["within"], x["a"])
+    return F.get(F.transform(named, least), 0), F.get(F.transform(named, most), 0)
 
 
 #: Reasons for a missing figure, and which comes first.

@@ -34,12 +34,12 @@ STRICT = f""", sc AS (SELECT stem, list_sort(list(key) FILTER (value IS NOT NULL
  sd AS (SELECT *, list_filter({list(st.KEYS)!r}, lambda k: NOT list_contains(coalesce(present, []), k)) AS missing FROM sc),
  se AS (SELECT *, CASE WHEN len(missing) > 0 THEN 'Missing explicit values: ' || array_to_string(missing, ', ')
   WHEN len(units) <> 1 OR list_contains(units, '') OR len(periods) <> 1 OR list_contains(periods, '') THEN 'Cannot reconcile missing or incompatible units/periods.' ELSE '' END AS detail FROM sd),
- ck AS (SELECT stem, detail, CASE WHEN detail <> '' THEN 'unavailable' WHEN abs(off) <= 2 THEN 'passed' ELSE 'failed' END AS status FROM se)"""
-EVIDENCE = STRICT + st.PAGES + f""", vq AS (SELECT fg.*, text, status = 'failed' AS failed, status AS ck_status,
+ ck AS MATERIALIZED (SELECT stem, detail, CASE WHEN detail <> '' THEN 'unavailable' WHEN abs(off) <= 2 THEN 'passed' ELSE 'failed' END AS status FROM se)"""
+EVIDENCE = STRICT + st.PAGES + f""", vq AS MATERIALIZED (SELECT fg.*, text, status = 'failed' AS failed, status AS ck_status,
   coalesce(contains({{flat}}, {{flatq}}), false) AS quoted FROM fg JOIN ck USING (stem) LEFT JOIN sp USING (stem, page)),
  eb AS (SELECT *, quoted AND {found_sql('value', 'quote')} AS in_quote, value IS NOT NULL AND regexp_replace(quote, '^(Total borrowings|Within 1 year|1-5 years|Later than 5 years).*', 'known') = 'known' AS known,
   coalesce(period = fiscal_year::VARCHAR, false) AS period_ok, coalesce(page % 2 = 1, false) AS statement, coalesce(unit = '{CURRENCY}', false) AS unit_ok FROM vq),
- eg AS (SELECT *, round(CASE WHEN NOT quoted THEN least(t, 0.25) WHEN (NOT in_quote) OR failed OR (period IS NOT NULL AND NOT period_ok) THEN least(t, 0.5) ELSE t END, 3)::DOUBLE AS confidence,
+ eg AS MATERIALIZED (SELECT *, round(CASE WHEN NOT quoted THEN least(t, 0.25) WHEN (NOT in_quote) OR failed OR (period IS NOT NULL AND NOT period_ok) THEN least(t, 0.5) ELSE t END, 3)::DOUBLE AS confidence,
   array_to_string(list_filter([CASE WHEN quoted THEN 'quote_on_page' END, CASE WHEN in_quote THEN 'value_in_quote' END, CASE WHEN NOT failed THEN 'arith_ok' END, CASE WHEN known THEN 'label_known' END,
    CASE WHEN period_ok THEN 'period_ok' END, CASE WHEN statement THEN 'page_is_statement' END, CASE WHEN unit_ok THEN 'unit_ok' END], lambda x: x IS NOT NULL), ',') AS evidence
   FROM (SELECT *, least(0.35 * quoted::INT + 0.20 * in_quote::INT + 0.20 * (NOT failed)::INT + 0.10 * known::INT + 0.05 * period_ok::INT + 0.05 * statement::INT + 0.05 * unit_ok::INT, 1.0) AS t FROM eb))"""
@@ -124,11 +124,11 @@ def e06_full_confidence(spark, d):
 
 # F. two readings and what is stored
 
-RUNS = FIG + EVIDENCE + """, u1 AS (SELECT stem, key, value, unit, period, confidence, false AS tie, ck_status = 'passed' AS passed, evidence FROM eg),
- u2 AS (SELECT stem, key, CASE stem % 5 WHEN 1 THEN value + 1 WHEN 2 THEN value * 1000 WHEN 3 THEN NULL ELSE value END AS value,
+RUNS = FIG + EVIDENCE + """, u1 AS MATERIALIZED (SELECT stem, key, value, unit, period, confidence, false AS tie, ck_status = 'passed' AS passed, evidence FROM eg),
+ u2 AS MATERIALIZED (SELECT stem, key, CASE stem % 5 WHEN 1 THEN value + 1 WHEN 2 THEN value * 1000 WHEN 3 THEN NULL ELSE value END AS value,
   CASE WHEN stem % 6 = 5 AND unit = 'MSEK' THEN 'SEK million' WHEN stem % 6 = 4 THEN 'USD' ELSE unit END AS unit, period, round(confidence - 0.1, 3)::DOUBLE AS confidence, stem % 10 = 2 AND key = 'total_debt' AS tie,
   ck_status = 'passed' AND stem % 4 = 0 AS passed, evidence FROM eg WHERE NOT (stem % 29 = 0 AND key = 'due_after_5_years')),
- u3 AS (SELECT stem, key, CASE WHEN stem % 3 = 1 THEN value * 1000 ELSE value END AS value, unit, period, confidence, false AS tie, false AS passed FROM u1 WHERE stem % 7 <> 6)"""
+ u3 AS MATERIALIZED (SELECT stem, key, CASE WHEN stem % 3 = 1 THEN value * 1000 ELSE value END AS value, unit, period, confidence, false AS tie, false AS passed FROM u1 WHERE stem % 7 <> 6)"""
 #: Scale and currency of the units that these readings print.
 _UK = "CASE {0} WHEN 'MSEK' THEN 'm SEK' WHEN 'SEK million' THEN 'm SEK' WHEN 'TSEK' THEN 'k SEK' WHEN 'EUR' THEN ' EUR' WHEN 'USD' THEN ' USD' END"
 
@@ -145,11 +145,11 @@ def union_sql(said: str) -> str:
   WHEN eq THEN 'run2 (agree: {said}: tie -> run2)' WHEN ta AND NOT tb THEN 'run1 (conflict: {said}: balance-sheet tie)' WHEN tb AND NOT ta THEN 'run2 (conflict: {said}: balance-sheet tie)' ELSE 'null ({said}: conflict, no signal -> null)' END"""
 
 
-PAIRS = RUNS + f""", pr AS (SELECT coalesce(u1.stem, u2.stem) AS stem, coalesce(u1.key, u2.key) AS key, u1.value AS a_value, u2.value AS b_value, u1.unit AS a_unit, u2.unit AS b_unit, u1.period AS a_period, u2.period AS b_period,
+PAIRS = RUNS + f""", pr AS MATERIALIZED (SELECT coalesce(u1.stem, u2.stem) AS stem, coalesce(u1.key, u2.key) AS key, u1.value AS a_value, u2.value AS b_value, u1.unit AS a_unit, u2.unit AS b_unit, u1.period AS a_period, u2.period AS b_period,
   {same_sql('u1', 'u2')} AS eq, coalesce(u1.passed, false) AS ia, coalesce(u2.passed, false) AS ib, coalesce(u1.confidence, 0) AS ca, coalesce(u2.confidence, 0) AS cb, coalesce(u1.tie, false) AS ta, coalesce(u2.tie, false) AS tb
   FROM u1 FULL JOIN u2 ON u1.stem = u2.stem AND u1.key = u2.key),
  un AS (SELECT *, {union_sql('union')} AS decision FROM pr),
- me AS (SELECT stem, key, CASE WHEN decision LIKE 'run1%' THEN a_value WHEN decision LIKE 'run2%' THEN b_value END AS value, CASE WHEN decision LIKE 'run1%' OR decision LIKE '%both null)' THEN a_unit WHEN decision LIKE 'run2%' THEN b_unit END AS unit,
+ me AS MATERIALIZED (SELECT stem, key, CASE WHEN decision LIKE 'run1%' THEN a_value WHEN decision LIKE 'run2%' THEN b_value END AS value, CASE WHEN decision LIKE 'run1%' OR decision LIKE '%both null)' THEN a_unit WHEN decision LIKE 'run2%' THEN b_unit END AS unit,
   CASE WHEN decision LIKE 'run1%' OR decision LIKE '%both null)' THEN a_period WHEN decision LIKE 'run2%' THEN b_period END AS period, decision FROM un)"""
 
 
@@ -201,7 +201,7 @@ def f03_merge_union_full(spark, d):
     return mg.merge_union(one, two)
 
 
-@query(f"""WITH {PAIRS}, ps AS (SELECT pr.*, u3.value AS c_value, u3.unit AS c_unit, u3.period AS c_period, coalesce(stem, u3.stem) AS st, coalesce(key, u3.key) AS ky,
+@query(f"""WITH {PAIRS}, ps AS MATERIALIZED (SELECT pr.*, u3.value AS c_value, u3.unit AS c_unit, u3.period AS c_period, coalesce(stem, u3.stem) AS st, coalesce(key, u3.key) AS ky,
   {same_sql('(struct_pack(value := pr.a_value, unit := pr.a_unit, period := pr.a_period))', 'u3')} AS as_, {same_sql('(struct_pack(value := pr.b_value, unit := pr.b_unit, period := pr.b_period))', 'u3')} AS bs FROM pr LEFT JOIN u3 USING (stem, key)),
  mj AS (SELECT *, CASE WHEN eq AND as_ THEN 'run1 (majority: unanimous)' WHEN eq THEN 'run1 (majority: run1+run2)' WHEN as_ THEN 'run1 (majority: run1+stored)' WHEN bs THEN 'run2 (majority: run2+stored)' ELSE {union_sql('3-way split -> union')} END AS decision FROM ps)
  SELECT stem, key, CASE WHEN decision LIKE 'run1%' THEN a_value WHEN decision LIKE 'run2%' THEN b_value END AS value, CASE WHEN decision LIKE 'run1%' OR decision LIKE '%both null)' THEN a_unit WHEN decision LIKE 'run2%' THEN b_unit END AS unit,
@@ -384,8 +384,8 @@ def g18_company_groups(spark, d):
 
 LABELLED = RUNS + """, lb AS (SELECT stem, 'debt' || (stem % 3) AS section, key, CASE WHEN value IS NULL THEN 'null' WHEN stem % 13 = 0 THEN ' NULL' ELSE printf('%.2f', value) END AS expected_value, CASE WHEN stem % 9 <> 8 THEN (stem % 9 + 1 + (stem % 4 = 3)::INT)::INT END AS expected_page FROM u1),
  gv AS (SELECT u2.stem, 'debt' || (stem % 3) AS section, u2.key, u2.value, CASE WHEN u2.value IS NOT NULL THEN (stem % 9 + 1)::INT END AS page, u2.confidence, u2.evidence FROM u2 WHERE stem % 12 <> 5),
- rs AS (SELECT lb.*, gv.value AS got_value, gv.page AS got_page, gv.confidence, gv.evidence, (lb.stem, lb.section) IN (SELECT (stem, section) FROM gv) AS stored, lower(trim(expected_value)) = 'null' AS nul FROM lb LEFT JOIN gv USING (stem, section, key)),
- ro AS (SELECT *, CASE WHEN stored THEN CASE WHEN nul THEN got_value IS NULL WHEN got_value IS NULL THEN false ELSE abs(expected_value::DOUBLE - got_value) < 0.005 END END AS value_ok,
+ rs AS MATERIALIZED (SELECT lb.*, gv.value AS got_value, gv.page AS got_page, gv.confidence, gv.evidence, (lb.stem, lb.section) IN (SELECT (stem, section) FROM gv) AS stored, lower(trim(expected_value)) = 'null' AS nul FROM lb LEFT JOIN gv USING (stem, section, key)),
+ ro AS MATERIALIZED (SELECT *, CASE WHEN stored THEN CASE WHEN nul THEN got_value IS NULL WHEN got_value IS NULL THEN false ELSE abs(expected_value::DOUBLE - got_value) < 0.005 END END AS value_ok,
   CASE WHEN stored AND expected_page IS NOT NULL AND NOT (nul AND got_value IS NULL) THEN coalesce(expected_page = got_page, false) END AS page_ok FROM rs)"""
 
 
