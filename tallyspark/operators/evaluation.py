@@ -26,16 +26,17 @@ def page_match(expected_page: Column, got_page: Column, expected: Column, got: C
     return F.when(expected_page.isNull() | (expected_page == 0) | absent, None).otherwise(F.coalesce(expected_page == got_page, F.lit(False)))
 
 
-def evaluate(labels: DataFrame, figures: DataFrame) -> DataFrame:
+def evaluate(labels: DataFrame, figures: DataFrame, *others: str) -> DataFrame:
     """The labels (stem, section, key, expected_value, expected_page) with got_value, got_page, confidence, value_ok and
-    page_ok. A label whose stem and section have no figure at all is not scored."""
-    f = figures.select("stem", "section", "key", F.col("value").alias("got_value"), F.col("page").alias("got_page"), "confidence")
-    stored = figures.select("stem", "section", F.lit(True).alias("stored")).distinct()
-    j = labels.join(f, ["stem", "section", "key"], "left").join(stored, ["stem", "section"], "left")
+    page_ok, and ``others``, further columns of the figures. A label whose stem and section have no figure at all is not scored."""
+    f = figures.select("stem", "section", "key", F.col("value").alias("got_value"), F.col("page").alias("got_page"), "confidence", *others)
+    j = labels.withColumn("labelled", F.lit(True)).join(f.withColumn("read", F.lit(True)), ["stem", "section", "key"], "full_outer")
+    # figures without a label tell that their section was read, and go
+    j = j.withColumn("stored", F.max("read").over(W.partitionBy("stem", "section"))).where("labelled")
     scored = F.coalesce("stored", F.lit(False))
     ok = F.when(scored, value_match(F.col("expected_value"), F.col("got_value")))
     page = F.when(scored, page_match(F.col("expected_page"), F.col("got_page"), F.col("expected_value"), F.col("got_value")))
-    return j.select(*labels.columns, "got_value", "got_page", "confidence", ok.alias("value_ok"), page.alias("page_ok"))
+    return j.select(*labels.columns, "got_value", "got_page", "confidence", ok.alias("value_ok"), page.alias("page_ok"), *others)
 
 
 def accuracy(results: DataFrame, *by: str) -> DataFrame:

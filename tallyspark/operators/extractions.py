@@ -80,9 +80,13 @@ def exemplars(records: DataFrame, section: str, without: int | str, n: int) -> D
 def accept_candidates(figures: DataFrame, candidates: DataFrame, most: int = 3) -> DataFrame:
     """stem, key, value and accepted: at most ``most`` missing figures of a report, the first by key, take the value of a verified
     candidate; what has none stays missing."""
-    first = F.row_number().over(W.partitionBy("stem").orderBy("key"))
-    missing = figures.where("value IS NULL").select("stem", "key", first.alias("turn"))
-    c = candidates.select("stem", "key", F.col("value").alias("found"))
-    j = figures.join(missing, ["stem", "key"], "left").join(c, ["stem", "key"], "left")
-    taken = F.col("value").isNull() & F.coalesce(F.col("turn") <= most, F.lit(False)) & F.col("found").isNotNull()
-    return j.select("stem", "key", F.when(taken, F.col("found")).otherwise(F.col("value")).alias("value"), taken.alias("accepted"))
+    c = candidates.select("stem", "key", F.col("value").alias("candidate"))
+    return accepted(figures.join(c, ["stem", "key"], "left").select("stem", "key", "value", "candidate"), most)
+
+
+def accepted(rows: DataFrame, most: int = 3) -> DataFrame:
+    """``accept_candidates`` of rows with stem, key, value and candidate."""
+    turn = F.row_number().over(W.partitionBy("stem", F.col("value").isNull()).orderBy("key"))
+    j = rows.withColumn("turn", turn)
+    taken = F.col("value").isNull() & (F.col("turn") <= most) & F.col("candidate").isNotNull()
+    return j.select("stem", "key", F.when(taken, F.col("candidate")).otherwise(F.col("value")).alias("value"), taken.alias("accepted"))

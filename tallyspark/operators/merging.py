@@ -37,6 +37,12 @@ def ineligible(run: Column, stored: Column) -> Column:
     return F.when(text != "", text)
 
 
+def answer_of(value: Column | str, unit: Column | str, period: Column | str, confidence: Column | str, tie: Column, passed: Column | str) -> Column:
+    """A run's answer as ``paired`` has it, of columns of one row: readings that stand side by side need no join."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.struct(c(value).alias("value"), c(unit).alias("unit"), c(period).alias("period"), c(confidence).alias("confidence"), tie.alias("bs_tie"), unit_key(c(unit)).alias("means"), F.coalesce(c(passed), F.lit(False)).alias("passed"))
+
+
 def paired(*runs: DataFrame) -> DataFrame:
     """stem and key with a struct r1, r2, ... for each run's answer, null where a run has none. Each run has the columns of FIELD
     and passed, its report's identity check."""
@@ -98,14 +104,24 @@ def taken(run: Column) -> list[Column]:
 
 def merge_union(one: DataFrame, two: DataFrame) -> DataFrame:
     """stem, key, value, unit, period and decision of two readings."""
-    j = union_pick(paired(one, two)).withColumn("run", run_of(F.col("pick")))
+    return union_of(paired(one, two))
+
+
+def union_of(answers: DataFrame) -> DataFrame:
+    """``merge_union`` of rows of ``paired``."""
+    j = union_pick(answers).withColumn("run", run_of(F.col("pick")))
     return j.select("stem", "key", *taken(F.col("run")), said(F.col("pick"), F.col("equal"), "union").alias("decision"))
 
 
 def merge_majority(one: DataFrame, two: DataFrame, stored: DataFrame) -> DataFrame:
     """As ``merge_union``, but two equal answers of three win, taken from the first run, the second, then what is stored; three
     different ones are left to the two readings."""
-    j = union_pick(paired(one, two, stored))
+    return majority_of(paired(one, two, stored))
+
+
+def majority_of(answers: DataFrame) -> DataFrame:
+    """``merge_majority`` of rows of ``paired``."""
+    j = union_pick(answers)
     j = j.withColumns({"one_stored": F.coalesce(same_field(F.col("r1"), F.col("r3")), F.lit(False)), "two_stored": F.coalesce(same_field(F.col("r2"), F.col("r3")), F.lit(False))})
     won = F.when(F.col("equal") & F.col("one_stored"), "unanimous").when(F.col("equal"), "run1+run2").when(F.col("one_stored"), "run1+stored").when(F.col("two_stored"), "run2+stored")
     j = j.withColumn("won", won)
@@ -118,10 +134,14 @@ def merge_majority(one: DataFrame, two: DataFrame, stored: DataFrame) -> DataFra
 def merge_runs(one: DataFrame, two: DataFrame) -> DataFrame:
     """stem, fields (array of key, value, unit, period, decision, by key), decisions (as text), kept_attachments: whether every
     field is still the first run's answer, so that what was read beside it may stay."""
-    merged = merge_union(one, two)
-    mine = one.select("stem", "key", answered().alias("mine"))
-    j = merged.select("*", answered().alias("now")).join(mine, ["stem", "key"], "left")
-    j = j.withColumn("kept", F.col("mine").isNotNull() & F.coalesce(same_field(F.col("now"), F.col("mine")), F.lit(False)))
+    return runs_of(paired(one, two))
+
+
+def runs_of(answers: DataFrame) -> DataFrame:
+    """``merge_runs`` of rows of ``paired``."""
+    j = union_pick(answers).withColumn("run", run_of(F.col("pick")))
+    j = j.select("stem", "key", "r1", *taken(F.col("run")), said(F.col("pick"), F.col("equal"), "union").alias("decision"))
+    j = j.select("*", answered().alias("now")).withColumn("kept", F.col("r1").isNotNull() & F.coalesce(same_field(F.col("now"), F.col("r1")), F.lit(False)))
     fields = F.array_sort(F.collect_list(F.struct("key", "value", "unit", "period", "decision")))  # one for each key of the section
     g = j.groupBy("stem").agg(fields.alias("fields"), F.every("kept").alias("kept_attachments"))
     return g.select("stem", "fields", F.array_join(F.transform("fields", lambda f: F.concat_ws("=", f["key"], f["decision"])), ", ").alias("decisions"), "kept_attachments")
@@ -131,7 +151,11 @@ def matches_stored(run: DataFrame, stored: DataFrame, why_not: DataFrame | None
     """stem and matches: every figure of a run is what is stored (no answer stored is null), and the stored record may vote: its
     stem is not in ``why_not`` (stem, reason)."""
     s = stored.select("stem", "key", answered().alias("s"))
-    j = run.select("stem", "key", answered().alias("a")).join(s, ["stem", "key"], "left")
+    return matches_of(run.select("stem", "key", answered().alias("a")).join(s, ["stem", "key"], "left"), why_not)
+
+
+def matches_of(j: DataFrame, why_not: DataFrame | None = None) -> DataFrame:
+    """``matches_stored`` of rows with stem, key, a (a run's answer) and s (the stored one, null where there is none)."""
     same = F.when(F.col("s").isNull(), F.col("a.value").isNull()).otherwise(F.coalesce(same_field(F.col("a"), F.col("s")), F.lit(False)))
     g = j.groupBy("stem").agg(F.every(same).alias("matches"))
     if why_not is None:
@@ -144,6 +168,11 @@ def publish_verdicts(stored: DataFrame, replayed: DataFrame, slack: float = 1e-9
     """stem, publish and the lists worse and better, by key: what is stored stays where a value is lost or a confidence drops."""
     r = replayed.select("stem", "key", F.col("value").alias("new"), F.coalesce("confidence", F.lit(0.0)).alias("new_confidence"))
     j = stored.select("stem", "key", F.col("value").alias("old"), F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(1.0)).alias("old_confidence")).join(r, ["stem", "key"], "left")
+    return verdicts_of(j, slack)
+
+
+def verdicts_of(j: DataFrame, slack: float = 1e-9) -> DataFrame:
+    """``publish_verdicts`` of rows with stem, key, old, old_confidence, new and new_confidence."""
     old, new, before = F.col("old"), F.col("new"), F.col("old_confidence")
     after = F.coalesce("new_confidence", F.lit(0.0))
     note = lambda what: F.concat_ws(": ", "key", F.lit(what))

@@ -33,7 +33,7 @@ def field_ok(evidence: Column, decision: Column, has_source: Column) -> Column:
 
 def apply_reviews(figures: DataFrame, events: DataFrame) -> DataFrame:
     """The figures (stem, key, value, unit, period, confidence, evidence) after their reviews (stem, key, at, seq, decision, expected,
-    new_value, reviewer, note), with decision, n_reviews and stale (reviews that were turned away).
+    new_value, reviewer, note), with decision, n_reviews and stale (reviews that were turned away). Other columns of the figures stay.
 
     A review without a reviewer, or a correction or open question without a note, is turned away, and so is one that expected
     another value than the figure had when it came. Reviews come by time, then seq. Corrections set the value, empty the
@@ -56,8 +56,9 @@ def apply_reviews(figures: DataFrame, events: DataFrame) -> DataFrame:
     done = j.withColumn("r", F.aggregate(F.coalesce("history", F.array().cast(j.schema["history"].dataType)), start, step))
     touched = F.max(F.col("r.corrected")).over(W.partitionBy("stem"))
     kept = F.when(touched, F.array_remove("evidence", "arith_ok")).otherwise(F.col("evidence"))
+    others = [c for c in figures.columns if c not in ("stem", "key", "value", "unit", "period", "confidence", "evidence", "decision", "n_reviews", "stale")]
     return done.select(
-        "stem", "key", F.col("r.value").alias("value"), "unit", "period", F.when(F.col("r.corrected"), F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"),
+        *others, "stem", "key", F.col("r.value").alias("value"), "unit", "period", F.when(F.col("r.corrected"), F.lit(0.0)).otherwise(F.col("confidence")).alias("confidence"),
         F.when(F.col("r.corrected"), F.array(F.lit("human_reviewed"))).otherwise(kept).alias("evidence"),
         F.col("r.decision").alias("decision"), F.col("r.n").alias("n_reviews"), F.col("r.stale").alias("stale"),
     )

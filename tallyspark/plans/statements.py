@@ -153,25 +153,35 @@ PAIRS = RUNS + f""", pr AS MATERIALIZED (SELECT coalesce(u1.stem, u2.stem) AS st
   CASE WHEN decision LIKE 'run1%' OR decision LIKE '%both null)' THEN a_period WHEN decision LIKE 'run2%' THEN b_period END AS period, decision FROM un)"""
 
 
-def readings(spark, d):
-    """Two readings of every figure, and the stored one, which differ in values, units, confidence and checks."""
+#: Of the second reading and the stored one: which rows they lack, and what they say.
+_NO_TWO, _NO_STORED = "stem % 29 = 0 AND key = 'due_after_5_years'", "stem % 7 = 6"
+_TWO = {
+    "value": "CASE stem % 5 WHEN 1 THEN value + 1 WHEN 2 THEN value * 1000 WHEN 3 THEN NULL ELSE value END", "unit": "CASE WHEN stem % 6 = 5 AND unit = 'MSEK' THEN 'SEK million' WHEN stem % 6 = 4 THEN 'USD' ELSE unit END",
+    "confidence": "round(confidence - 0.1, 3)", "bs_tie": f"stem % 10 = 2 AND key = '{st.TOTAL}'", "passed": "passed AND stem % 4 = 0",
+}
+_STORED = {"value": "CASE WHEN stem % 3 = 1 THEN value * 1000 ELSE value END", "passed": "false"}
+
+
+def first_reading(spark, d):
     base = judged(spark, d).select("stem", "key", "value", "unit", "period", "confidence", "evidence", (F.col("status") == "passed").alias("passed"))
-    stem, value = F.col("stem"), F.col("value")
-    one = base.withColumn("bs_tie", F.lit(False))
-    two = base.where(~((stem % 29 == 0) & (F.col("key") == "due_after_5_years"))).withColumns({
-        "value": F.when(stem % 5 == 1, value + 1).when(stem % 5 == 2, value * 1000).when(stem % 5 == 3, None).otherwise(value),
-        "unit": F.when((stem % 6 == 5) & (F.col("unit") == "MSEK"), "SEK million").when(stem % 6 == 4, "USD").otherwise(F.col("unit")),
-        "confidence": F.round(F.col("confidence") - 0.1, 3), "bs_tie": (stem % 10 == 2) & (F.col("key") == st.TOTAL), "passed": F.col("passed") & (stem % 4 == 0),
-    })
-    stored = one.where(stem % 7 != 6).withColumns({"value": F.when(stem % 3 == 1, value * 1000).otherwise(value), "passed": F.lit(False)})
-    return one, two, stored
+    return base.withColumn("bs_tie", F.lit(False))
+
+
+def second_of(one):
+    return one.where(f"NOT ({_NO_TWO})").withColumns({k: F.expr(v) for k, v in _TWO.items()})
+
+
+def answers(spark, d):
+    """Two readings of every figure, and the stored one, which differ in values, units, confidence and checks, side by side in one row as
+    ``merging.paired`` has them: figures are judged once. With the evidence of the first."""
+    one = first_reading(spark, d)
+    of = lambda said: mg.answer_of(*[F.expr(said[k]) if k in said else F.col(k) for k in ("value", "unit", "period", "confidence", "bs_tie", "passed")])
+    return one.select("stem", "key", "evidence", of({}).alias("r1"), F.when(~F.expr(_NO_TWO), of(_TWO)).alias("r2"), F.when(~F.expr(_NO_STORED), of(_STORED)).alias("r3"))
 
 
 @query(f"WITH {RUNS} SELECT u1.stem, u1.key, {same_sql('u1', 'u2')} AS same FROM u1 JOIN u2 ON u1.stem = u2.stem AND u1.key = u2.key")
 def f01_same_answer(spark, d):
-    one, two, _ = readings(spark, d)
-    part = lambda r, n: r.select("stem", "key", mg.answered().alias(n))
-    return part(one, "a").join(part(two, "b"), ["stem", "key"]).select("stem", "key", mg.same_field(F.col("a"), F.col("b")).alias("same"))
+    return answers(spark, d).where("r2 IS NOT NULL").select("stem", "key", mg.same_field(F.col("r1"), F.col("r2")).alias("same"))
 
 
 _BASIS = "CASE WHEN stem % 5 <> 0 THEN CASE WHEN status = 'F' THEN 'carrying' ELSE 'undiscounted' END END"
@@ -197,8 +207,7 @@ def f02_vote_eligible(spark, d):
 
 @query(f"WITH {PAIRS} SELECT stem, key, value, unit, period, decision FROM me")
 def f03_merge_union_full(spark, d):
-    one, two, _ = readings(spark, d)
-    return mg.merge_union(one, two)
+    return mg.union_of(answers(spark, d))
 
 
 @query(f"""WITH {PAIRS}, ps AS MATERIALIZED (SELECT pr.*, u3.value AS c_value, u3.unit AS c_unit, u3.period AS c_period, coalesce(stem, u3.stem) AS st, coalesce(key, u3.key) AS ky,
@@ -207,31 +216,29 @@ def f03_merge_union_full(spark, d):
  SELECT stem, key, CASE WHEN decision LIKE 'run1%' THEN a_value WHEN decision LIKE 'run2%' THEN b_value END AS value, CASE WHEN decision LIKE 'run1%' OR decision LIKE '%both null)' THEN a_unit WHEN decision LIKE 'run2%' THEN b_unit END AS unit,
   CASE WHEN decision LIKE 'run1%' OR decision LIKE '%both null)' THEN a_period WHEN decision LIKE 'run2%' THEN b_period END AS period, decision FROM mj""")
 def f04_merge_majority_full(spark, d):
-    return mg.merge_majority(*readings(spark, d))
+    return mg.majority_of(answers(spark, d))
 
 
 @query(f"""WITH {PAIRS}, kp AS (SELECT me.*, coalesce({same_sql('me', 'u1')}, false) AND u1.stem IS NOT NULL AS kept FROM me LEFT JOIN u1 ON me.stem = u1.stem AND me.key = u1.key)
  SELECT stem, count(*) AS n_fields, string_agg(key || '=' || decision, ', ' ORDER BY key) AS decisions, bool_and(kept) AS kept_attachments FROM kp GROUP BY stem""")
 def f05_merge_runs(spark, d):
-    one, two, _ = readings(spark, d)
-    return mg.merge_runs(one, two).select("stem", F.size("fields").cast("bigint").alias("n_fields"), "decisions", "kept_attachments")
+    return mg.runs_of(answers(spark, d)).select("stem", F.size("fields").cast("bigint").alias("n_fields"), "decisions", "kept_attachments")
 
 
 @query(f"""WITH {RUNS}, {ELIGIBLE.replace(st.REPORTS + ', ', '')}, m AS (SELECT u1.stem, bool_and(CASE WHEN u3.stem IS NULL THEN u1.value IS NULL ELSE {same_sql('u1', 'u3')} END) AS m FROM u1 LEFT JOIN u3 ON u1.stem = u3.stem AND u1.key = u3.key GROUP BY 1)
  SELECT stem, m AND r = '' AS matches FROM m JOIN vr USING (stem)""")
 def f06_matches_stored_full(spark, d):
-    one, _, stored = readings(spark, d)
-    return mg.matches_stored(one, stored, eligibility(spark, d))
+    return mg.matches_of(answers(spark, d).select("stem", "key", F.col("r1").alias("a"), F.col("r3").alias("s")), eligibility(spark, d))
 
 
 @query(f"""WITH {RUNS}, c AS (SELECT stem, key, page FROM eg WHERE value IS NOT NULL AND quoted AND in_quote AND known), n AS (SELECT stem, key, row_number() OVER (PARTITION BY stem ORDER BY key) AS r FROM u2 WHERE value IS NULL)
  SELECT u2.stem, u2.key, coalesce(u2.value, CASE WHEN r <= 3 AND c.stem IS NOT NULL THEN u1.value END) AS value, u2.value IS NULL AND coalesce(r <= 3, false) AND c.stem IS NOT NULL AS accepted
  FROM u2 LEFT JOIN n USING (stem, key) LEFT JOIN c USING (stem, key) JOIN u1 ON u1.stem = u2.stem AND u1.key = u2.key""")
 def f07_accept_candidates(spark, d):
-    _, two, _ = readings(spark, d)
-    found = judged(spark, d).where("value IS NOT NULL")
+    a = answers(spark, d)
     signals = [F.array_contains("evidence", k) for k in ("quote_on_page", "value_in_quote", "label_known")]
-    return ex.accept_candidates(two.select("stem", "key", "value"), found.where(signals[0] & signals[1] & signals[2]).select("stem", "key", "value"))
+    candidate = F.when(signals[0] & signals[1] & signals[2], F.col("r1.value"))
+    return ex.accepted(a.where("r2 IS NOT NULL").select("stem", "key", F.col("r2.value").alias("value"), candidate.alias("candidate")))
 
 
 # G. reviews and comparisons
@@ -267,8 +274,7 @@ _OK = "(coalesce(decision IN ('confirmed', 'corrected'), false) OR (contains(evi
 
 def reviewed(spark, d):
     f = judged(spark, d)
-    r = rv.apply_reviews(f.select("stem", "key", "value", "unit", "period", "confidence", "evidence"), reviews(spark, d))
-    return r.join(f.select("stem", "key", "label", "quote", "page"), ["stem", "key"])
+    return rv.apply_reviews(f.select("stem", "key", "value", "unit", "period", "confidence", "evidence", "label", "quote", "page"), reviews(spark, d))
 
 
 @query(f"WITH {REVIEWED} SELECT stem, key, value, confidence, evidence, decision, n_reviews, stale FROM rf")
@@ -391,11 +397,11 @@ LABELLED = RUNS + """, lb AS (SELECT stem, 'debt' || (stem % 3) AS section, key,
 
 def label_rows(spark, d):
     """Labels as texts, from the figures as read first, and the second reading to hold against them."""
-    one, two, _ = readings(spark, d)
+    two = second_of(first_reading(spark, d))
     stem = F.col("stem")
     section = F.concat(F.lit("debt"), (stem % 3).cast("string")).alias("section")
     expected = F.when(F.col("value").isNull(), "null").when(stem % 13 == 0, " NULL").otherwise(F.format_string("%.2f", "value"))
-    labels = one.select("stem", section, "key", expected.alias("expected_value"), F.when(stem % 9 != 8, (stem % 9 + 1 + (stem % 4 == 3).cast("int")).cast("int")).alias("expected_page"))
+    labels = figures(spark, d).select("stem", section, "key", expected.alias("expected_value"), F.when(stem % 9 != 8, (stem % 9 + 1 + (stem % 4 == 3).cast("int")).cast("int")).alias("expected_page"))
     got = two.where(stem % 12 != 5).select("stem", section, "key", "value", F.when(F.col("value").isNotNull(), (stem % 9 + 1).cast("int")).alias("page"), "confidence", "evidence")
     return labels, got
 
@@ -439,14 +445,13 @@ def j04_accuracy(spark, d):
   ELSE CASE WHEN on_label AND on_source THEN 'printed on both pages' WHEN NOT on_source THEN 'absent from source page' WHEN abs(expected_page - got_page) = 1 THEN 'adjacent page' ELSE 'other page' END END AS reason FROM mb""")
 def j06_classify_miss(spark, d):
     labels, got = label_rows(spark, d)
-    r = ev.evaluate(labels, got).join(got.select("stem", "section", "key", "evidence"), ["stem", "section", "key"], "left")
-    return ev.miss_classes(r, st.statement_pages(spark, d))
+    return ev.miss_classes(ev.evaluate(labels, got, "evidence"), st.statement_pages(spark, d))
 
 
 @query(f"""WITH {LABELLED}, mv AS (SELECT CASE WHEN nul THEN CASE WHEN got_value IS NULL THEN 'null-ok' ELSE 'spurious' END WHEN got_value IS NULL THEN 'missed' WHEN value_ok THEN 'ok' ELSE 'wrong' END AS verdict,
   CASE WHEN got_value IS NULL AND u3.value IS NULL THEN 'absent' WHEN got_value IS NULL THEN 'lost' WHEN u3.value IS NULL THEN 'found' WHEN abs(got_value - u3.value) < 0.005 THEN 'same' ELSE 'different' END AS change FROM ro LEFT JOIN u3 USING (stem, key)) SELECT verdict, change, count(*) AS n FROM mv GROUP BY ALL""")
 def j15_mechanism_verdicts(spark, d):
-    stored = readings(spark, d)[2]
+    stored = figures(spark, d).where(f"NOT ({_NO_STORED})").withColumn("value", F.expr(_STORED["value"]))
     return ev.mechanism_verdicts(results(spark, d), stored.select("stem", "key", "value"))
 
 
@@ -455,5 +460,6 @@ def j15_mechanism_verdicts(spark, d):
  l AS (SELECT *, CASE WHEN w IS NOT NULL THEN NULL WHEN o IS NOT NULL AND n IS NOT NULL AND o <> n THEN key || ': value differs' WHEN n IS NOT NULL AND o IS NULL THEN key || ': null -> value' WHEN o IS NOT DISTINCT FROM n AND nc > oc + 1e-9 THEN key || ': confidence rises' END AS b FROM k)
  SELECT stem, count(w) = 0 AS publish, coalesce(string_agg(w, '; ' ORDER BY w), '') AS worse, coalesce(string_agg(b, '; ' ORDER BY b), '') AS better FROM l GROUP BY stem""")
 def j13_publish_gate_full(spark, d):
-    one, two, _ = readings(spark, d)
-    return mg.publish_verdicts(one, two)
+    a = answers(spark, d)
+    old = F.least(F.coalesce("r1.confidence", F.lit(0.0)), F.lit(1.0))
+    return mg.verdicts_of(a.select("stem", "key", F.col("r1.value").alias("old"), old.alias("old_confidence"), F.col("r2.value").alias("new"), F.coalesce("r2.confidence", F.lit(0.0)).alias("new_confidence")))
