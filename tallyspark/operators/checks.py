@@ -46,15 +46,16 @@ def identity_closes(figures: DataFrame, total: str, parts: tuple[str, ...]) -> D
 
 
 def evidence(quoted: Column, value: Column, quote: Column, failed: Column, label: Column, known: Column, period: Column, year: Column, on_statement: Column, unit: Column, currency: Column, derived: Column | None = None) -> Column:
-    """The names of the signals that a figure has, in order of WEIGHTS. ``known`` is an array of known labels. A derived value stands in for a printed one."""
+    """The names of the signals that a figure has, in order of WEIGHTS. ``known`` is an array of known labels, as ``clean_label`` gives them, so that
+    literals are cleaned once and not for each figure. A derived value stands in for a printed one."""
     derived = F.lit(False) if derived is None else derived
-    cleaned = clean_label(label)
+    begins = F.transform(F.array(clean_label(label)), lambda c: F.exists(known, lambda w: (w != "") & F.startswith(c, w)))
     has = {
         "quote_on_page": quoted,
         "value_in_quote": quoted & value_in_text(value, quote) & ~derived,
         "value_derived": derived,
         "arith_ok": ~failed,
-        "label_known": derived | F.exists(known, lambda w: (clean_label(w) != "") & F.startswith(cleaned, clean_label(w))),
+        "label_known": derived | F.get(begins, 0),
         "period_ok": period == year.cast("string"),
         "page_is_statement": on_statement,
         "unit_ok": (unit != "") & (F.upper(unit) == F.upper(currency)),
