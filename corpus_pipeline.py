@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return the columns of ``documents``. ``run`` writes each stage's result as Parquet in the shared folder and reads it back.
+
+Defined results: each stage states its own; a null or empty text fails the quality rules and goes; of copies and near copies one
+stays; a null id or source counts as the empty one; a very long text is one row of each stage; columns besides those of ``documents``
+are carried to the last stage, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of ids and decoded text, one row for each copy."""
-    return bpe.token_digests(docs, tokenizer_path())
+    """doc_id, n_tokens, ids, and digests of ids and decoded text, one row for each copy."""
+    return bpe.encoded_with_digests(docs, tokenizer_path())
 
 
 STAGES = [

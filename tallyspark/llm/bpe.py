@@ -22,6 +22,7 @@ import codecs
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -430,12 +431,15 @@ class Coder:
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _ in self.stream(text or "") for i in ids.split()]
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
+    def digest(self, text: str | None, kept: array | None = None) -> tuple[int, str, str]:
+        """Number of tokens, and SHA-256 of ids and of the decoded text; ``kept`` also gets the ids."""
         n, first, ids, decoded = 0, True, hashlib.sha256(), hashlib.sha256()
         for i, d in self.stream(text or ""):
             ids.update((i[1:] if first else i).encode())
             decoded.update((d[1:] if first else d).encode("utf-8", "surrogatepass"))
             n, first = n + i.count(" "), False
+            if kept is not None:
+                kept.extend(map(int, i.split()))
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
@@ -490,3 +494,21 @@ def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded_with_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``token_digests``, with the ids array<int>; one document's ids are held at a time besides those of a batch of 2 MB of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = worker_coder(tokenizer_path)
+        for batch in batches:
+            flat, ends, got = array("i"), [0], []
+            for x in batch.column(1):
+                got.append(coder.digest(x.as_py(), flat))
+                ends.append(len(flat))
+            n, ids, decoded = zip(*got) if got else ((), (), ())
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), listed], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<int>")

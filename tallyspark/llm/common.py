@@ -70,6 +70,13 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+def numbered(docs: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
+    """The same rows with columns c0, c1, ..., and which of these ``cols`` are. Helper columns begin with two underscores and can't clash
+    with them, whatever the table's own columns are called; ``toDF`` gives the names back."""
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(c)}" for c in cols]
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True where crc32(doc_id as text) mod 4 is 2. A null id counts as the empty text."""
     key = F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit(""))

@@ -6,7 +6,9 @@ host's rate is shrunk towards a beta prior fitted to the rates of all hosts by t
 shrunk rate passes REJECT has all its documents rejected.
 
 Defined results: a null text has no words and fails; a null host counts as the host ""; a single host
-is its own prior; repeated rows count as often as they stand; an empty table gives an empty result.
+is its own prior; repeated rows count as often as they stand, and hosts with equal rates get equal verdicts; a text of any
+length is one row of its task, with the hash of each of its windows; an empty table gives an empty result; columns of other names
+are kept as they are, whatever these are.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import cut, join_by_group
+from tallyspark.llm.common import cut, join_by_group, numbered
 
 #: White space between words, as a regular expression and one by one.
 GAP, SPACES = "[\\x20\\x09-\\x0D]+", " \t\n\x0b\f\r"
@@ -97,12 +99,14 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source"
 
 def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents that pass, with their columns. Texts are counted twice rather than shuffled or stored."""
+    names = docs.columns
+    docs, (host_col, text_col) = numbered(docs, host_col, text_col)
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     marked = docs.select("*", host.alias("__host"), base_failed(bound(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), GAP), ""), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words")))).alias("__failed"))
     by_host = cut(marked.groupBy(F.col("__host").alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__failed").cast("bigint")).alias("failed")))
     verdicts = host_verdicts(by_host).select(F.col("host").alias("__host"), "rejected")
-    joined = join_by_group(marked.where(~F.col("__failed")), verdicts.withColumnRenamed("rejected", "__rejected"), "__host", F.col(docs.columns[0]))
-    return joined.where(~F.col("__rejected")).select(*docs.columns)
+    joined = join_by_group(marked.where(~F.col("__failed")), verdicts.withColumnRenamed("rejected", "__rejected"), "__host", F.xxhash64(text_col))
+    return joined.where(~F.col("__rejected")).select(*docs.columns).toDF(*names)
 
 
 #: The same rows in DuckDB SQL.

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import cut, join_by_group
+from tallyspark.llm.common import cut, join_by_group, numbered
 
 SEED = 17
 #: Target weight of a source where none are given: its row count to this power.
@@ -61,28 +61,30 @@ RESULTS = ("copy", "n_copies", "rate")
 
 
 def dealt_copies(docs: DataFrame, id_col: str, source_col: str, weights: DataFrame | None) -> DataFrame:
-    """The documents' columns with __copy, __n_copies and __rate, shuffled."""
+    """The documents' columns (of ``numbered``) with __copy, __n_copies and __rate, shuffled."""
     rates = cut(source_rates(docs, source_col, weights).select("__source", F.col("rate").alias("__rate"), F.col("steps").alias("__steps")))
-    own = [F.col(f"`{c}`") for c in docs.columns]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(*own, key.alias("__key"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"))
+    rows = docs.select("*", key.alias("__key"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"))
     joined = join_by_group(rows, rates, "__source", F.col("__key")).withColumn("__u", uniform(F.col("__key")))
     drawn = joined.withColumn("__n_copies", F.size(F.filter("__steps", lambda c: c < F.col("__u"))).cast("bigint")).where(F.col("__n_copies") > 0)
-    copies = drawn.select(*own, "__key", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n_copies"))).alias("__copy"), "__n_copies", "__rate")
+    copies = drawn.select(*docs.columns, "__key", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n_copies"))).alias("__copy"), "__n_copies", "__rate")
     order = F.md5(F.concat_ws(":", F.lit(str(SEED)), "__key", F.col("__copy").cast("string")).cast("binary"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return copies.withColumn("__order", order).repartition(n, "__order").sortWithinPartitions("__order").drop("__order", "__key")
 
 
 def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: DataFrame | None = None) -> DataFrame:
-    """The documents with copy (from 1), n_copies and rate, shuffled."""
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
-    return dealt_copies(docs, id_col, source_col, weights).select(*own, *(F.col(f"__{c}").alias(c) for c in RESULTS))
+    """The documents with copy (from 1), n_copies and rate, shuffled. Own columns with these names make way."""
+    kept = [(i, c) for i, c in enumerate(docs.columns) if c not in RESULTS]
+    rows, cols = numbered(docs, id_col, source_col)
+    dealt = dealt_copies(rows, *cols, weights).select(*(f"c{i}" for i, _ in kept), *(f"__{c}" for c in RESULTS))
+    return dealt.toDF(*(c for _, c in kept), *RESULTS)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: DataFrame | None = None) -> DataFrame:
     """The documents as often as drawn, shuffled, with their own columns alone, whatever these are called."""
-    return dealt_copies(docs, id_col, source_col, weights).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, cols = numbered(docs, id_col, source_col)
+    return dealt_copies(rows, *cols, weights).select(*rows.columns).toDF(*docs.columns)
 
 
 #: The same rows in DuckDB SQL.

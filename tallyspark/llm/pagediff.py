@@ -233,12 +233,13 @@ def shared_segments(a: list[str], b: list[str]) -> int:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page. One range shuffle in order of host and path; a task holds three pages."""
+    """page_id, url, text and n_chars of every page. One range shuffle in order of host and of the path's segments, so that pages
+    below one segment are neighbours; a task holds three pages."""
     id_type = pages.schema["page_id"].dataType.simpleString()
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    rows = pages.select(F.concat_ws("\x01", host, path).alias("__key"), F.col("page_id").alias("__page"), F.col("url").alias("__url"), F.col("html").alias("__html"))
+    rows = pages.select(F.concat_ws("\x01", host, F.translate(path, "/", "\x01")).alias("__key"), F.col("page_id").alias("__page"), F.col("url").alias("__url"), F.col("html").alias("__html"))
     laid = lay_out_in_order(rows, "__key", ["__page", "__url", "__html"], both_sides=True)
     names = ["page_id", "url", "text", "n_chars"]
 

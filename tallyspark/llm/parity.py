@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import discard, map_batches, written
+from tallyspark.llm.common import discard, map_batches, numbered, written
 
 WORDS = 5
 LEAST_BITS = 512
@@ -480,6 +480,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are told apart by id and text, so a row with a null or repeated id goes or stays by its own text; of
     rows that are alike in both, one stays.
     """
+    own_names = docs.columns
+    docs, (id_col, text_col) = numbered(docs, id_col, text_col)
     named, shared_by = named_sets(docs, id_col, text_col)
     roots = set_components(docs, named, text_col, shared_by)
     least = named.where(F.col("set").isNotNull()).groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("low"))
@@ -500,4 +502,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if again:  # the only rows that can meet a component twice
         whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
         chosen = chosen.groupBy("__set").agg(F.min_by(whole, F.struct(F.xxhash64(text_col), text_col)).alias("__row")).select("__row.*")
-    return chosen.drop("__set").unionByName(rows.where(F.col("__set").isNull()).drop("__set"))
+    return chosen.drop("__set").unionByName(rows.where(F.col("__set").isNull()).drop("__set")).toDF(*own_names)
