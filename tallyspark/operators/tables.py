@@ -469,3 +469,57 @@ def between_rows(operands: DataFrame, rows: DataFrame, parts: tuple[str, ...] =
     g = g.withColumn("used", used).where("used IS NOT NULL")
     value = F.get(_sums(F.transform("used", lambda x: x["amounts"]), F.col("width")), F.col("column"))
     return g.select("stem", "page", F.col("missing").alias("key"), value.alias("value"), F.size("used").alias("n_rows"), F.array_join(F.transform("used", lambda x: x["row"]), " ").alias("quote"))
+
+
+# ladders of years
+
+
+def year_ladder_rows(rows: DataFrame, words: Words = DEBT) -> DataFrame:
+    """stem, page, n (its first row), total, the three buckets and years of every ladder that ``rows`` (stem, page, n, row, fiscal_year) print: at
+    least two rows labelled with years that follow each other from the year after the fiscal year, directly after them at most one row for later
+    years, and then their total, on which they close. A dash is no amount due. Without a row or year beyond the fifth, what is due
+    after five years stays null. Ladders are found by windows over a page's rows: in a ladder year and place differ by a constant."""
+    w = _pages()
+    label = F.regexp_replace(label_of(F.col("row")), r"[ ,.:;*]+$", "")
+    figures = row_amounts(F.concat(F.lit("x "), F.expr("substring(row, length(label) + 1)")), F.lit(1))
+    r = rows.withColumn("label", label).withColumn("amounts", figures)
+    low = plain(F.col("label"))
+    year = F.when(low.rlike(r"^(?:19|20)\d\d$"), low.try_cast("int"))
+    # an amount of its own: one figure, or a dash
+    one = F.when(F.size("amounts") >= 1, F.coalesce(F.get("amounts", 0), F.lit(0.0)))
+    r = r.withColumns({"year": F.when(one.isNotNull(), year), "amount": one, "later": named(low, words.later) | low.rlike(r"^(?:19|20)\d\d\s*(?:-|\+|and later)$|^>\s*(?:19|20)\d\d$"), "total": low.isin(*words.bare_totals), "place": F.row_number().over(w)})
+    nxt = lambda c, k: F.lead(c, k).over(w)
+    r = r.withColumns({"later1": F.when(nxt("later", 1), nxt("amount", 1)), "total1": F.when(nxt("total", 1), nxt("amount", 1)), "total2": F.when(nxt("total", 2), nxt("amount", 2))})
+    y = r.where("year IS NOT NULL").withColumn("ahead", F.col("year") - F.col("fiscal_year"))
+    last = F.struct("place", "later1", "total1", "total2")
+    g = y.groupBy("stem", "page", (F.col("year") - F.col("place")).alias("ladder")).agg(
+        F.min("n").alias("n"), F.min("ahead").alias("first"), F.count(F.lit(1)).alias("years"), F.max(last).alias("end"), F.round(F.sum("amount"), 4).alias("sum"),
+        *[F.round(F.sum(F.when(c, F.col("amount"))), 4).alias(k) for k, c in zip(mt.KEYS, (F.col("ahead") == 1, F.col("ahead").between(2, 5), F.col("ahead") > 5))],
+    )
+    tail = F.col("end.later1")
+    total = F.when(tail.isNotNull(), F.col("end.total2")).otherwise(F.col("end.total1"))
+    after = F.when(tail.isNotNull() | F.col(mt.KEYS[2]).isNotNull(), F.coalesce(mt.KEYS[2], F.lit(0.0)) + F.coalesce(tail, F.lit(0.0)))
+    g = g.withColumns({"total": total, mt.KEYS[2]: F.round(after, 4)})
+    closes = F.abs(F.col("sum") + F.coalesce(tail, F.lit(0.0)) - F.col("total")) <= mt.TOLERANCE
+    return g.where((F.col("first") == 1) & (F.col("years") >= 2) & closes).select("stem", "page", "n", "total", *mt.KEYS, "years")
+
+
+def fill_from_ladder(answers: DataFrame, ladders: DataFrame, most: float = 1.1) -> DataFrame:
+    """stem, key, value, decision and page of every answer (stem, key, value and unnamed: it is cited from a bare total's row), held against its
+    report's first ladder whose total is the answered total or up to ``most`` times that. One answered bucket that differs by more than the
+    tolerance leaves all of them alone; else missing ones are filled, and the total becomes the ladder's where its own row had no name."""
+    known = answers.where(F.col("key") == TOTAL_KEY).groupBy("stem").agg(F.first("value").alias("known"))
+    near = ladders.join(known, "stem").where((F.col("total") >= F.col("known") - mt.TOLERANCE) & (F.col("total") <= most * F.col("known")))
+    first = near.groupBy("stem").agg(F.min_by(F.struct("page", "total", *mt.KEYS), F.struct("page", "n")).alias("l"))
+    j = answers.join(first, "stem", "left")
+    new = F.coalesce(*[F.when(F.col("key") == k, F.col("l.total" if k == TOTAL_KEY else f"l.{k}")) for k in (TOTAL_KEY, *mt.KEYS)])
+    j = j.withColumn("new", new)
+    differs = F.coalesce((F.col("key") != TOTAL_KEY) & (F.abs(F.col("value") - F.col("new")) > mt.TOLERANCE), F.lit(False))
+    j = j.withColumn("vetoed", F.max(differs.cast("int")).over(W.partitionBy("stem")) == 1)
+    value, is_total = F.col("value"), F.col("key") == TOTAL_KEY
+    decision = (
+        F.when(F.col("l").isNull(), "no ladder").when(F.col("vetoed"), "left: an answer differs").when(F.col("new").isNull(), "nothing read").when(value.isNull(), "filled")
+        .when(F.abs(value - F.col("new")) <= mt.TOLERANCE, "agrees").when(is_total & F.coalesce("unnamed", F.lit(False)), "replaced").otherwise("kept")
+    )
+    taken = decision.isin("filled", "replaced")
+    return j.select("stem", "key", F.when(taken, F.col("new")).otherwise(value).alias("value"), decision.alias("decision"), F.when(taken, F.col("l.page")).alias("page"))

@@ -70,3 +70,24 @@ def d13_close_subtotal_pair(spark, d):
 def d19_derive_between_rows(spark, d):
     operands, rows = sc.running_rows(spark, d)
     return tb.between_rows(operands, rows, ("a", "b"), "t").select("stem", F.round("value", 2).alias("value"), "n_rows")
+
+
+LADDERS = """ly AS (SELECT l_orderkey AS stem, year(l_shipdate)::INT AS y, round(l_extendedprice, 2) AS x FROM lineitem WHERE year(l_shipdate) > 1995),
+ lt AS MATERIALIZED (SELECT stem, round(sum(x), 2) AS t, coalesce(round(sum(x) FILTER (y = 1996), 2), 0) AS a, round(sum(x) FILTER (y = 1996), 2) AS a0, coalesce(round(sum(x) FILTER (y BETWEEN 1997 AND 2000), 2), 0) AS b, coalesce(round(sum(x) FILTER (y = 2001), 2), 0) AS c FROM ly GROUP BY stem),
+ ll AS (SELECT * FROM lt WHERE stem % 11 <> 0 AND stem % 5 <> 2)"""
+
+
+@query(f"WITH {LADDERS} SELECT stem, t AS total, a AS due_within_1_year, b AS due_1_to_5_years, c AS due_after_5_years, CASE WHEN stem % 2 = 0 THEN 5 ELSE 6 END::BIGINT AS years FROM ll")
+def d14_year_ladder_rows(spark, d):
+    keys = [F.round(k, 2).alias(k) for k in ("total", *st.KEYS[1:])]
+    return tb.year_ladder_rows(sc.ladder_rows(spark, d)).select("stem", *keys, "years")
+
+
+@query(f"""WITH {LADDERS}, la AS (SELECT lt.*, CASE stem % 3 WHEN 0 THEN floor(t * 0.95) WHEN 1 THEN t ELSE CASE WHEN stem % 4 = 0 THEN floor(t * 0.5) ELSE t END END AS known, CASE stem % 7 WHEN 1 THEN a + 50 WHEN 2 THEN a0 END AS one FROM lt),
+ lk AS (SELECT la.*, ll.stem IS NOT NULL AND la.t >= known - 2 AND la.t <= 1.1 * known AS used, coalesce(abs(one - la.a) > 2, false) AS veto FROM la LEFT JOIN ll USING (stem)),
+ ln AS (SELECT lk.*, u.key, u.value, u.new FROM lk, LATERAL (SELECT 'total_debt' AS key, known AS value, t AS new UNION ALL SELECT 'due_within_1_year', one, a UNION ALL SELECT 'due_1_to_5_years', NULL, b UNION ALL SELECT 'due_after_5_years', NULL, c) u),
+ ld AS (SELECT *, CASE WHEN NOT used THEN 'no ladder' WHEN veto THEN 'left: an answer differs' WHEN value IS NULL THEN 'filled' WHEN abs(value - new) <= 2 THEN 'agrees' WHEN key = 'total_debt' AND stem % 2 = 0 THEN 'replaced' ELSE 'kept' END AS decision FROM ln)
+ SELECT stem, key, round(CASE WHEN decision IN ('filled', 'replaced') THEN new ELSE value END, 2) AS value, decision FROM ld""")
+def d15_fill_from_ladder(spark, d):
+    ladders = tb.year_ladder_rows(sc.ladder_rows(spark, d))
+    return tb.fill_from_ladder(sc.ladder_answers(spark, d), ladders).select("stem", "key", F.round("value", 2).alias("value"), "decision")

@@ -91,3 +91,34 @@ def running_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = first.select("stem", F.lit(1).cast("bigint").alias("page"), F.lit(99).alias("n"), F.lit("total").alias("row"), F.array(F.when(stem % 5 == 2, F.col("sx") + 9).otherwise(F.col("sx")), F.when(stem % 5 == 3, F.col("sy") + 9).otherwise(F.col("sy"))).alias("amounts"), F.lit("t").alias("key"), F.lit(0).alias("column"))
     rows = rows.unionByName(t)
     return rows.where(F.col("key").isin("a", "t")).select("stem", "page", "key", "n", "amounts"), rows
+
+
+#: Last year of a ladder with a row of its own, in reports that print one for later years.
+LAST_YEAR, LADDER_YEAR = 2000, 1995
+
+
+def ladder_rows(spark: SparkSession, d: str) -> DataFrame:
+    """stem, page, n, row and fiscal_year: what an order's lines make due in each year from 1996, nothing as a dash, in every other report with a row
+    for what comes after 2000, and their total, misprinted in some; every eleventh report leaves out a year."""
+    li = cp.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("stem"), F.year("l_shipdate").alias("year"), F.round("l_extendedprice", 2).alias("x")).where(F.col("year") > LADDER_YEAR)
+    stem = F.col("stem")
+    tailed = stem % 2 == 0
+    by = li.groupBy("stem").agg(*[F.round(F.sum(F.when(F.col("year") == y, F.col("x"))), 2).alias(f"y{y}") for y in range(1996, 2002)], F.round(F.sum("x"), 2).alias("t"))
+    put = lambda c: F.coalesce(st.printed(c, stem), F.lit("–"))
+    line = lambda n, label, c: F.struct(F.lit(n).alias("n"), F.concat(F.lit(label + " "), put(c)).alias("row"))
+    years = [F.when((stem % 11 != 0) | F.lit(y != 1998), line(y - 1990, str(y), F.col(f"y{y}"))) for y in range(1996, LAST_YEAR + 1)]
+    end = F.when(tailed, line(20, "Later", F.col("y2001"))).otherwise(line(20, "2001", F.col("y2001")))
+    total = line(30, "Total", F.when(stem % 5 == 2, F.col("t") + 100).otherwise(F.col("t")))
+    rows = by.select("stem", F.explode(F.array_compact(F.array(*years, end, total))).alias("r"))
+    return rows.select("stem", F.lit(1).cast("bigint").alias("page"), "r.n", "r.row", F.lit(LADDER_YEAR).alias("fiscal_year"))
+
+
+def ladder_answers(spark: SparkSession, d: str) -> DataFrame:
+    """stem, key, value and unnamed of what was read before: the total, less in some, and a bucket that is right, wrong or missing."""
+    li = cp.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("stem"), F.year("l_shipdate").alias("year"), F.round("l_extendedprice", 2).alias("x")).where(F.col("year") > LADDER_YEAR)
+    stem = F.col("stem")
+    by = li.groupBy("stem").agg(F.round(F.sum("x"), 2).alias("t"), F.round(F.sum(F.when(F.col("year") == 1996, F.col("x"))), 2).alias("a"))
+    total = F.when(stem % 3 == 0, F.floor(F.col("t") * 0.95).cast("double")).when(stem % 3 == 1, F.col("t")).otherwise(F.when(stem % 4 == 0, F.floor(F.col("t") * 0.5).cast("double")).otherwise(F.col("t")))
+    one = F.when(stem % 7 == 1, F.coalesce("a", F.lit(0.0)) + 50).when(stem % 7 == 2, F.col("a"))
+    said = [F.struct(F.lit(st.KEYS[0]).alias("key"), total.alias("value")), F.struct(F.lit(st.KEYS[1]).alias("key"), one.alias("value")), *[F.struct(F.lit(k).alias("key"), F.lit(None).cast("double").alias("value")) for k in st.KEYS[2:]]]
+    return by.select("stem", F.explode(F.array(*said)).alias("f")).select("stem", "f.*", (stem % 2 == 0).alias("unnamed"))

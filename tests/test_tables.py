@@ -180,3 +180,30 @@ def test_rows_of_pages_reach_the_reader(spark):
     rows = rw.page_rows(spark.createDataFrame([(1, 1, text)], "stem long, page long, text string")).withColumn("fiscal_year", F.lit(2025))
     answers = spark.createDataFrame([(1, k, None) for k in NAMES], "stem long, key string, value double")
     assert {r["key"]: r["value"] for r in tb.fill_from_columns(answers, rows).collect()} == {TOTAL: 12.0, ONE: 3.0, FIVE: 4.0, LATER: 5.0}
+
+
+LADDER = "2026 77,141\n2027 39\n2028 300,039\n2029 202,539\n2030 39\nTotal 579,797"
+
+
+@pytest.mark.parametrize("text, want", [
+    (LADDER, (579797.0, 77141.0, 502656.0, None, 5)), (LADDER.replace("Total 579,797", "Later 3\nTotal 579,800"), (579800.0, 77141.0, 502656.0, 3.0, 5)), (LADDER.replace("579,797", "579,700"), None),
+    (LADDER.replace("2027 39\n", ""), None), (LADDER.replace("2026 77,141\n", ""), None), (LADDER.replace("2030 39", "2030 –").replace("797", "758"), (579758.0, 77141.0, 502617.0, None, 5)),
+    ("2026 1\n2027 2\n2028 3\n2029 4\n2030 5\n2031 6\nThereafter 7\nTotal 28", (28.0, 1.0, 14.0, 13.0, 6)), ("2026 5\nTotal 5", None), ("Text 2026\n2027 5\nTotal 5", None),
+])
+def test_ladders_of_years(spark, text, want):
+    got = [(r["total"], r[ONE], r[FIVE], r[LATER], r["years"]) for r in tb.year_ladder_rows(rows_of(spark, {1: text})).collect()]
+    assert got == ([want] if want else [])
+
+
+@pytest.mark.parametrize("said, unnamed, want", [
+    ({TOTAL: 579797.0}, False, {TOTAL: (579797.0, "agrees"), ONE: (77141.0, "filled"), FIVE: (502656.0, "filled"), LATER: (None, "nothing read")}),
+    ({TOTAL: 32703.0}, True, {TOTAL: (32703.0, "no ladder"), ONE: (None, "no ladder"), FIVE: (None, "no ladder"), LATER: (None, "no ladder")}),
+    ({TOTAL: 560000.0, ONE: 5.0}, True, {TOTAL: (560000.0, "left: an answer differs"), ONE: (5.0, "left: an answer differs"), FIVE: (None, "left: an answer differs"), LATER: (None, "left: an answer differs")}),
+    ({TOTAL: 560000.0}, True, {TOTAL: (579797.0, "replaced"), ONE: (77141.0, "filled"), FIVE: (502656.0, "filled"), LATER: (None, "nothing read")}),
+    ({TOTAL: 560000.0, ONE: 77142.0}, False, {TOTAL: (560000.0, "kept"), ONE: (77142.0, "agrees"), FIVE: (502656.0, "filled"), LATER: (None, "nothing read")}),
+    ({}, True, {k: (None, "no ladder") for k in NAMES}),
+])
+def test_ladders_fill_answers(spark, said, unnamed, want):
+    answers = spark.createDataFrame([(1, k, said.get(k), unnamed) for k in NAMES], "stem long, key string, value double, unnamed boolean")
+    got = {r["key"]: (r["value"], r["decision"]) for r in tb.fill_from_ladder(answers, tb.year_ladder_rows(rows_of(spark, {1: LADDER}))).collect()}
+    assert got == want
