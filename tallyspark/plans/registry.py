@@ -608,4 +608,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from tallyspark.plans import contents, statements, tables, texts  # noqa: E402,F401  (they register their queries)
+from tallyspark.plans import contents, statements, tables, texts, zeros  # noqa: E402,F401  (they register their queries)
