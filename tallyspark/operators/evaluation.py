@@ -175,3 +175,25 @@ def writers(warnings: DataFrame, phrases: DataFrame) -> DataFrame:
     whole = by.where(wide).select("stem", F.col("mechanism").alias("of_report"))
     named = warnings.where(~wide).select("stem", "key").distinct()
     return named.join(own, ["stem", "key"], "left").join(whole, "stem", "left").select("stem", "key", F.coalesce("mechanism", "of_report").alias("mechanism"))
+
+
+def page_differences(before: DataFrame, after: DataFrame) -> DataFrame:
+    """stem, page and change (new, gone, changed, same) of the pages (stem, page, text) of two parses. Texts are hashed where they are read, so that
+    hashes alone are shuffled; a null text is another than an empty one."""
+    hashed = lambda p, name: p.select("stem", "page", F.coalesce(F.sha2("text", 256), F.lit("null")).alias(name))
+    j = hashed(before, "old").join(hashed(after, "new"), ["stem", "page"], "full_outer")
+    change = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "gone").when(F.col("old") != F.col("new"), "changed").otherwise("same")
+    return j.select("stem", "page", change.alias("change"))
+
+
+def ranking_differences(before: DataFrame, after: DataFrame) -> DataFrame:
+    """stem, page, old_rank, new_rank, change (new, gone, up, down, same) and top of two ranked lists of pages (stem, page, rank from 1): top tells
+    whether the report's first page is the same, another (moved), new where there was no list, or gone."""
+    j = before.select("stem", "page", F.col("rank").alias("old_rank")).join(after.select("stem", "page", F.col("rank").alias("new_rank")), ["stem", "page"], "full_outer")
+    old, new = F.col("old_rank"), F.col("new_rank")
+    w = W.partitionBy("stem")
+    first = lambda rank: F.min(F.when(rank == 1, F.col("page"))).over(w)
+    was, now = first(old), first(new)
+    top = F.when(was.isNull() & now.isNull(), None).when(was.isNull(), "new").when(now.isNull(), "gone").when(was == now, "same").otherwise("moved")
+    change = F.when(old.isNull(), "new").when(new.isNull(), "gone").when(new < old, "up").when(new > old, "down").otherwise("same")
+    return j.select("stem", "page", "old_rank", "new_rank", change.alias("change"), top.alias("top"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.operators import contents as ct
+from tallyspark.operators import evaluation as ev
 from tallyspark.plans.registry import query
 from tallyspark.sources import corpus as cp
 
@@ -82,3 +83,44 @@ def filing_reports(spark, d):
  SELECT stem, min(page) AS "first", arg_min(last, page) AS "last" FROM ok GROUP BY stem""")
 def b16_find_audited_span(spark, d):
     return ct.audited_spans(filings(spark, d), filing_reports(spark, d))
+
+
+# J. two parses
+
+
+_PARSES = """pb AS (SELECT source AS stem, doc_id AS page, text FROM documents WHERE doc_id % 10 <> 3),
+ pa AS (SELECT source AS stem, doc_id AS page, CASE lang WHEN 'fr' THEN text || ' ' ELSE text END AS text FROM documents WHERE doc_id % 9 <> 4)"""
+
+
+def _parses(spark, d):
+    """Documents as pages of two parses: the second lacks some, has some that the first lacks, and reads French pages otherwise."""
+    docs = cp.table(spark, d, "documents")
+    page = [F.col("source").alias("stem"), F.col("doc_id").alias("page")]
+    second = F.when(F.col("lang") == "fr", F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    return docs.where("doc_id % 10 <> 3").select(*page, "text"), docs.where("doc_id % 9 <> 4").select(*page, second.alias("text"))
+
+
+@query(f"""WITH {_PARSES} SELECT stem, count(*) AS pages, count_if(c = 'new') AS "new", count_if(c = 'gone') AS gone, count_if(c = 'changed') AS changed FROM
+ (SELECT coalesce(pb.stem, pa.stem) AS stem, CASE WHEN pb.page IS NULL THEN 'new' WHEN pa.page IS NULL THEN 'gone' WHEN pb.text IS DISTINCT FROM pa.text THEN 'changed' ELSE 'same' END AS c FROM pb FULL JOIN pa ON pb.stem = pa.stem AND pb.page = pa.page) GROUP BY stem""")
+def j24_diff_pages(spark, d):
+    by = ev.page_differences(*_parses(spark, d)).groupBy("stem")
+    return by.agg(F.count(F.lit(1)).alias("pages"), *[F.count_if(F.col("change") == c).alias(c) for c in ("new", "gone", "changed")])
+
+
+_RANKED = "row_number() OVER (PARTITION BY stem ORDER BY length(text) - length(replace(text, '{c}', '')) DESC, page)"
+
+
+@query(f"""WITH {_PARSES}, ra AS (SELECT * FROM (SELECT stem, page, {_RANKED.format(c='e')} AS r FROM pb) WHERE r <= 10), rb AS (SELECT * FROM (SELECT stem, page, {_RANKED.format(c='n')} AS r FROM pa) WHERE r <= 10),
+ j AS (SELECT coalesce(ra.stem, rb.stem) AS stem, coalesce(ra.page, rb.page) AS page, ra.r AS old_rank, rb.r AS new_rank FROM ra FULL JOIN rb ON ra.stem = rb.stem AND ra.page = rb.page),
+ t AS (SELECT *, min(CASE WHEN old_rank = 1 THEN page END) OVER (PARTITION BY stem) AS was, min(CASE WHEN new_rank = 1 THEN page END) OVER (PARTITION BY stem) AS now FROM j)
+ SELECT stem, page, old_rank, new_rank, CASE WHEN old_rank IS NULL THEN 'new' WHEN new_rank IS NULL THEN 'gone' WHEN new_rank < old_rank THEN 'up' WHEN new_rank > old_rank THEN 'down' ELSE 'same' END AS change,
+  CASE WHEN was IS NULL THEN 'new' WHEN now IS NULL THEN 'gone' WHEN was = now THEN 'same' ELSE 'moved' END AS top FROM t""")
+def j24_diff_rankings(spark, d):
+    """The ten pages with most of a letter of each report, by one letter in the first parse and another in the second."""
+    def ranked(pages, letter):
+        n = F.length("text") - F.length(F.replace("text", F.lit(letter), F.lit("")))
+        counted = pages.select("stem", "page", n.alias("n"))  # without texts
+        return counted.withColumn("rank", F.row_number().over(W.partitionBy("stem").orderBy(F.desc("n"), "page"))).where("rank <= 10").select("stem", "page", "rank")
+
+    one, two = _parses(spark, d)
+    return ev.ranking_differences(ranked(one, "e"), ranked(two, "n"))

@@ -3,6 +3,7 @@
 import pytest
 
 from tallyspark.operators import contents as ct
+from tallyspark.operators import evaluation as ev
 
 PAGE = "stem long, page long, text string"
 
@@ -67,3 +68,17 @@ def test_no_pages(spark):
     none = spark.createDataFrame([], PAGE)
     assert ct.toc_targets(none, ["a"], [], []).count() == 0
     assert ct.audited_spans(none, spark.createDataFrame([], "stem long, company string, fiscal_year int")).count() == 0
+
+
+def test_parses_differ_by_pages(spark):
+    page = lambda rows: spark.createDataFrame(rows, PAGE)
+    got = ev.page_differences(page([(1, 1, "a"), (1, 2, "b"), (1, 3, None), (2, 1, None)]), page([(1, 1, "a"), (1, 2, "c"), (1, 4, "d"), (2, 1, "")])).collect()
+    assert {(r["stem"], r["page"]): r["change"] for r in got} == {(1, 1): "same", (1, 2): "changed", (1, 3): "gone", (1, 4): "new", (2, 1): "changed"}
+
+
+def test_rankings_differ_by_places(spark):
+    ranks = lambda rows: spark.createDataFrame(rows, "stem long, page long, rank int")
+    got = ev.ranking_differences(ranks([(1, 5, 1), (1, 6, 2), (1, 7, 3), (2, 1, 1), (4, 9, 1)]), ranks([(1, 6, 1), (1, 5, 2), (1, 8, 3), (3, 1, 1), (4, 9, 1)])).collect()
+    assert {(r["stem"], r["page"]): (r["change"], r["top"]) for r in got} == {
+        (1, 5): ("down", "moved"), (1, 6): ("up", "moved"), (1, 7): ("gone", "moved"), (1, 8): ("new", "moved"), (2, 1): ("gone", "gone"), (3, 1): ("new", "new"), (4, 9): ("same", "same"),
+    }
