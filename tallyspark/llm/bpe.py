@@ -36,8 +36,8 @@ from tallyspark.llm.common import map_batches
 END = "</w>"
 #: Words of more symbols than this are never kept in memory; longer ones are fed in pieces of so many letters.
 LONGEST_KEPT = 48
-#: Words in one generation of a worker's memory, of which two are held, and pairs of tokens: some 200 MB at most.
-KEPT_WORDS, KEPT_PAIRS = 240_000, 300_000
+#: Words in one generation of a worker's memory, of which two are held, and pairs of tokens: some 120 MB at most.
+KEPT_WORDS, KEPT_PAIRS = 120_000, 300_000
 #: Code points of text that are normalised at a time.
 SEGMENT = 1 << 16
 WHITE = "\t-\r \x85\xa0  -     　"
