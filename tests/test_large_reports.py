@@ -21,3 +21,9 @@ def test_page_numbers_of_four_digits_vote(spark):
     pages = [(1, p, f"text\nmore\n{p + 3}") for p in range(1, 1201)] + [(2, p, f"text\nin {2001 + p}") for p in range(1, 41)]
     got = pg.printed_page_offset(spark.createDataFrame(pages, "stem long, page long, text string")).collect()
     assert [(r["stem"], r["offset"], r["votes"]) for r in got] == [(1, -3, 1197)]
+
+
+def test_rows_of_one_number_stand_by_amount(spark):
+    for rows in ([(1, 1, 10.0), (1, 2, 60.0), (1, 2, 50.0)], [(1, 2, 50.0), (1, 2, 60.0), (1, 1, 10.0)]):
+        got = mt.adjacent_sums(spark.createDataFrame(rows, "stem long, n int, amount double").coalesce(1))
+        assert [tuple(r) for r in got.collect()] == [(1, 2, 2)]
