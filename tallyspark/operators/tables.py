@@ -26,6 +26,8 @@ REACH = 25
 #: A title or heading is at most so long; longer rows without figures are prose.
 TITLE_CHARS = 100
 TOTAL_KEY = "total_debt"
+#: Decimals of printed amounts; sums of doubles are off by less.
+PRINTED_DECIMALS = 4
 
 
 class Words(NamedTuple):
@@ -343,7 +345,8 @@ def fill_from_columns(answers: DataFrame, rows: DataFrame, words: Words = DEBT,
     label = plain(label_of(F.col("row")))
     totals = scoped.where(~F.col("headed") & (named(label, words.bare_totals) | named(label, words.current) | named(label, words.total_labels)))
     printed = totals.select("stem", F.col("page").alias("t_page"), F.col("header.n").alias("t_header"), F.explode(F.array_distinct(F.filter(row_amounts(F.col("row")), lambda a: a.isNotNull()))).alias("value"))
-    elsewhere = one.where("value IS NOT NULL AND b IS NOT NULL").select("stem", "key", "value", "b.page", "b.header_n").join(printed, ["stem", "value"])
+    printed = printed.withColumn("value", F.round("value", PRINTED_DECIMALS))
+    elsewhere = one.where("value IS NOT NULL AND b IS NOT NULL").select("stem", "key", F.round("value", PRINTED_DECIMALS).alias("value"), "b.page", "b.header_n").join(printed, ["stem", "value"])
     elsewhere = elsewhere.where((F.col("t_page") != F.col("page")) | ~F.col("t_header").eqNullSafe(F.col("header_n"))).select("stem", "key").distinct().withColumn("kept", F.lit(True))
     j = one.join(elsewhere, ["stem", "key"], "left")
     value, new, is_total = F.col("value"), F.col("r.value"), F.col("key") == TOTAL_KEY

@@ -27,3 +27,12 @@ def test_rows_of_one_number_stand_by_amount(spark):
     for rows in ([(1, 1, 10.0), (1, 2, 60.0), (1, 2, 50.0)], [(1, 2, 50.0), (1, 2, 60.0), (1, 1, 10.0)]):
         got = mt.adjacent_sums(spark.createDataFrame(rows, "stem long, n int, amount double").coalesce(1))
         assert [tuple(r) for r in got.collect()] == [(1, 2, 2)]
+
+
+def test_another_tables_total_is_met_whatever_the_last_bits(spark):
+    pages = [(1, 1, "Borrowings 2025\n< 1 year 1-5 years > 5 years Total\nTotal borrowings 32,758.38 10 20 32,788.38"), (1, 2, "Notes\nTotal current 32,808.38 32,788.38")]
+    rows = rw.page_rows(spark.createDataFrame(pages, "stem long, page long, text string")).selectExpr("*", "2025 AS fiscal_year")
+    value = 32758.38 + 50
+    assert value != 32808.38
+    out = tb.fill_from_columns(spark.createDataFrame([(1, mt.KEYS[0], value)], "stem long, key string, value double"), rows).collect()
+    assert [(r["decision"], r["value"]) for r in out] == [("kept: another table's total", value)]
