@@ -86,6 +86,8 @@ WINDOW = "|".join((
     rf"{_COUNT}\s*(?:-|to|till)\s*{_COUNT}\s*{_SPAN}",
     rf"{_COUNT}\s*{_SPAN}\s*(?:or more|or less|eller mer|eller mindre)",
 ))
+#: An amount with decimals, and one of five digits side by side: neither a window nor a date nor a year.
+DECIMALS = r"(?:^|\s)\d{1,3}(?:,\d{3})*[.,]\d+(?:\s|$)|\d{5}"
 YEAR, DATE = r"\b(?:19|20)\d\d\b", r"\b\d{1,2}(?:[/.]\d{1,2}[/.](?:20)?\d\d| (?:jan|feb|mar|apr|ma[jy]|june?|july?|aug|sep|o[kc]t|nov|dec)[a-z]*)\b"
 
 
@@ -104,8 +106,10 @@ def header_cells(line: Column, words: Words, basis: str = "carrying") -> Column:
     subtotal = tuple(p for p, _ in words.subtotals)
 
     def months(phrase: Column) -> Column:
-        least, most = mt.interval_months(phrase)
-        return F.struct(phrase.alias("phrase"), least.alias("least"), most.alias("most"))
+        return F.struct(phrase.alias("phrase"), mt.interval(phrase).alias("months"))
+
+    def bounded(x: Column) -> Column:
+        return F.struct(x["phrase"].alias("phrase"), x["months"]["least"].alias("least"), x["months"]["most"].alias("most"))
 
     def cell(x: Column) -> Column:
         phrase = x["phrase"]
@@ -122,7 +126,7 @@ def header_cells(line: Column, words: Words, basis: str = "carrying") -> Column:
 
     found = F.regexp_extract_all(line, F.lit(f"({column_pattern(words)})"), F.lit(1))
     spelled = F.transform(found, lambda x: F.regexp_replace(x, r"\s+", " "))
-    return F.transform(F.transform(F.transform(spelled, months), cell), settled)
+    return F.transform(F.transform(F.transform(F.transform(spelled, months), bounded), cell), settled)
 
 
 def year_cells(line: Column, words: Words, fiscal_year: Column) -> Column:
@@ -173,20 +177,24 @@ def with_headers(rows: DataFrame, words: Words = DEBT, basis: str = "carrying")
     line, w = F.col("plain"), _pages()
     r = rows.withColumn("plain", plain(F.col("row")))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, column_pattern(words), " "), DATE, " "), YEAR, " ")
-    r = r.withColumns({"cells": header_cells(line, words, basis), "years": year_cells(line, words, F.col("fiscal_year")), "blank": ~rest.rlike(r"\d") & (F.length(line) <= 2 * TITLE_CHARS)})
+    # most rows print amounts, which a plain look tells; only the others are searched for names of columns
+    r = r.withColumn("blank", F.when((F.length(line) > 2 * TITLE_CHARS) | line.rlike(DECIMALS), False).otherwise(~line.rlike(r"\d") | ~rest.rlike(r"\d")))
+    r = r.withColumns({"cells": F.when(F.col("blank"), header_cells(line, words, basis)), "years": F.when(F.col("blank") & line.rlike(rf"{YEAR}.*{YEAR}"), year_cells(line, words, F.col("fiscal_year")))})
     windows = F.exists("cells", lambda c: c["kind"].isin("bucket", "subtotal", "offgrid"))
     # a line of totals alone is part of a header only where it is short: prose has totals, too
     r = r.withColumn("headed", F.coalesce(F.col("blank") & ((windows & (F.size("cells") > 0)) | ((F.size("cells") > 0) & (F.length(line) <= TITLE_CHARS // 2)) | (F.size("years") > 0)), F.lit(False)))
     begins = F.col("headed") & ~F.lag("headed", 1, False).over(w)
     r = r.withColumn("island", F.sum(begins.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     whole = W.partitionBy("stem", "page", "island", "headed").orderBy("n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    named_cells, year_lists = F.flatten(F.collect_list("cells").over(whole)), F.filter(F.collect_list("years").over(whole), lambda x: F.size(x) > 0)
+    of_header = lambda c: F.collect_list(F.when(F.col("headed"), F.col(c))).over(whole)
+    named_cells, year_lists = F.flatten(of_header("cells")), F.filter(of_header("years"), lambda x: F.size(x) > 0)
     buckets = lambda cells: F.size(F.array_distinct(F.transform(F.filter(cells, lambda c: c["key"].isNotNull() & c["kind"].isin("bucket", "subtotal")), lambda c: c["key"])))
-    r = r.withColumns({"all_cells": named_cells, "year_cells": F.get(year_lists, 0), "quote": F.concat_ws(" ", F.collect_list("row").over(whole)), "last_line": F.max("n").over(whole)})
+    r = r.withColumns({"all_cells": named_cells, "year_cells": F.get(year_lists, 0), "quote": F.concat_ws(" ", of_header("row")), "last_line": F.max("n").over(whole)})
     chosen = F.when(buckets(F.col("all_cells")) >= 2, F.col("all_cells")).when(buckets(F.col("year_cells")) >= 2, F.col("year_cells"))
-    header = F.when(F.col("headed") & (F.col("n") == F.col("last_line")) & chosen.isNotNull(), F.struct("n", "quote", columns_of(chosen).alias("columns")))
+    r = r.withColumn("chosen", F.when(F.col("headed") & (F.col("n") == F.col("last_line")), chosen))  # a column, as each of its cells looks at it
+    header = F.when(F.col("chosen").isNotNull(), F.struct("n", "quote", columns_of(F.col("chosen")).alias("columns")))
     nearest = F.last(header, ignorenulls=True).over(w.rowsBetween(-REACH, -1))
-    return r.withColumn("header", nearest).drop("cells", "years", "blank", "island", "all_cells", "year_cells", "quote", "last_line")
+    return r.withColumn("header", nearest).drop("cells", "years", "blank", "island", "all_cells", "year_cells", "quote", "last_line", "chosen")
 
 
 def bucket_headers(rows: DataFrame, words: Words = DEBT, basis: str = "carrying") -> DataFrame:

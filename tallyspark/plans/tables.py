@@ -8,6 +8,7 @@ from tallyspark.operators import rows as rw
 from tallyspark.operators import tables as tb
 from tallyspark.plans import statements as sq
 from tallyspark.plans.registry import query
+from tallyspark.sources import corpus as cp
 from tallyspark.sources import schedules as sc
 from tallyspark.sources import statements as st
 
@@ -21,8 +22,7 @@ _KEYS = {0: "due_within_1_year due_1_to_5_years due_after_5_years total", 2: "pa
 
 
 def rows_of(spark, d):
-    p = sc.schedule_pages(spark, d)
-    return rw.page_rows(p).join(p.select("stem", "page", "fiscal_year"), ["stem", "page"])
+    return cp.spread(rw.page_rows(sc.schedule_pages(spark, d), "fiscal_year"), "stem", "page")
 
 
 @query(f"WITH {SCHEDULE} SELECT stem, n.n AS n_headers, CASE shape " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _KEYS.items() if k) + f" ELSE '{_KEYS[0]}' END AS columns FROM sw, (SELECT 1 AS n) n")

@@ -24,7 +24,7 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
 
 def schedule_pages(spark: SparkSession, d: str) -> DataFrame:
     """stem, page, text and fiscal_year: page 1 has the table, page 2 of every ninth report another table's total."""
-    w = _wide(spark, d)
+    w = cp.spread(_wide(spark, d), "stem")
     fy, stem = F.col("fiscal_year"), F.col("stem")
     year = lambda k: (fy + k).cast("string")
     put = lambda *cells: F.concat_ws(" ", *[F.coalesce(st.printed(c, stem), F.lit("–")) for c in cells])
@@ -45,8 +45,8 @@ def schedule_pages(spark: SparkSession, d: str) -> DataFrame:
     ]
     text = F.coalesce(*[F.when(stem % SHAPES == i, x) for i, x in enumerate(shapes)])
     second = page(line("Notes"), line("Total current ", put(a + 50, t)))
-    one = w.select("stem", F.lit(1).cast("bigint").alias("page"), text.alias("text"), "fiscal_year")
-    return one.unionByName(w.where((stem % 9 == 0) & a.isNotNull()).select("stem", F.lit(2).cast("bigint").alias("page"), second.alias("text"), "fiscal_year"))
+    texts = F.array_compact(F.array(text, F.when((stem % 9 == 0) & a.isNotNull(), second)))
+    return w.select("stem", "fiscal_year", F.posexplode(texts).alias("at", "text")).select("stem", (F.col("at") + 1).cast("bigint").alias("page"), "text", "fiscal_year")
 
 
 def schedule_answers(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import maturity as mt
 from tallyspark.operators import rows as rw
 from tallyspark.operators import tables as tb
+from tallyspark.plans import registry, tables  # noqa: F401, the registry comes first
 
 TOTAL, ONE, FIVE, LATER = tb.TOTAL_KEY, *mt.KEYS
 NAMES = {TOTAL: "T", ONE: "1", FIVE: "5", LATER: "L"}
@@ -207,3 +208,17 @@ def test_ladders_fill_answers(spark, said, unnamed, want):
     answers = spark.createDataFrame([(1, k, said.get(k), unnamed) for k in NAMES], "stem long, key string, value double, unnamed boolean")
     got = {r["key"]: (r["value"], r["decision"]) for r in tb.fill_from_ladder(answers, tb.year_ladder_rows(rows_of(spark, {1: LADDER}))).collect()}
     assert got == want
+
+
+def test_pages_are_read_in_all_tasks(spark, sf):
+    read = tables.rows_of(spark, sf)
+    assert read.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 2
+    # pages are printed once to be read: one scan of orders
+    assert str(read._jdf.queryExecution().optimizedPlan()).count("Join LeftOuter") == 1
+
+
+def test_figures_of_five_digits_and_decimals_are_no_header(spark):
+    page = "Within 1 year 1-5 years Total\nWithin 1 year 12345 1-5 years 2\nLater 1-5 years 1,234.56 Within 1 year\nTotal 1 2 3"
+    got = tb.with_headers(rows_of(spark, {1: page})).orderBy("n").collect()
+    assert [r["headed"] for r in got] == [True, False, False, False]
+    assert [c["key"] for c in got[3]["header"]["columns"]] == [ONE, FIVE, "total"]
