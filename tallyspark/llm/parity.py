@@ -13,10 +13,11 @@ others to offer; the join is on these contents. Sets near the border of two band
 
 Verification: pairs whose dense sketches (a bit or more for each shingle) lie further apart than they may are dropped, the rest are counted
 exactly. Components need no link twice: each set is first tried against the leader of one of its buckets, components are
-joined up, then sets are tried against the leaders of all buckets that still hold different components. Once the pairs
+joined up, then sets are tried against the leaders of all buckets that still hold different components; components are joined by their roots. Once the pairs
 still apart are no more than FEW for each row of the buckets, or after ROUNDS rounds, all of them are tried, by sketches
 that the bucket rows carry, so that only pairs which pass leave the join. So no link between different components can be
-missed. That last join deals the rows of a large bucket to blocks of BLOCK rows, and each pair of blocks to a task of its own.
+missed. That last join deals the rows of a large bucket to blocks of BLOCK rows, and each pair of blocks to a task of its own;
+a pair is left out where both rows show a smaller key that they share.
 
 A set's name is 64 bits of its digest. Names that stand for more than one set, told by 64 bits more, are found and renamed.
 
@@ -46,6 +47,8 @@ LEAST_BITS = 512
 ROUNDS, FEW, LEADERS = 2, 8, 16
 #: Rows of a bucket that meet each other in one task of the last join.
 BLOCK = 256
+#: Keys of a set that a row of the last join knows, the next smaller ones. Two sets that share one of them have met in a bucket before.
+BEFORE = 8
 #: One document in HOT_SAMPLE is looked at for frequent shingles; those found HOT_LEAST times are frequent, the
 #: first MOST_HOT of them. The list decides the order of contents, never whether a link is found.
 HOT_SAMPLE, HOT_LEAST, MOST_HOT = 16, 3, 50_000
@@ -349,6 +352,21 @@ def components(edges: DataFrame) -> DataFrame:
             return written_as(new, new.select(F.col("u").alias("set"), "root"))
 
 
+def joined_up(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(set, root) of every set in ``roots`` (the components so far) or on a pair found. Only roots that a pair joins up are looked at again, each two
+    once, however many pairs their sets have."""
+    if roots is None:
+        return components(found)
+    of = lambda c: roots.select(F.col("set").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("u"), F.coalesce("root_b", "b").alias("v"))
+    over = components(ends.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    new = found.select(F.col("a").alias("set")).unionByName(found.select(F.col("b").alias("set"))).distinct().join(roots, "set", "left_anti")
+    members = roots.select("set", "root").unionByName(new.withColumn("root", F.col("set")))
+    out = written(members.join(over.select(F.col("set").alias("root"), F.col("root").alias("above")), "root", "left").select("set", F.coalesce("above", "root").alias("root")))
+    discard(over)
+    return out
+
+
 def written_as(table: DataFrame, view: DataFrame) -> DataFrame:
     """``view``, which reads only ``table``, to be discarded with it."""
     view.table_path = table.table_path
@@ -370,6 +388,13 @@ def met_in_blocks(full: DataFrame, own: list[str]) -> DataFrame:
     return spread.join(lead, ["key", "low", "high"]).where(once).withColumnRenamed("lead_set", "lead")
 
 
+def smaller_keys(keys: Column, key: Column) -> Column:
+    """The BEFORE keys before this one among a set's sorted keys. Sets are tried in the bucket of the least key that they share: there they
+    share no smaller one, so that no pair is lost, while most pairs that share many keys are tried a few times only."""
+    at = F.array_position(keys, key).cast("int")
+    return F.slice(keys, F.greatest(at - BEFORE, F.lit(1)), F.least(at - 1, F.lit(BEFORE)))
+
+
 def folded(sketch: Column) -> list[Column]:
     """The sketch folded to LEAST_BITS, as columns of one word each: a bound like the whole sketch, if a weaker one."""
 
@@ -384,7 +409,7 @@ def linked_sets(docs: DataFrame, text_col: str, held: DataFrame, small: DataFram
     """(set, root) of the sets that are linked with another one. ``held`` has set, n and keys, ``small`` set, n and sketch."""
     spark = docs.sparkSession
     rows = held.agg(F.sum(F.size("keys"))).first()[0]
-    tested, links, sets = None, None, None
+    tested, joined, sets = None, None, None
     alike = (5 * F.col("n") >= 4 * F.col("lead_n")) & (5 * F.col("lead_n") >= 4 * F.col("n"))
     own = [f"f{k}" for k in range(LEAST_BITS // 64)]
     flipped = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"lead_{f}"))) for f in own[1:]), F.bit_count(F.col(own[0]).bitwiseXOR(F.col(f"lead_{own[0]}"))))
@@ -394,8 +419,9 @@ def linked_sets(docs: DataFrame, text_col: str, held: DataFrame, small: DataFram
     for turn in range(ROUNDS + 1):
         last = turn > 0 and (turn == ROUNDS or pairs_apart(placed) <= FEW * rows)
         if last:
-            full = placed.join(small.select("set", *folded(F.col("sketch"))), "set")
-            met = met_in_blocks(full, own).where((F.col("root") < F.col("lead_root")) & alike & (9 * flipped <= F.col("n") + F.col("lead_n")))
+            full = placed.join(small.select("set", *folded(F.col("sketch"))), "set").join(held.select("set", F.sort_array("keys").alias("keys")), "set")
+            full = full.withColumn("before", smaller_keys(F.col("keys"), F.col("key"))).drop("keys")
+            met = met_in_blocks(full, [*own, "before"]).where((F.col("root") < F.col("lead_root")) & alike & (9 * flipped <= F.col("n") + F.col("lead_n")) & ~F.arrays_overlap("before", "lead_before"))
         else:
             order = F.struct(F.xxhash64(F.lit(turn), F.pmod("key", F.lit(LEADERS)), F.col("set")), F.col("set"), F.col("root"), F.col("n"))
             leaders = placed.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.set").alias("lead"), F.col("l.root").alias("lead_root"), F.col("l.n").alias("lead_n"))
@@ -411,10 +437,10 @@ def linked_sets(docs: DataFrame, text_col: str, held: DataFrame, small: DataFram
         discard(near, need, *([placed] if turn else []))
         made += [met, got, found]
         if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            if hasattr(roots, "table_path"):
-                discard(roots)
-            roots = components(links)
+            above = joined_up(joined, found)
+            if joined is not None:
+                discard(joined)
+            roots = joined = above
         if last:
             discard(*made)
             return roots
