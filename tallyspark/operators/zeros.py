@@ -34,12 +34,13 @@ def printed_nils(figures: DataFrame, rows: DataFrame, words: tb.Words = tb.DEBT)
     known = tb.named(label, words.total_labels) | tb.named(label, words.debt_labels)
     fy = F.col("fiscal_year")
     prior = F.coalesce(F.array_contains("years", fy - 1) & ~F.array_contains("years", fy), F.lit(False))
-    r = r.withColumns({"free": row_amounts(F.col("row")), "amounts": row_amounts(F.col("row"), F.col("width"))})
-    every = (F.size("free") > 0) & F.forall("free", lambda a: a.isNull())
+    # only rows with a known label are read, and once: where no reading has the header's columns, amounts are those read without it
+    r = r.withColumn("amounts", row_amounts(F.when(known, F.col("row")), F.col("width")))
+    every = (F.size("amounts") > 0) & F.forall("amounts", lambda a: a.isNull())
     fits = F.coalesce(F.size("amounts") == F.col("width"), F.lit(False))
-    nil, figures_of = F.when(fits, F.get("amounts", F.col("column")).isNull()).otherwise(every), F.when(fits, F.col("amounts")).otherwise(F.col("free"))
+    nil = F.when(fits, F.get("amounts", F.col("column")).isNull()).otherwise(every)
     flat = lambda c: F.lower(normalize_ws(F.coalesce(c, F.lit(""))))
-    lines = r.select("stem", "page", "n", "row", flat(F.col("row")).alias("flat"), known.alias("known"), prior.alias("prior"), nil.alias("nil"), F.exists(figures_of, lambda a: a.isNotNull()).alias("figure"))
+    lines = r.select("stem", "page", "n", "row", flat(F.col("row")).alias("flat"), known.alias("known"), prior.alias("prior"), nil.alias("nil"), F.exists("amounts", lambda a: a.isNotNull()).alias("figure"))
     zero = figures.where("value = 0").select("stem", "key", "page", flat(F.col("quote")).alias("said"))
     j = zero.join(lines.where(F.col("flat").rlike(r"\p{L}")), ["stem", "page"], "left")
     about = F.coalesce((F.col("said").rlike(r"\p{L}")) & (F.contains("said", F.col("flat")) | F.contains("flat", F.col("said"))), F.lit(False))

@@ -1,10 +1,13 @@
 """Proofs of zero and balance dates on literal cases."""
 
 import datetime as dt
+import re
 
 import pytest
 
 from tallyspark.operators import zeros as zr
+from tallyspark.plans import registry  # noqa: F401, it comes first
+from tallyspark.plans import zeros
 
 ROW = "stem long, page long, n int, row string, fiscal_year int"
 
@@ -36,3 +39,8 @@ def test_printed_nils(spark, text, quote, want):
 def test_balance_dates(spark, text, want):
     rows = spark.createDataFrame([(1, 1, i, x, 2025) for i, x in enumerate(text.split("\n"))], ROW)
     assert [r["date"] for r in zr.balance_dates(rows).collect()] == [dt.date(2025, *want)]
+
+
+def test_rows_are_read_once(spark, sf):
+    plan = zeros.d26_printed_nil(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and len(re.findall(r"\bread\(", plan)) == 1
