@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions.text import name_words
 from tallyspark.operators import pages as pg
 
+#: What all matches of CONTENTS and NOTE_CONTENTS begin or go on with; and what each row with leaders has.
+CONTENTS_WORDS, LEADER_END = r"(?i:contents|inneh|index|notf)", r"[_.]\s*[_.]\s*\d"
 #: Pages in front of a report where its contents stand, and rows with leaders that make a page a list of contents anywhere.
 FRONT_PAGES, LEADER_ROWS = 8, 8
 #: The forms of a contents row, title and printed page; and the words that head contents, and contents of notes.
@@ -17,27 +19,40 @@ CONTENTS = r"(?i)\bcontents\b|innehåll"
 NOTE_CONTENTS = r"(?i)contents of (?:the )?notes|notes? contents|contents[^\p{L}\p{N}_\s]+notes|note index|notförteckning|innehåll[^\p{L}\p{N}_\s]+noter"
 
 
-def contents_rows(lines: DataFrame, share: float = 0.10) -> DataFrame:
-    """stem, page, n, title, printed and leaders of the rows of contents that ``lines`` (stem, page, n, line) have: with leaders, with two spaces
-    or more, as a list of notes, or with the number alone on the line after a title that doesn't end in a digit. Lines that
-    stand on more than max(3, share) of a report's pages are navigation and no rows."""
-    kept = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
+def page_lines(pages: DataFrame, *keep: str) -> DataFrame:
+    """stem, page, n and line, and the columns ``keep`` of the page, of lines that aren't blank; between line ends only spaces and tabs are white space.
+    A text has a line at least, and an outer explode doesn't split it once more to see that."""
+    lines = F.split(F.coalesce("text", F.lit("")), r"\R")
+    return pages.select("stem", "page", *keep, F.posexplode_outer(lines).alias("n", "line")).withColumn("line", F.trim("line", F.lit(" \t"))).where("line <> ''")
+
+
+def contents_rows(listed: DataFrame, pages: DataFrame, *keep: str, share: float = 0.10) -> DataFrame:
+    """stem, page, n, title, printed and leaders, and the columns ``keep``, of the rows of contents on the pages ``listed`` (stem, page, text): with leaders, with
+    two spaces or more, as a list of notes, or with the number alone on the line after a title that doesn't end in a digit. Lines that
+    stand on more than max(3, share) of a report's ``pages`` are navigation and no rows."""
     at = W.partitionBy("stem", "page").orderBy("n")
     form = F.when(F.col("line").rlike(LEADERS), 1).when(F.col("line").rlike(SPACED), 2).when(F.col("line").rlike(NOTE_ROW), 3)
     alone = F.col("line").rlike(r"^\d{1,3}$")
-    r = kept.withColumn("form", form).withColumn("bare", form.isNull() & ~alone)
+    r = page_lines(listed, *keep).withColumn("form", form).withColumn("bare", form.isNull() & ~alone)
     titled = alone & F.lag("bare", 1, False).over(at) & ~F.lag("line").over(at).rlike(r"\d$")
     title = F.coalesce(*[F.when(F.col("form") == i, F.regexp_extract("line", p, 1)) for i, p in ((1, LEADERS), (2, SPACED), (3, NOTE_ROW))], F.lag("line").over(at))
     number = F.regexp_extract("line", r"(\d{1,3})$", 1).try_cast("int")
     r = r.withColumns({"titled": titled, "title": title, "printed": number, "source": F.when(titled, F.lag("line").over(at)).otherwise(F.col("line"))})
-    rows = r.where("form IS NOT NULL OR titled").select("stem", "page", "n", "title", "printed", (F.coalesce(F.col("form") == 1, F.lit(False))).alias("leaders"), "source")
-    n = lines.groupBy("stem").agg(F.count_distinct("page").alias("n_pages"))
+    rows = r.where("form IS NOT NULL OR titled").select("stem", "page", *keep, "n", "title", "printed", (F.coalesce(F.col("form") == 1, F.lit(False))).alias("leaders"), "source")
+    n = pages.groupBy("stem").agg(F.count_distinct("page").alias("n_pages"))
     # only lines that are rows of contents need counting
-    on = kept.select("stem", "page", F.col("line").alias("source")).distinct().join(rows.select("stem", "source").distinct(), ["stem", "source"], "left_semi")
-    often = on.groupBy("stem", "source").agg(F.count(F.lit(1)).alias("on_pages")).join(n, "stem").where(F.col("on_pages") > F.greatest(F.lit(3.0), share * F.col("n_pages"))).select("stem", "source")
+    on = page_lines(pages).select("stem", "page", F.col("line").alias("source")).join(rows.select("stem", "source").distinct(), ["stem", "source"], "left_semi").distinct()
+    counted = on.groupBy("stem", "source").agg(F.count(F.lit(1)).alias("on_pages")).where("on_pages > 3")
+    often = counted.join(n, "stem").where(F.col("on_pages") > share * F.col("n_pages")).select("stem", "source")
     return rows.join(often, ["stem", "source"], "left_anti").drop("source")
 
 
+def can_list(text: Column) -> Column:
+    """Whether a page can be headed as contents or have LEADER_ROWS rows with leaders. One search leaves few pages to count rows on, and these
+    few are read line by line."""
+    return text.rlike(f"{CONTENTS_WORDS}|{LEADER_END}") & (text.rlike(CONTENTS_WORDS) | (F.regexp_count(text, F.lit(LEADER_END)) >= LEADER_ROWS))
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     found = F.lit(False)
     for w in words:
@@ -50,19 +65,18 @@ def toc_targets(pages: DataFrame, keywords: list[str], note_keywords: list[str],
     LEADER_ROWS rows with leaders, or headed as contents of notes with two rows. A row's printed number is moved by the offset that
     the report's pages vote for; the page it gives must print that number itself. Titles have one of the keywords (``note_keywords`` alone
     behind the front) and no excluded word; of several the first counts. Reports without an offset have no targets."""
-    lines = pages.select("stem", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\R")).alias("n", "line"))
-    rows = contents_rows(lines)
-    offset = pg.printed_page_offset(pages).select("stem", "offset")
     flat = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
-    heads = pages.select("stem", "page", flat.rlike(CONTENTS).alias("headed"), F.substring(flat, 1, 300).rlike(NOTE_CONTENTS).alias("notes"))
-    count = rows.groupBy("stem", "page").agg(F.count(F.lit(1)).alias("rows"), F.count_if("leaders").alias("leader_rows"))
-    front = F.col("page") <= FRONT_PAGES
-    listing = count.join(heads, ["stem", "page"]).where((F.col("leader_rows") >= LEADER_ROWS) | (F.col("notes") & (F.col("rows") >= 2)) | (front & F.col("headed"))).select("stem", "page")
+    listed = pages.where(can_list(F.col("text"))).select("stem", "page", "text", flat.rlike(CONTENTS).alias("headed"), F.substring(flat, 1, 300).rlike(NOTE_CONTENTS).alias("notes"))
+    rows = contents_rows(listed, pages, "headed", "notes")
+    offset = pg.printed_page_offset(pages).select("stem", "offset")
+    of_page, front = W.partitionBy("stem", "page"), F.col("page") <= FRONT_PAGES
+    counted = rows.withColumns({"rows": F.count(F.lit(1)).over(of_page), "leader_rows": F.count_if("leaders").over(of_page)})
+    listing = counted.where((F.col("leader_rows") >= LEADER_ROWS) | (F.col("notes") & (F.col("rows") >= 2)) | (front & F.col("headed")))
     low = F.trim(F.regexp_replace(F.lower("title"), r"\s+", " "))
     wanted = F.when(front, contains_any(low, keywords + note_keywords)).otherwise(contains_any(low, note_keywords)) & ~contains_any(low, excluded)
-    named = rows.join(listing, ["stem", "page"], "left_semi").join(offset, "stem").where(wanted)
+    named = listing.where(wanted).join(offset, "stem")
     aimed = named.select("stem", (F.col("printed") + F.col("offset")).cast("bigint").alias("target"), "printed", F.struct("page", "n").alias("at"), low.alias("title"))
-    folio = pages.select("stem", F.col("page").cast("bigint").alias("target"), F.explode(pg.folios(F.col("text"))).alias("printed"))
+    folio = pg.pages_folios(pages).select("stem", F.col("page").cast("bigint").alias("target"), F.col("folio").alias("printed"))
     met = aimed.join(folio, ["stem", "target", "printed"], "left_semi")
     return met.groupBy("stem", F.col("target").alias("page")).agg(F.min_by("title", "at").alias("title"))
 

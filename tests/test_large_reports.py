@@ -3,6 +3,7 @@
 import time
 
 from tallyspark.functions import text as tx
+from tallyspark.operators import contents as ct
 from tallyspark.operators import maturity as mt
 from tallyspark.operators import pages as pg
 from tallyspark.operators import rows as rw
@@ -36,3 +37,18 @@ def test_another_tables_total_is_met_whatever_the_last_bits(spark):
     assert value != 32808.38
     out = tb.fill_from_columns(spark.createDataFrame([(1, mt.KEYS[0], value)], "stem long, key string, value double"), rows).collect()
     assert [(r["decision"], r["value"]) for r in out] == [("kept: another table's total", value)]
+
+
+def test_only_pages_that_can_list_are_read_for_contents(spark, monkeypatch):
+    texts = {2: "Contents\nBorrowings ........ 10\nx\ny\nz", 5: "INNEHÅLL", 6: "Note\nindex", 7: "\n".join(f"Loans .. {i}" for i in range(8)), 8: "\n".join(f"Loans .. {i}" for i in range(7)), 9: None}
+    pages = spark.createDataFrame([(1, p, texts.get(p, f"Heading\ntext 5\nmore\n{p - 2}")) for p in range(1, 31)], "stem long, page long, text string")
+    seen, read = [], ct.contents_rows
+    monkeypatch.setattr(ct, "contents_rows", lambda listed, *a, **k: seen.append(listed) or read(listed, *a, **k))
+    assert [(r["page"], r["title"]) for r in ct.toc_targets(pages, ["borrowings"], [], []).collect()] == [(12, "borrowings")]
+    assert sorted(r["page"] for r in seen[0].select("page").distinct().collect()) == [2, 5, 6, 7]
+
+
+def test_folios_of_uneven_pages(spark):
+    texts = ["a\n\n \nb 12\r\nc\t007\n1234 \nend 0123\n 9", "5", " \n", "8 \nx  3", "page 4"]
+    got = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "stem long, page long, text string")
+    assert [r["f"] for r in got.select("page", pg.folios(got["text"]).alias("f")).orderBy("page").collect()] == [[12, 7, 1234, 9], [5], [], [8, 3], [4]]
