@@ -52,3 +52,9 @@ def test_folios_of_uneven_pages(spark):
     texts = ["a\n\n \nb 12\r\nc\t007\n1234 \nend 0123\n 9", "5", " \n", "8 \nx  3", "page 4"]
     got = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "stem long, page long, text string")
     assert [r["f"] for r in got.select("page", pg.folios(got["text"]).alias("f")).orderBy("page").collect()] == [[12, 7, 1234, 9], [5], [], [8, 3], [4]]
+
+
+def test_rows_of_one_shape_are_read_once():
+    rw.places.cache_clear()
+    got = [rw.amounts_of(f"Loans 6, {i} {i + 100:,}.50 – ({i})", 3) for i in range(100, 900)]
+    assert got == [[float(f"{i}{i + 100}.5"), None, -float(i)] for i in range(100, 900)] and rw.places.cache_info().misses < 50
