@@ -280,8 +280,8 @@ def table_scopes(rows: DataFrame, words: Words = DEBT, basis: str = "carrying")
 
 
 def nearest_years(column: str = "plain") -> Column:
-    """The years of the nearest row, this one or above, that names any."""
-    found = F.regexp_extract_all(column, F.lit(r"\b((?:19|20)\d\d)\b"), F.lit(1))
+    """The years of the nearest row, this one or above, that names any. A figure with decimals is none, other than the year of a date."""
+    found = F.regexp_extract_all(column, F.lit(f"({YEAR}" + r"(?![.,]\d{1,3}+(?![./-]?\d)))"), F.lit(1))
     return F.last(F.when(F.size(found) > 0, F.transform(found, lambda y: y.cast("int"))), ignorenulls=True).over(_pages().rowsBetween(-REACH, 0))
 
 

@@ -58,3 +58,14 @@ def test_rows_of_one_shape_are_read_once():
     rw.places.cache_clear()
     got = [rw.amounts_of(f"Loans 6, {i} {i + 100:,}.50 – ({i})", 3) for i in range(100, 900)]
     assert got == [[float(f"{i}{i + 100}.5"), None, -float(i)] for i in range(100, 900)] and rw.places.cache_info().misses < 50
+
+
+def test_an_amount_that_begins_as_a_year_names_none(spark):
+    lines = ["Borrowings", "Total 1995.84 2,000", "Notes 1996,1995", "31.12.1997", "1998.12.31", "Loans 1999,5 (2000.", "1-5 years 2001"]
+    rows = spark.createDataFrame([(1, 1, n, r.lower()) for n, r in enumerate(lines)], "stem long, page long, n int, plain string")
+    got = [r["y"] for r in rows.select("n", tb.nearest_years().alias("y")).orderBy("n").collect()]
+    assert got == [None, None, [1996, 1995], [1997], [1998], [2000], [2001]]
+    page = "1-6 months 6-12 months Summa inom 1 år 1-5 år Mer än 5 år Totalt\nSumma 4899.83 4899.83 9799.66 1995.84 91738.77 103535.77"
+    read = rw.page_rows(spark.createDataFrame([(1, 1, page)], "stem long, page long, text string")).selectExpr("*", "1996 AS fiscal_year")
+    out = tb.fill_from_columns(spark.createDataFrame([(1, k, None) for k in mt.KEYS], "stem long, key string, value double"), read).orderBy("key").collect()
+    assert [(r["decision"], r["value"]) for r in out] == [("filled", 1995.84), ("filled", 91738.77), ("filled", 9799.66)]
