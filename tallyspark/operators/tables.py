@@ -10,6 +10,7 @@ Defined results: pages without tables give no rows; a null row is an empty one;
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import reduce
 from typing import NamedTuple
 
@@ -67,13 +68,34 @@ def any_of(words: tuple[str, ...]) -> str:
     return r"(?<![\p{L}\p{N}-])(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in sorted(words, key=len, reverse=True)) + ")"
 
 
-def named(text: Column, words: tuple[str, ...]) -> Column:
-    return F.coalesce(text.rlike(any_of(words)), F.lit(False)) if words else F.lit(False)
+def holds(text: Column | str, parts: Iterable[str]) -> Column:
+    """Whether a text holds any of some strings: far cheaper than a pattern, so patterns are looked for only where it is true."""
+    text = F.col(text) if isinstance(text, str) else text
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in parts], F.lit(False))
+
+
+def parts_of(words: tuple[str, ...]) -> list[str]:
+    """Strings of which every text with one of the words holds one: the longest part of each word between spaces."""
+    longest = {max(w.split(" "), key=len) for w in words}
+    return sorted(x for x in longest if not any(y != x and y in x for y in longest))
+
+
+def named(text: Column | str, words: tuple[str, ...]) -> Column:
+    """Whether a text has any of the words. A column given by its name is looked at for parts of the words first; an expression would
+    be worked out again for each."""
+    if not words:
+        return F.lit(False)
+    if isinstance(text, str):
+        return F.when(holds(text, parts_of(words)), F.col(text).rlike(any_of(words))).otherwise(False)
+    return F.coalesce(text.rlike(any_of(words)), F.lit(False))
 
 
 def plain(row: Column) -> Column:
     """A row in lower case with plain dashes and single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(F.coalesce(row, F.lit("")), "–−‑ ", "--- ")), r"\s+", " "))
+    text = F.coalesce(row, F.lit(""))
+    for mark, to in (("–", "-"), ("−", "-"), ("‑", "-"), ("\u00a0", " ")):
+        text = F.replace(text, F.lit(mark), F.lit(to))
+    return F.trim(F.regexp_replace(F.lower(text), r"\s{2,}|[^\S ]", " "))
 
 
 #: A window of months or years as headers print it.
@@ -86,31 +108,38 @@ WINDOW = "|".join((
     rf"{_COUNT}\s*(?:-|to|till)\s*{_COUNT}\s*{_SPAN}",
     rf"{_COUNT}\s*{_SPAN}\s*(?:or more|or less|eller mer|eller mindre)",
 ))
+#: What every window holds.
+SPANS = ("month", "year", "mån", "år")
 #: An amount with decimals, and one of five digits side by side: neither a window nor a date nor a year.
 DECIMALS = r"(?:^|\s)\d{1,3}(?:,\d{3})*[.,]\d+(?:\s|$)|\d{5}"
+#: Amounts that are left of a line whatever years, dates and number of a note are taken from it.
+PLAIN_AMOUNT = r"[ ,]\d{3}[.,]\d\d(?: |$)|(?<![\d:])\d{5}"
 YEAR, DATE = r"\b(?:19|20)\d\d\b", r"\b\d{1,2}(?:[/.]\d{1,2}[/.](?:20)?\d\d| (?:jan|feb|mar|apr|ma[jy]|june?|july?|aug|sep|o[kc]t|nov|dec)[a-z]*)\b"
 
 
+def _phrases(words: Words) -> tuple[str, ...]:
+    return tuple(p for p, _ in (*words.subtotals, *words.buckets)) + (*words.carrying, *words.contractual)
+
+
 def column_pattern(words: Words) -> str:
     """All that a header can name a column by; longer phrases come first, so one printed phrase is one column."""
-    phrases = [p for p, _ in (*words.subtotals, *words.buckets)] + [*words.carrying, *words.contractual]
-    return f"{any_of(tuple(phrases))}|{WINDOW}|{any_of(words.bare_totals)}" + r"(?![\p{L}\p{N}-])"
+    return f"{any_of(_phrases(words))}|{WINDOW}|{any_of(words.bare_totals)}" + r"(?![\p{L}\p{N}-])"
+
 
+def column_phrases(line: str, words: Words) -> Column:
+    """array<string> of what a column of plain lines names columns by, null where its lines hold no part of that."""
+    found = F.regexp_extract_all(F.col(line), F.lit(f"({column_pattern(words)})"), F.lit(1))
+    return F.when(holds(line, (*SPANS, *parts_of((*_phrases(words), *words.bare_totals)))), found)
 
-def header_cells(line: Column, words: Words, basis: str = "carrying") -> Column:
-    """array<struct<kind, key, phrase, least, most>> of the columns that a plain line names, in order. Windows of months that no bucket
-    holds are offgrid. Under the undiscounted basis the contractual total is the one that counts."""
+
+def header_cells(found: Column, words: Words, basis: str = "carrying") -> Column:
+    """array<struct<kind, key, phrase, least, most>> of the columns that phrases of a line (``column_phrases``) name, in order. Windows of months
+    that no bucket holds are offgrid. Under the undiscounted basis the contractual total is the one that counts."""
     counted, ignored = (words.carrying, words.contractual) if basis == "carrying" else (words.contractual, words.carrying)
     keys = dict(words.subtotals) | dict(words.buckets)
     of = F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])
     subtotal = tuple(p for p, _ in words.subtotals)
 
-    def months(phrase: Column) -> Column:
-        return F.struct(phrase.alias("phrase"), mt.interval(phrase).alias("months"))
-
-    def bounded(x: Column) -> Column:
-        return F.struct(x["phrase"].alias("phrase"), x["months"]["least"].alias("least"), x["months"]["most"].alias("most"))
-
     def cell(x: Column) -> Column:
         phrase = x["phrase"]
         bucket = F.coalesce(F.try_element_at(of, phrase), mt.bucket_by_interval(x["least"], x["most"]))
@@ -124,9 +153,7 @@ def header_cells(line: Column, words: Words, basis: str = "carrying") -> Column:
         kind = F.when(x["kind"] != "window", x["kind"]).when(x["key"].isNotNull(), "bucket").otherwise("offgrid")
         return F.struct(kind.alias("kind"), x["key"].alias("key"), x["phrase"].alias("phrase"), x["least"].alias("least"), x["most"].alias("most"))
 
-    found = F.regexp_extract_all(line, F.lit(f"({column_pattern(words)})"), F.lit(1))
-    spelled = F.transform(found, lambda x: F.regexp_replace(x, r"\s+", " "))
-    return F.transform(F.transform(F.transform(F.transform(spelled, months), bounded), cell), settled)
+    return F.transform(F.transform(mt.intervals(found), cell), settled)
 
 
 def year_cells(line: Column, words: Words, fiscal_year: Column) -> Column:
@@ -147,23 +174,25 @@ def year_cells(line: Column, words: Words, fiscal_year: Column) -> Column:
 def columns_of(cells: Column) -> Column:
     """array<struct<key, phrase, least, most>>: what is read from each column. Beside a total that counts, other totals are passed over;
     a subtotal takes the place of the columns before it that have its key."""
-    counted = F.exists(cells, lambda c: c["kind"] == "counted")
     superseded = lambda c, i: F.exists(F.slice(cells, i + 2, F.size(cells)), lambda later: (later["kind"] == "subtotal") & (later["key"] == c["key"]))
 
-    def column(c: Column, i: Column) -> Column:
-        key = (
-            F.when(c["kind"] == "counted", "total").when(c["kind"].isin("bare", "ignored"), F.when(counted, "passed").otherwise("total"))
-            .when(c["kind"] == "offgrid", "offgrid").when((c["kind"] == "bucket") & superseded(c, i), "passed").otherwise(c["key"])
-        )
-        return F.struct(key.alias("key"), c["phrase"].alias("phrase"), c["least"].alias("least"), c["most"].alias("most"))
+    def columns(counted: bool, subtotals: bool) -> Column:
+        def column(c: Column, i: Column) -> Column:
+            key = F.when(c["kind"] == "counted", "total").when(c["kind"].isin("bare", "ignored"), "passed" if counted else "total").when(c["kind"] == "offgrid", "offgrid")
+            key = key.when((c["kind"] == "bucket") & superseded(c, i), "passed") if subtotals else key
+            return F.struct(key.otherwise(c["key"]).alias("key"), c["phrase"].alias("phrase"), c["least"].alias("least"), c["most"].alias("most"))
 
-    return F.transform(cells, column)
+        return F.transform(cells, column)
+
+    # what holds of all cells is looked at once, not for each
+    has = lambda kind: F.exists(cells, lambda c: c["kind"] == kind)
+    return F.when(has("subtotal"), F.when(has("counted"), columns(True, True)).otherwise(columns(False, True))).otherwise(F.when(has("counted"), columns(True, False)).otherwise(columns(False, False)))
 
 
 def has_figures(line: Column) -> Column:
     """Whether a plain line has figures besides years, dates and the number of a note in front."""
     rest = F.regexp_replace(line, r"^(?:note?\.?\s*)?\d{1,2}(?::\d+)?[.:]?(?=\s+\p{L})", "")
-    return F.regexp_replace(F.regexp_replace(rest, DATE, ""), YEAR, "").rlike(r"\d")
+    return line.rlike(PLAIN_AMOUNT) | (line.rlike(r"\d") & F.regexp_replace(F.regexp_replace(rest, DATE, ""), YEAR, "").rlike(r"\d"))
 
 
 def _pages() -> W:
@@ -176,10 +205,17 @@ def with_headers(rows: DataFrame, words: Words = DEBT, basis: str = "carrying")
     calendar years where no line names buckets."""
     line, w = F.col("plain"), _pages()
     r = rows.withColumn("plain", plain(F.col("row")))
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, column_pattern(words), " "), DATE, " "), YEAR, " ")
     # most rows print amounts, which a plain look tells; only the others are searched for names of columns
-    r = r.withColumn("blank", F.when((F.length(line) > 2 * TITLE_CHARS) | line.rlike(DECIMALS), False).otherwise(~line.rlike(r"\d") | ~rest.rlike(r"\d")))
-    r = r.withColumns({"cells": F.when(F.col("blank"), header_cells(line, words, basis)), "years": F.when(F.col("blank") & line.rlike(rf"{YEAR}.*{YEAR}"), year_cells(line, words, F.col("fiscal_year")))})
+    short = (F.length(line) <= 2 * TITLE_CHARS) & ~line.rlike(DECIMALS)
+    r = r.withColumn("short", short).withColumn("found", F.when(F.col("short"), column_phrases("plain", words)))
+    digits = lambda c: F.length(F.regexp_replace(c, r"\D+", ""))
+    some = F.size("found") > 0
+    only = F.coalesce(some & (digits(line) == digits(F.concat_ws("", "found"))), F.lit(False))  # no digit but those of its columns
+    bare = F.when(some, F.regexp_replace(line, column_pattern(words), " ")).otherwise(line)
+    rest = F.regexp_replace(F.regexp_replace(bare, DATE, " "), YEAR, " ")
+    r = r.withColumn("blank", F.col("short") & (~line.rlike(r"\d") | only | ~rest.rlike(r"\d")))
+    years = F.col("blank") & holds(line, ("19", "20")) & line.rlike(rf"{YEAR}.*{YEAR}")
+    r = r.withColumns({"cells": F.when(F.col("blank") & some, header_cells(F.col("found"), words, basis)), "years": F.when(years, year_cells(line, words, F.col("fiscal_year")))}).drop("short", "found")
     windows = F.exists("cells", lambda c: c["kind"].isin("bucket", "subtotal", "offgrid"))
     # a line of totals alone is part of a header only where it is short: prose has totals, too
     r = r.withColumn("headed", F.coalesce(F.col("blank") & ((windows & (F.size("cells") > 0)) | ((F.size("cells") > 0) & (F.length(line) <= TITLE_CHARS // 2)) | (F.size("years") > 0)), F.lit(False)))
@@ -235,45 +271,47 @@ def table_zones(rows: DataFrame, words: Words = DEBT) -> DataFrame:
 def entity(line: Column, words: Words) -> Column:
     """parent or group where a short row is the entity's name alone, figures and units after it aside; else null. A row with both heads columns."""
     label = F.regexp_replace(F.regexp_replace(line, r"\s*\S*\d.*$", ""), r"[\s,;:|-]*\b(?:m?sek|sek ?m|meur|eur ?m|usd ?m|mkr|tkr|ksek|million|mn)?[\s,;:|-]*$", "")
-    return F.when(F.length(line) > TITLE_CHARS, None).when(label.isin(*words.parent), "parent").when(label.isin(*words.group), "group")
+    begins = reduce(lambda a, b: a | b, [F.startswith(line, F.lit(w)) for w in (*words.parent, *words.group)], F.lit(False))
+    return F.when((F.length(line) > TITLE_CHARS) | ~begins, None).when(label.isin(*words.parent), "parent").when(label.isin(*words.group), "group")
 
 
 def table_scopes(rows: DataFrame, words: Words = DEBT, basis: str = "carrying") -> DataFrame:
     """``rows`` of ``with_headers`` with title, body and scope: carrying, undiscounted, all_liabilities, non_debt, parent, lease_only, cash_flow or unknown,
     by the first that holds of the table a row stands in. REFUSED are not read."""
     w = _pages()
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     r = table_zones(rows, words)
-    line, title, body = F.col("plain"), F.col("title"), F.col("body")
-    zone = F.concat_ws(" ", title, body)
-    heading = entity(line, words)
-    r = r.withColumns({
+    line, heading = F.col("plain"), F.col("heading")
+    r = r.withColumn("heading", entity(line, words)).withColumns({
         "entity": F.last(heading, ignorenulls=True).over(w.rowsBetween(-REACH, -1)),
         "last_group": F.max(F.when(heading == "group", F.col("n"))).over(w.rowsBetween(W.unboundedPreceding, -1)),
-        "at": F.row_number().over(w), "of": F.count(F.lit(1)).over(W.partitionBy("stem", "page")),
+        "at": F.row_number().over(w), "of": F.count(F.lit(1)).over(whole), "leases": F.max(holds(line, parts_of(words.lease)).cast("int")).over(whole) == 1,
         "both": F.lag(heading).over(w).isNotNull() & heading.isNotNull() & (F.lag(heading).over(w) != heading),
     })
     running = (F.col("at") <= 2) | (F.col("at") > F.col("of") - 2)
-    notes = F.when(running & F.regexp_replace(line, r"^[ ,;:|-]+|[ ,;:|-]+$", "").rlike(PARENT_NOTES), F.col("n"))
-    phrases = F.size(F.regexp_extract_all(line, F.lit(f"({WINDOW})"), F.lit(1)))
+    notes = F.when(running & holds(line, ("not",)) & F.regexp_replace(line, r"^[ ,;:|-]+|[ ,;:|-]+$", "").rlike(PARENT_NOTES), F.col("n"))
+    # windows are counted on pages that name a lease, as nothing else asks for them
+    phrases = F.when(F.col("leases"), F.when(holds(line, SPANS), F.size(F.regexp_extract_all(line, F.lit(f"({WINDOW})"), F.lit(1)))).otherwise(0))
     r = r.withColumns({
-        "notes_first": F.min(notes).over(W.partitionBy("stem", "page")), "paired": F.max(F.col("both").cast("int")).over(w.rowsBetween(-REACH, -1)) == 1,
-        "phrases": F.sum(phrases).over(w.rowsBetween(-REACH, 2)), "group_row": F.max(named(line, words.group).cast("int")).over(w.rowsBetween(-REACH, -1)) == 1,
-    })
+        "notes_first": F.min(notes).over(whole), "paired": F.max(F.col("both").cast("int")).over(w.rowsBetween(-REACH, -1)) == 1,
+        "phrases": F.sum(phrases).over(w.rowsBetween(-REACH, 2)), "group_row": F.max(named("plain", words.group).cast("int")).over(w.rowsBetween(-REACH, -1)) == 1,
+        "zone": F.concat_ws(" ", "title", "body"),
+    }).withColumn("all", F.concat_ws(" ", "zone", "plain"))
     held = F.col("notes_first").isNotNull() & ~F.coalesce((F.col("last_group") > F.col("notes_first")) | (F.col("last_group").isNotNull() & (F.col("notes_first") > F.col("n"))), F.lit(False))
     parent = (F.coalesce(F.col("entity") == "parent", F.lit(False)) & ~F.coalesce(F.col("paired"), F.lit(False))) | held
     label = plain(label_of(F.col("row")))
     generic = label.isin(*words.bare_totals, "amount") | label.rlike(f"^(?:{WINDOW})$")
-    lease = generic & named(F.concat_ws(" ", zone, line), words.lease) & ~named(F.concat_ws(" ", zone, line), words.borrowing) & (F.col("phrases") >= 2) & ~F.coalesce(F.col("group_row"), F.lit(False))
+    lease = F.col("leases") & (F.col("phrases") >= 2) & named("all", words.lease) & generic & ~named("all", words.borrowing) & ~F.coalesce(F.col("group_row"), F.lit(False))
     debt_row = named(label, words.debt_labels) | named(label, words.total_labels)
-    marked = named(title, words.undiscounted)
+    marked = named("title", words.undiscounted)
     scope = (
-        F.when(line.rlike(CASH_FLOW) | (zone.rlike(FINANCING) & zone.rlike(CASH_WORD)), "cash_flow")
-        .when(F.concat_ws(" ", zone, line).rlike(CARRYING), "carrying")
-        .when(named(title, words.not_debt) & ~named(zone, words.debt_subject), "non_debt")
+        F.when((holds(line, ("flow",)) & line.rlike(CASH_FLOW)) | (holds("zone", ("activities",)) & F.col("zone").rlike(FINANCING) & F.col("zone").rlike(CASH_WORD)), "cash_flow")
+        .when(holds("all", ("carrying", "redovisat", "bokfört", "book value")) & F.col("all").rlike(CARRYING), "carrying")
+        .when(named("title", words.not_debt) & ~named("zone", words.debt_subject), "non_debt")
         .when(parent, "parent").when(~marked & lease, "lease_only").when(~marked, "unknown")
     )
-    other = F.lit("undiscounted") if basis == "carrying" else F.when(debt_row | ~named(body, words.all_liabilities), "unknown").otherwise("all_liabilities")
-    return r.withColumn("scope", scope.when(marked, other)).drop("entity", "last_group", "at", "of", "both", "notes_first", "paired", "phrases", "group_row", "kind")
+    other = F.lit("undiscounted") if basis == "carrying" else F.when(debt_row | ~named("body", words.all_liabilities), "unknown").otherwise("all_liabilities")
+    return r.withColumn("scope", scope.when(marked, other)).drop("entity", "last_group", "at", "of", "both", "notes_first", "paired", "phrases", "group_row", "kind", "heading", "leases", "zone", "all")
 
 
 # which row
@@ -281,8 +319,10 @@ def table_scopes(rows: DataFrame, words: Words = DEBT, basis: str = "carrying")
 
 def nearest_years(column: str = "plain") -> Column:
     """The years of the nearest row, this one or above, that names any. A figure with decimals is none, other than the year of a date."""
-    found = F.regexp_extract_all(column, F.lit(f"({YEAR}" + r"(?![.,]\d{1,3}+(?![./-]?\d)))"), F.lit(1))
-    return F.last(F.when(F.size(found) > 0, F.transform(found, lambda y: y.cast("int"))), ignorenulls=True).over(_pages().rowsBetween(-REACH, 0))
+    named_year = YEAR + r"(?![.,]\d{1,3}+(?![./-]?\d))"
+    found = F.regexp_extract_all(column, F.lit(f"({named_year})"), F.lit(1))
+    some = holds(column, ("19", "20")) & F.col(column).rlike(named_year)
+    return F.last(F.when(some, F.transform(found, lambda y: y.cast("int"))), ignorenulls=True).over(_pages().rowsBetween(-REACH, 0))
 
 
 def total_rows(rows: DataFrame, known: DataFrame, words: Words = DEBT) -> DataFrame:
@@ -290,11 +330,11 @@ def total_rows(rows: DataFrame, known: DataFrame, words: Words = DEBT) -> DataFr
     2 a bare total), amounts and prior (under the year before). Rows of debt count only where one is left: without those of the year before,
     if that leaves one, else those that print the known total (``known``: stem, total); several are no answer."""
     w = W.partitionBy("stem", "page")
-    label = clean_label(label_of(F.col("row")))
-    kind = F.when(F.startswith(label, F.lit("total")) & named(plain(label), words.total_labels), 0).when(named(plain(label), words.total_labels), 0).when(label.isin(*words.bare_totals), 2).when(named(plain(label), words.debt_labels), 1)
+    # labels are made below the window of years, as the filter on them would else be moved to where each use makes them again
+    r = rows.withColumn("label", F.when(~F.col("headed") & F.col("header").isNotNull(), clean_label(label_of(F.col("row"))))).withColumn("low", F.when(F.col("label").isNotNull(), plain(F.col("label"))))
+    r = r.withColumn("kind", F.when(named(F.col("low"), words.total_labels), 0).when(F.col("label").isin(*words.bare_totals), 2).when(named(F.col("low"), words.debt_labels), 1)).drop("low")
     years, fy = nearest_years(), F.col("fiscal_year")
-    r = rows.withColumns({"label": label, "kind": kind, "prior": F.coalesce(F.array_contains(years, fy - 1) & ~F.array_contains(years, fy), F.lit(False))})
-    r = r.where(F.col("kind").isNotNull() & ~F.col("headed") & F.col("header").isNotNull())
+    r = r.withColumn("years", years).where("kind IS NOT NULL").withColumn("prior", F.coalesce(F.array_contains("years", fy - 1) & ~F.array_contains("years", fy), F.lit(False))).drop("years")
     r = r.withColumn("amounts", row_amounts(F.col("row"), F.size("header.columns")))
     r = r.where(F.size("amounts") >= 2).join(known.select("stem", "total"), "stem", "left")
     debt = (F.col("kind") == 1) & (F.size("amounts") == F.size("header.columns"))
@@ -351,7 +391,7 @@ def fill_from_columns(answers: DataFrame, rows: DataFrame, words: Words = DEBT,
     one = answers.join(best, "stem", "left").join(off, "stem", "left").withColumn("r", F.get(F.filter("b.read", lambda x: x["key"] == F.col("key")), 0))
     # an answer that another table prints as a total: equal amounts of rows with a total's or a subtotal's label
     label = plain(label_of(F.col("row")))
-    totals = scoped.where(~F.col("headed") & (named(label, words.bare_totals) | named(label, words.current) | named(label, words.total_labels)))
+    totals = scoped.where(~F.col("headed") & (named(label, (*words.bare_totals, *words.current, *words.total_labels))))
     printed = totals.select("stem", F.col("page").alias("t_page"), F.col("header.n").alias("t_header"), F.explode(F.array_distinct(F.filter(row_amounts(F.col("row")), lambda a: a.isNotNull()))).alias("value"))
     printed = printed.withColumn("value", F.round("value", PRINTED_DECIMALS))
     elsewhere = one.where("value IS NOT NULL AND b IS NOT NULL").select("stem", "key", F.round("value", PRINTED_DECIMALS).alias("value"), "b.page", "b.header_n").join(printed, ["stem", "value"])

@@ -17,7 +17,9 @@ SHAPES = 8
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
     rows = cp.maturity_rows(cp.table(spark, d, "lineitem"))
-    wide = mt.universe(mt.bucket_sums(rows, cp.AS_OF), cp.printed_totals(rows)).join(st.reports(spark, d).select("stem", "fiscal_year"), "stem")
+    bucket = mt.bucket_by_date(F.col("due"), cp.AS_OF)
+    sums = rows.groupBy("stem").agg(*[F.sum(F.when(bucket == k, F.col("amount"))).cast("double").alias(k) for k in mt.KEYS])
+    wide = cp.printed_totals(rows).join(sums, "stem", "left").join(st.reports(spark, d).select("stem", "fiscal_year"), "stem")
     a, b, c = (F.round(k, 2).alias(x) for k, x in zip(mt.KEYS, "abc"))
     return wide.select("stem", "fiscal_year", a, b, c, F.round("total", 2).alias("t"))
 
@@ -27,25 +29,28 @@ def schedule_pages(spark: SparkSession, d: str) -> DataFrame:
     w = cp.spread(_wide(spark, d), "stem")
     fy, stem = F.col("fiscal_year"), F.col("stem")
     year = lambda k: (fy + k).cast("string")
-    put = lambda *cells: F.concat_ws(" ", *[F.coalesce(st.printed(c, stem), F.lit("–")) for c in cells])
     line = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    a, b, c, t = (F.col(x) for x in "abct")
-    half, quarter = F.round(a / 2, 2), F.round(b / 4, 2)
+    # each figure is printed once, and only for the shapes that show it: a column for it, and one as its report prints it
+    x = {k: F.col(k) for k in "abct"}
+    shape = lambda k, value: F.when(stem % SHAPES == k, value)
+    x |= {"half": shape(2, F.round(x["a"] / 2, 2)), "quarter": shape(5, F.round(x["b"] / 4, 2)), "flows": shape(3, F.round(x["t"] * 1.1, 2)), "before": shape(7, x["a"] + 7), "other": F.when(stem % 9 == 0, x["a"] + 50)}
+    w = w.withColumns({f"points_{k}": F.format_number(v, 2) for k, v in x.items()}).withColumns({f"put_{k}": F.coalesce(st.styled(F.col(f"points_{k}"), stem), F.lit("–")) for k in x})
+    put = lambda names: F.concat_ws(" ", *[F.col(f"put_{k}") for k in names.split()])
     page = lambda *lines: F.concat_ws("\n", *lines)
     title, named = line("Borrowings ", year(0)), "< 1 year 1-5 years > 5 years Total"
     shapes = [
-        page(title, line("SEK m ", named), line("Total borrowings ", put(a, b, c, t))),
-        page(title, line("Within 1 year Between 1 and 5 years"), line("Later than 5 years Total"), line("Bank loans ", put(a, b, c, t))),
-        page(title, line("1-6 months 6-12 months Summa inom 1 år 1-5 år Mer än 5 år Totalt"), line("Summa ", put(half, half, a, b, c, t))),
-        page(title, line("Within 1 year 1-5 years Later than 5 years Total contractual cash flows Carrying amount"), line("Borrowings ", put(a, b, c, F.round(t * 1.1, 2), t))),
-        page(title, line("< 1 year 1-3 years > 3 years Total"), line("Borrowings ", put(a, b, c, t))),
-        page(title, line(year(1), " ", year(2), " ", year(3), " ", year(4), " ", year(5), " Later Total"), line("Total borrowings ", put(a, quarter, quarter, quarter, quarter, c, t))),
-        page(line("Liquidity risk"), title, line(named), line("Total borrowings ", put(a, b, c, t))),
-        page(line("31 December ", year(-1)), line(named), line("Bank loans ", put(a + 7, b, c, t)), line("31 December ", year(0)), line(named), line("Bank loans ", put(a, b, c, t))),
+        page(title, line("SEK m ", named), line("Total borrowings ", put("a b c t"))),
+        page(title, line("Within 1 year Between 1 and 5 years"), line("Later than 5 years Total"), line("Bank loans ", put("a b c t"))),
+        page(title, line("1-6 months 6-12 months Summa inom 1 år 1-5 år Mer än 5 år Totalt"), line("Summa ", put("half half a b c t"))),
+        page(title, line("Within 1 year 1-5 years Later than 5 years Total contractual cash flows Carrying amount"), line("Borrowings ", put("a b c flows t"))),
+        page(title, line("< 1 year 1-3 years > 3 years Total"), line("Borrowings ", put("a b c t"))),
+        page(title, line(year(1), " ", year(2), " ", year(3), " ", year(4), " ", year(5), " Later Total"), line("Total borrowings ", put("a quarter quarter quarter quarter c t"))),
+        page(line("Liquidity risk"), title, line(named), line("Total borrowings ", put("a b c t"))),
+        page(line("31 December ", year(-1)), line(named), line("Bank loans ", put("before b c t")), line("31 December ", year(0)), line(named), line("Bank loans ", put("a b c t"))),
     ]
     text = F.coalesce(*[F.when(stem % SHAPES == i, x) for i, x in enumerate(shapes)])
-    second = page(line("Notes"), line("Total current ", put(a + 50, t)))
-    texts = F.array_compact(F.array(text, F.when((stem % 9 == 0) & a.isNotNull(), second)))
+    second = page(line("Notes"), line("Total current ", put("other t")))
+    texts = F.array_compact(F.array(text, F.when((stem % 9 == 0) & x["a"].isNotNull(), second)))
     return w.select("stem", "fiscal_year", F.posexplode(texts).alias("at", "text")).select("stem", (F.col("at") + 1).cast("bigint").alias("page"), "text", "fiscal_year")
 
 

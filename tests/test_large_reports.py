@@ -60,6 +60,15 @@ def test_rows_of_one_shape_are_read_once():
     assert got == [[float(f"{i}{i + 100}.5"), None, -float(i)] for i in range(100, 900)] and rw.places.cache_info().misses < 50
 
 
+def test_words_are_looked_for_where_a_part_of_them_stands(spark):
+    words = ("the group", "lease liabilit", "bank loans", "loan")
+    assert tb.parts_of(words) == ["group", "liabilit", "loan"]
+    texts = ["the  group", "group", "lease liabilities", "liabilities", "a bank loans", "subloan", "", "x-loan", "loan"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = got.select("i", tb.named("t", words).alias("a"), tb.named(got["t"], words).alias("b")).orderBy("i").collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] == [True, False, True, False, True, False, False, False, True]
+
+
 def test_an_amount_that_begins_as_a_year_names_none(spark):
     lines = ["Borrowings", "Total 1995.84 2,000", "Notes 1996,1995", "31.12.1997", "1998.12.31", "Loans 1999,5 (2000.", "1-5 years 2001"]
     rows = spark.createDataFrame([(1, 1, n, r.lower()) for n, r in enumerate(lines)], "stem long, page long, n int, plain string")
