@@ -60,6 +60,26 @@ def test_rows_of_one_shape_are_read_once():
     assert got == [[float(f"{i}{i + 100}.5"), None, -float(i)] for i in range(100, 900)] and rw.places.cache_info().misses < 50
 
 
+def test_zeros_within_figures_make_no_shapes():
+    rw.places.cache_clear()
+    rows = [f"Loans {a} {b}" for a in ("101,002.30", "190,020.03", "123,456.78") for b in ("700.05", "555.55")]
+    assert [rw.amounts_of(r, 2) for r in rows] == [[float(x.replace(",", "")) for x in r.split()[1:]] for r in rows]
+    assert rw.places.cache_info().misses == 1
+    assert rw.amounts_of("Ratio 0,039 1,039", 2) == [0.039, 1039.0]
+
+
+def test_even_pages_are_rows_line_by_line(spark):
+    even = ["Borrowings 2025\n< 1 year Total\nTotal 5", "Loans", "Å 12 SEK\n31 December"]
+    uneven = ["", "Loans\n", "\nLoans", "Loans \nBonds", "Loans\n Bonds", "Loans\n12 13", "Loans\nof banks", "Loans\nIE.3\nBonds", "IE.3\nIE.4 Loans", "Loans\nAB1, IE.4 ,", "Loans\r\nBonds", "Loans Bonds", "Loans\n\nBonds", "A 1\nB 2", "Loans\nx"]
+    got = spark.createDataFrame([(i, 1, t) for i, t in enumerate(even + uneven)], "stem long, page long, text string")
+    assert [r["u"] for r in got.select("stem", got["text"].rlike(rw.UNEVEN).alias("u")).orderBy("stem").collect()] == [False] * len(even) + [True] * len(uneven)
+    rows = {}
+    for r in rw.page_rows(got).orderBy("stem", "n").collect():
+        rows.setdefault(r["stem"], []).append(r["row"])
+    want = [t.split("\n") for t in even] + [[], ["Loans"], ["Loans"], ["Loans", "Bonds"], ["Loans", "Bonds"], ["Loans 12 13"], ["Loans of banks"], ["Loans IE.3", "Bonds"], ["IE.3", "IE.4 Loans"], ["Loans AB1, IE.4 ,"], ["Loans", "Bonds"], ["Loans", "Bonds"], ["Loans", "Bonds"], [], ["Loans x"]]
+    assert [rows.get(i, []) for i in range(len(want))] == want
+
+
 def test_words_are_looked_for_where_a_part_of_them_stands(spark):
     words = ("the group", "lease liabilit", "bank loans", "loan")
     assert tb.parts_of(words) == ["group", "liabilit", "loan"]
