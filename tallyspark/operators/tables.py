@@ -331,7 +331,8 @@ def total_rows(rows: DataFrame, known: DataFrame, words: Words = DEBT) -> DataFr
     if that leaves one, else those that print the known total (``known``: stem, total); several are no answer."""
     w = W.partitionBy("stem", "page")
     # labels are made below the window of years, as the filter on them would else be moved to where each use makes them again
-    r = rows.withColumn("label", F.when(~F.col("headed") & F.col("header").isNotNull(), clean_label(label_of(F.col("row"))))).withColumn("low", F.when(F.col("label").isNotNull(), plain(F.col("label"))))
+    r = rows.withColumn("printed", F.when(~F.col("headed") & F.col("header").isNotNull(), label_of(F.col("row"))))
+    r = r.withColumn("label", F.when(F.col("printed").isNotNull(), clean_label(F.col("printed")))).drop("printed").withColumn("low", F.when(F.col("label").isNotNull(), plain(F.col("label"))))
     r = r.withColumn("kind", F.when(named(F.col("low"), words.total_labels), 0).when(F.col("label").isin(*words.bare_totals), 2).when(named(F.col("low"), words.debt_labels), 1)).drop("low")
     years, fy = nearest_years(), F.col("fiscal_year")
     r = r.withColumn("years", years).where("kind IS NOT NULL").withColumn("prior", F.coalesce(F.array_contains("years", fy - 1) & ~F.array_contains("years", fy), F.lit(False))).drop("years")
